@@ -22,22 +22,25 @@ def range_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def split_points(df: DataFrame, column: str, ranges: int) -> list[float]:
+def split_points(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
     """Approximate quantiles that cut the column in ranges; only these numbers reach the driver."""
+    ranges = ranges or range_count(df)
     probabilities = [i / ranges for i in range(1, ranges)]
     values = df.select(F.col(column).cast("double").alias("v"))
     points = values.approxQuantile("v", probabilities, 1 / (4 * ranges))
     return sorted(set(points))
 
 
-def with_range(df: DataFrame, column: str, ranges: int | None = None, out: str = RANGE) -> DataFrame:
+def with_range(
+    df: DataFrame, column: str, cuts: Sequence[float] | None = None, out: str = RANGE
+) -> DataFrame:
     """Number of the range a numeric value falls in, rising with the value."""
-    points = split_points(df, column, ranges or range_count(df))
+    points = split_points(df, column) if cuts is None else list(cuts)
     if not points:
         return df.withColumn(out, F.lit(0))
-    cuts = [-float("inf"), *points, float("inf")]
+    edges = [-float("inf"), *points, float("inf")]
     keyed = df.withColumn("__key", F.col(column).cast("double"))
-    cutter = Bucketizer(splits=cuts, inputCol="__key", outputCol=out, handleInvalid="keep")
+    cutter = Bucketizer(splits=edges, inputCol="__key", outputCol=out, handleInvalid="keep")
     # An integer key keeps its hash partitioning through windows, groupings and joins.
     # Missing values sort before all others and form the range -1.
     ranged = cutter.transform(keyed).drop("__key")
@@ -51,7 +54,7 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     following: Mapping[str, str] | None = None,
-    ranges: int | None = None,
+    cuts: Sequence[float] | None = None,
     range_column: str | None = None,
 ) -> DataFrame:
     """Inclusive running totals in the order of a numeric column, per group of ``by``.
@@ -59,13 +62,14 @@ def running_totals(
     ``df`` holds at most one row per group and order value. ``sums`` maps
     output to input columns; ``<output>_all`` is the total of the group.
     ``following`` maps output columns to columns whose value is taken from the
-    next row. ``range_column`` names an existing range number, otherwise the
-    ranges come from quantiles of ``order`` over all groups together, so no
-    range is large however uneven the groups are.
+    next row. ``range_column`` names an existing range number that rises with
+    ``order``. Otherwise the ranges are cut at ``cuts``, by default at quantiles
+    of ``order`` over all groups together, so no range is large however uneven
+    the groups are.
     """
     following = dict(following or {})
     rng = range_column or RANGE
-    tagged = df if range_column else with_range(df, order, ranges)
+    tagged = df if range_column else with_range(df, order, cuts)
     direction = F.desc if descending else F.asc
     last = F.min_by if descending else F.max_by
     first = F.max_by if descending else F.min_by
