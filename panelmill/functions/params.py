@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 
 def one_row(params: DataFrame) -> Column:
@@ -13,3 +13,12 @@ def one_row(params: DataFrame) -> Column:
     without rows gives NULL, one with two rows fails.
     """
     return params.select(F.struct("*")).scalar()
+
+
+def fitted(params: DataFrame) -> Row:
+    """The only row of an aggregate as driver values: the fit step of a scaler or an imputer.
+
+    The values become literals, so a frame that is used many times does not
+    carry the aggregation into every plan.
+    """
+    return params.first()

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelmill.functions.numeric import separation_band
-from panelmill.functions.params import one_row
+from panelmill.functions.params import fitted, one_row
 from panelmill.operators import neighbours
 from panelmill.operators.groups import dominant_value, group_share
 from panelmill.operators.scaling import min_max_scale, standard_scale
@@ -207,7 +207,7 @@ def cluster_profile(
 ) -> DataFrame:
     """Size, share, means, HIGH/LOW against the table and dominant categories per cluster."""
     measured = sorted({*means, *levels})
-    overall = one_row(df.agg(F.count("*").alias("__n"), *[F.avg(c).alias(c) for c in levels]))
+    overall = fitted(df.agg(F.count("*").alias("__n"), *[F.avg(c).alias(c) for c in levels]))
     grouped = df.groupBy(label).agg(F.count("*").alias("count"), *[F.avg(c).alias(f"mean_{c}") for c in measured])
     profile = grouped.select(
         label,

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelmill.functions.params import one_row
+from panelmill.functions.params import fitted, one_row
 
 
 def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -78,7 +78,7 @@ def dominant_value(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
 
 def level_vs_global(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """HIGH where the mean of the group reaches the mean of all rows, else LOW."""
-    overall = one_row(df.agg(*[F.avg(c).alias(c) for c in columns]))
+    overall = fitted(df.agg(*[F.avg(c).alias(c) for c in columns]))
     means = df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])
     return means.withColumns(
         {c: F.when(F.col(c) >= overall[c], "HIGH").otherwise("LOW") for c in columns}

@@ -38,14 +38,15 @@ def nearest_distance(
 ) -> DataFrame:
     """(probe, distance) to the nearest row, or to the nearest other row."""
     names, points = _checked(probes)
+    parts, squared_to = _kernels(columns, points)
     rows = df.select(row_key(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in columns])
 
     def fold(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = np.full(len(names), np.inf)
         position = {name: i for i, name in enumerate(names)}
         for batch in batches:
-            for part in _parts(batch, len(names)):
-                squared = _squared(part[list(columns)].to_numpy(), points)
+            for part in parts(batch):
+                squared = squared_to(part)
                 if exclude_self:
                     own = part["key"].map(position)
                     hit = own.notna().to_numpy()
@@ -63,6 +64,7 @@ def distance_sums(
 ) -> DataFrame:
     """(probe, label, total, n): summed Euclidean distances to the rows of each label."""
     names, points = _checked(probes)
+    parts, squared_to = _kernels(columns, points)
     rows = df.select(
         F.col(label).cast("string").alias("label"), *[F.col(c).cast("double").alias(c) for c in columns]
     )
@@ -71,8 +73,8 @@ def distance_sums(
         totals: dict[str, np.ndarray] = {}
         sizes: dict[str, int] = {}
         for batch in batches:
-            for part in _parts(batch, len(names)):
-                distances = np.sqrt(_squared(part[list(columns)].to_numpy(), points))
+            for part in parts(batch):
+                distances = np.sqrt(squared_to(part))
                 for value, index in part.reset_index(drop=True).groupby("label").indices.items():
                     totals[value] = totals.get(value, 0.0) + distances[index].sum(axis=0)
                     sizes[value] = sizes.get(value, 0) + len(index)
@@ -89,15 +91,21 @@ def _checked(probes: Sequence[tuple[str, Sequence[float]]]) -> tuple[list[str],
     return [name for name, _ in probes], np.array([point for _, point in probes], dtype=float)
 
 
-def _parts(batch: pd.DataFrame, probes: int) -> Iterator[pd.DataFrame]:
-    """Slices small enough that rows times probes fit in memory."""
-    step = max(1, CELLS // max(1, probes))
-    for start in range(0, len(batch), step):
-        yield batch.iloc[start : start + step]
+def _kernels(columns: Sequence[str], points: np.ndarray):
+    """Functions for the tasks; local ones are shipped by value, so workers need no copy of this module."""
+    names = list(columns)
+    step = max(1, CELLS // max(1, len(points)))
 
+    def parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Slices small enough that rows times probes fit in memory."""
+        for start in range(0, len(batch), step):
+            yield batch.iloc[start : start + step]
 
-def _squared(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(rows), len(points)))
-    for axis in range(points.shape[1]):
-        total += (rows[:, axis, None] - points[None, :, axis]) ** 2
-    return total
+    def squared(part: pd.DataFrame) -> np.ndarray:
+        rows = part[names].to_numpy()
+        total = np.zeros((len(rows), len(points)))
+        for axis in range(points.shape[1]):
+            total += (rows[:, axis, None] - points[None, :, axis]) ** 2
+        return total
+
+    return parts, squared

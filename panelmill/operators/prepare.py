@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelmill.functions import numeric
 from panelmill.functions.labels import interaction, level
-from panelmill.functions.params import one_row
+from panelmill.functions.params import fitted
 from panelmill.operators.ranks import exact_quantiles
 
 
@@ -67,9 +67,9 @@ def label_by_train_median(
     df: DataFrame, value: str, train: Column, out: str = "level", threshold: str = "threshold"
 ) -> DataFrame:
     """High above the exact median of the training rows, which is kept as a column."""
-    median = exact_quantiles(df.filter(train), [value])
-    fitted = df.withColumn(threshold, one_row(median)[value])
-    return fitted.withColumn(out, level(F.col(value), F.col(threshold)))
+    median = exact_quantiles(df.filter(train), [value])[value]
+    limit = F.lit(median).cast("double")
+    return df.withColumns({threshold: limit, out: level(F.col(value), limit)})
 
 
 def add_interactions(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -141,7 +141,7 @@ def value_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def flag_outside_typical(df: DataFrame, reference: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column_outside`` is true where a value leaves the range of the reference rows."""
-    bounds = one_row(value_ranges(reference, columns))
+    bounds = fitted(value_ranges(reference, columns))
     return df.withColumns(
         {
             f"{c}_outside": ~F.col(c).between(bounds[f"{c}_min"], bounds[f"{c}_max"])

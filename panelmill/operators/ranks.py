@@ -8,11 +8,12 @@ small table with one row per range carries the totals of the earlier ranges.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import ceil, floor
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelmill.functions.params import one_row
+from panelmill.functions.numeric import null_if_nan
 
 RANGE = "__range"
 
@@ -108,72 +109,58 @@ def running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], q: float = 0.5, accuracy: int = 100_000
-) -> DataFrame:
-    """Exact, interpolated quantile of each column; one row, NULL for an empty column.
-
-    A sketch brackets the quantile, one pass counts the values below and in
-    the bracket, and only the values in the bracket (a share of about
-    4 / accuracy of the rows) are ordered. Should the counts show that a
-    bracket missed, it is widened to the whole column, so the result is exact
-    in any case.
+    df: DataFrame, columns: Sequence[str], q: float = 0.5, error: float = 1e-5
+) -> dict[str, float | None]:
+    """Exact, interpolated quantile of each column, None for an empty one.
+
+    A fit step like ``approxQuantile``: a sketch brackets each quantile, one
+    pass counts the values below and in the brackets, and only the values in a
+    bracket (a share of about 4 times ``error``) are ordered. Should the
+    counts show that a bracket missed, it is widened to the whole column, so
+    the result is exact in any case.
     """
-    values = df.select([F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    names = values.columns
-    width = 2.0 / accuracy
-    ends = [max(q - width, 0.0), min(q + width, 1.0)]
-    sketch = one_row(values.agg(*[F.percentile_approx(c, ends, accuracy).alias(c) for c in names]))
-
-    counts = []
-    for c in names:
-        lo, hi = sketch[c][0], sketch[c][1]
-        counts += [
-            F.count(c).alias(f"{c}_n"),
-            F.count_if(F.col(c) < lo).alias(f"{c}_below"),
-            F.count_if(F.col(c).between(lo, hi)).alias(f"{c}_in"),
-            F.first(lo).alias(f"{c}_lo"),
-            F.first(hi).alias(f"{c}_hi"),
-        ]
-    counted = values.agg(*counts)
-    zones = []
-    for c in names:
-        position = (F.col(f"{c}_n") - 1) * q
-        low_rank, high_rank = F.floor(position), F.ceil(position)
-        hit = (F.col(f"{c}_below") <= low_rank) & (F.col(f"{c}_below") + F.col(f"{c}_in") > high_rank)
-        zones.append(
-            F.struct(
-                F.when(hit, F.col(f"{c}_lo")).otherwise(F.lit(-float("inf"))).alias("lo"),
-                F.when(hit, F.col(f"{c}_hi")).otherwise(F.lit(float("inf"))).alias("hi"),
-                F.when(hit, F.col(f"{c}_below")).otherwise(F.lit(0)).alias("below"),
-                low_rank.alias("low_rank"),
-                high_rank.alias("high_rank"),
-                (position - low_rank).alias("part"),
-            ).alias(c)
-        )
-    zone = one_row(counted.select(*zones))
-
-    kept = [
-        F.when(
-            F.col(c).between(zone[c]["lo"], zone[c]["hi"]),
-            F.struct(F.lit(c).alias("name"), F.col(c).alias("value"), zone[c].alias("zone")),
-        )
-        for c in names
-    ]
+    names = [f"c{i}" for i in range(len(columns))]
+    values = df.select(
+        [null_if_nan(F.col(f"`{c}`").cast("double")).alias(n) for c, n in zip(columns, names)]
+    )
+    around = [max(q - 2 * error, 0.0), min(q + 2 * error, 1.0)]
+    sketched = dict(zip(names, values.approxQuantile(names, around, error)))
+    known = [n for n in names if sketched[n]]
+    if not known:
+        return dict.fromkeys(columns)
+    counts = values.agg(
+        *[F.count(n).alias(f"{n}_n") for n in known],
+        *[F.count_if(F.col(n) < sketched[n][0]).alias(f"{n}_below") for n in known],
+        *[F.count_if(F.col(n).between(*sketched[n])).alias(f"{n}_in") for n in known],
+    ).first()
+
+    places, kept = {}, []
+    for n in known:
+        position = (counts[f"{n}_n"] - 1) * q
+        first, second, below = floor(position), ceil(position), counts[f"{n}_below"]
+        zone = F.col(n).between(*sketched[n])
+        if not (below <= first and second < below + counts[f"{n}_in"]):
+            zone, below = F.col(n).isNotNull(), 0
+        places[n] = (first - below, second - below, position - first)
+        kept.append(F.when(zone, F.struct(F.lit(n).alias("name"), F.col(n).alias("value"))))
     inside = values.select(F.inline(F.array_compact(F.array(*kept))))
-    distinct = inside.groupBy("name", "value").agg(F.count("*").alias("n"), F.first("zone").alias("zone"))
+    distinct = inside.groupBy("name", "value").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("name").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ranked = distinct.withColumn("seen", F.col("zone.below") + F.sum("n").over(upto))
-    ends_of = ranked.groupBy("name").agg(
-        F.min(F.when(F.col("seen") > F.col("zone.low_rank"), F.col("value"))).alias("low"),
-        F.min(F.when(F.col("seen") > F.col("zone.high_rank"), F.col("value"))).alias("high"),
-        F.first("zone.part").alias("part"),
-    )
-    found = ends_of.withColumn("value", F.col("low") + (F.col("high") - F.col("low")) * F.col("part"))
-    return found.agg(
-        *[
-            F.max(F.when(F.col("name") == n, F.col("value"))).alias(c)
-            for n, c in zip(names, columns)
-        ]
-    )
+    ranked = distinct.withColumn("seen", F.sum("n").over(upto))
+
+    def value_at(name: str, rank: int):
+        hit = (F.col("name") == name) & (F.col("seen") > rank)
+        return F.min(F.when(hit, F.col("value")))
+
+    ends = ranked.agg(
+        *[value_at(n, places[n][0]).alias(f"{n}_lo") for n in known],
+        *[value_at(n, places[n][1]).alias(f"{n}_hi") for n in known],
+    ).first()
+    found = dict.fromkeys(columns)
+    for c, n in zip(columns, names):
+        if n in places:
+            low, high = ends[f"{n}_lo"], ends[f"{n}_hi"]
+            found[c] = low + (high - low) * places[n][2]
+    return found

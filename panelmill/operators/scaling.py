@@ -8,14 +8,14 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame, functions as F
 
-from panelmill.functions.params import one_row
+from panelmill.functions.params import fitted
 from panelmill.operators.ranks import exact_quantiles
 
 
 def min_max_scale(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None = None) -> DataFrame:
     """To 0..1 by the range of ``fitted_on``; a constant column becomes 0."""
     source = df if fitted_on is None else fitted_on
-    bounds = one_row(
+    bounds = fitted(
         source.agg(
             *[F.min(c).cast("double").alias(f"{c}_lo") for c in columns],
             *[F.max(c).cast("double").alias(f"{c}_hi") for c in columns],
@@ -24,7 +24,8 @@ def min_max_scale(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame |
     scaled = {}
     for c in columns:
         low, high = bounds[f"{c}_lo"], bounds[f"{c}_hi"]
-        ratio = F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(0.0)
+        spread = low is not None and high > low
+        ratio = (F.col(c) - low) / (high - low) if spread else F.lit(0.0)
         scaled[c] = F.when(F.col(c).isNotNull(), ratio)
     return df.withColumns(scaled)
 
@@ -32,7 +33,7 @@ def min_max_scale(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame |
 def standard_scale(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None = None) -> DataFrame:
     """To mean 0 and population deviation 1; a constant column becomes 0."""
     source = df if fitted_on is None else fitted_on
-    moments = one_row(
+    moments = fitted(
         source.agg(
             *[F.avg(c).alias(f"{c}_mean") for c in columns],
             *[F.stddev_pop(c).alias(f"{c}_dev") for c in columns],
@@ -41,15 +42,15 @@ def standard_scale(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame |
     scaled = {}
     for c in columns:
         mean, dev = moments[f"{c}_mean"], moments[f"{c}_dev"]
-        ratio = F.when(dev > 0, (F.col(c) - mean) / dev).otherwise(0.0)
+        ratio = (F.col(c) - mean) / dev if dev else F.lit(0.0)
         scaled[c] = F.when(F.col(c).isNotNull(), ratio)
     return df.withColumns(scaled)
 
 
 def impute_median(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None = None) -> DataFrame:
     """Missing numbers become the exact median of the fitting rows."""
-    medians = one_row(exact_quantiles(df if fitted_on is None else fitted_on, columns))
-    return df.withColumns({c: F.coalesce(F.col(c), medians[c]) for c in columns})
+    medians = exact_quantiles(df if fitted_on is None else fitted_on, columns)
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c])) for c in columns})
 
 
 def impute_most_frequent(
@@ -61,10 +62,10 @@ def impute_most_frequent(
     long = texts.unpivot([], list(columns), "column", "value").filter(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").count()
     rank = F.struct((-F.col("count")).alias("n"), F.col("value").alias("v"))
-    modes = one_row(
+    modes = fitted(
         counts.agg(*[F.min(F.when(F.col("column") == c, rank))["v"].alias(c) for c in columns])
     )
-    return df.withColumns({c: F.coalesce(F.col(c), modes[c]) for c in columns})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(modes[c])) for c in columns})
 
 
 def one_hot_stages(columns: Sequence[str]) -> list:

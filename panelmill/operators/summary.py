@@ -69,7 +69,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """Count, mean, exact median, sample deviation, minimum and maximum per numeric column."""
     columns = list(columns or numeric_columns(df))
     values = df.select([F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    medians = one_row(exact_quantiles(values, columns))
+    medians = exact_quantiles(values, columns)
     measures = {
         "count": F.count,
         "mean": F.avg,
@@ -84,7 +84,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         ]
     )
     long = wide.unpivot([], columns, "column", "m")
-    median = F.coalesce(*[F.when(F.col("column") == c, medians[c]) for c in columns])
+    median = F.coalesce(*[F.when(F.col("column") == c, F.lit(medians[c])) for c in columns])
     return long.select(
         "column",
         F.col("m.count").cast("long").alias("count"),

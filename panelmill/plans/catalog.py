@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelmill.functions.items import joined
 from panelmill.functions.labels import level
-from panelmill.functions.params import one_row
 from panelmill.operators import (
     clusters,
     correlation,
@@ -68,7 +67,7 @@ def r(value: Column | str, digits: int = 4) -> Column:
 @query
 def observations(spark, sf):
     rows = views.observations(spark, sf)
-    return rows.withColumn("yield_value", r("yield_value"))
+    return rows.withColumn("yield_value", r("yield_value", 8))
 
 
 @query
@@ -255,15 +254,17 @@ def match_on_keys(spark, sf):
 
 @query
 def top_k_per_group(spark, sf):
-    rows = views.observations(spark, sf).withColumn("yield_value", r("yield_value"))
+    rows = views.observations(spark, sf).withColumn("yield_value", r("yield_value", 8))
     order = [F.desc("yield_value"), *KEY]
     return groups.top_k_per_group(rows, ["region"], order, 5).select("region", "rank", "yield_value", *KEY)
 
 
 @query
 def exact_median(spark, sf):
-    found = ranks.exact_quantiles(views.table(spark, sf, "orders"), ["o_totalprice"])
-    return found.select(r("o_totalprice").alias("median"))
+    orders = views.table(spark, sf, "orders")
+    found = ranks.exact_quantiles(orders, ["o_totalprice"])
+    above = F.count_if(F.col("o_totalprice") > found["o_totalprice"])
+    return orders.agg(r(F.lit(found["o_totalprice"])).alias("median"), above.alias("above"))
 
 
 # History
@@ -274,7 +275,7 @@ def history_means(spark, sf):
     found = history.history(
         views.observations(spark, sf), GROUP, "yr", {"yields": "yield_value", "areas": "area", "totals": "o_totalprice"}
     )
-    return found.select(*GROUP, "yr", r("yields").alias("yields"), r("areas", 6).alias("areas"), r("totals").alias("totals"))
+    return found.select(*GROUP, "yr", r("yields").alias("yields"), r("areas", 6).alias("areas"), r("totals", 7).alias("totals"))
 
 
 @query
@@ -367,7 +368,7 @@ def sequence_patterns_cells(spark, sf):
     """Threshold at the median of the cell means, so both levels occur."""
     rows = views.observations(spark, sf)
     cells = groups.mean_by(rows, [*GROUP, "yr"], "yield_value")
-    middle = one_row(ranks.exact_quantiles(cells, ["yield_value"]))["yield_value"]
+    middle = ranks.exact_quantiles(cells, ["yield_value"])["yield_value"]
     found = sequences.sequence_patterns(rows, GROUP, "yr", "yield_value", middle, 2)
     return found.withColumn("support", r("support", 8))
 
@@ -560,8 +561,8 @@ def best_per_metric(spark, sf):
 @query
 def actual_vs_predicted(spark, sf):
     rows = _guesses(spark, sf).filter("variant = 'by_lot'")
-    found = metrics.actual_vs_predicted(rows, "yield_value", "guess", ["yr", "item", *KEY])
-    return found.withColumns({"actual": r("actual"), "predicted": r("predicted")})
+    found = metrics.actual_vs_predicted(rows, "yield_value", "guess", ["yr", "item", *KEY], 8)
+    return found.withColumn("predicted", r("predicted"))
 
 
 # Curves

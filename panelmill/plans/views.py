@@ -12,7 +12,8 @@ from panelmill.operators.groups import mean_by
 from panelmill.operators.prepare import label_by_train_median
 
 TRAIN_END = 2000
-KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+# The four keys alone repeat; with the price in cents they identify a row.
+KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents"]
 GROUP = ["region", "item"]
 MINED = ["region", "item", "season", "source", "lot"]
 MEASURES = ["area", "production", "o_totalprice", "p_retailprice", "c_acctbal", "l_discount", "l_tax", "yield_value"]
@@ -51,7 +52,8 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
         "p_retailprice",
         "c_acctbal",
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("yield_value"),
-        *KEY,
+        *KEY[:-1],
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
     )
 
 
