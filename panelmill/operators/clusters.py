@@ -81,15 +81,16 @@ def assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def kmeans_fit(
     df: DataFrame, columns: Sequence[str], k: int, n_init: int = 10, seed: int = 42, max_iter: int = 100
 ):
-    """The model with the lowest inertia of ``n_init`` runs."""
-    vectors = assembled(df.select(*columns), columns).select(VECTOR).cache()
-    try:
-        models = [
-            KMeans(k=k, seed=seed + run, maxIter=max_iter, featuresCol=VECTOR).fit(vectors)
-            for run in range(n_init)
-        ]
-    finally:
-        vectors.unpersist()
+    """The model with the lowest inertia of ``n_init`` runs.
+
+    The features are stored once; each run keeps its own decoded copy while it
+    iterates.
+    """
+    vectors = durable(assembled(df.select(*columns), columns).select(VECTOR))
+    models = [
+        KMeans(k=k, seed=seed + run, maxIter=max_iter, featuresCol=VECTOR).fit(vectors)
+        for run in range(n_init)
+    ]
     return min(models, key=lambda model: model.summary.trainingCost)
 
 

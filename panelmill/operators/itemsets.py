@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelmill.functions import items as I
 from panelmill.functions.params import one_row
+from panelmill.session import durable
 
 MAX_GROUPINGS = 400
 
@@ -53,7 +54,7 @@ def frequent_itemsets_baskets(
     """
     pairs = df.select(F.col(basket).alias("basket"), F.col(item).cast("string").alias("item"))
     pairs = pairs.filter(F.col("basket").isNotNull()).distinct()
-    total = one_row(pairs.agg(F.count_distinct("basket").alias("n")))["n"]
+    total = F.lit(pairs.select("basket").distinct().count())
     present = pairs.filter(F.col("item").isNotNull())
     frequent = present.groupBy("item").agg(F.count("*").alias("n"))
     frequent = frequent.filter(F.col("n") / total >= min_support).select("item")
@@ -62,7 +63,8 @@ def frequent_itemsets_baskets(
         .groupBy("basket")
         .agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
-    baskets = gathered.groupBy("items").agg(F.count("*").alias("weight"))
+    # Distinct reduced baskets are read once per level, so they are stored once.
+    baskets = durable(gathered.groupBy("items").agg(F.count("*").alias("weight")))
     return weighted_itemsets(baskets, total, min_support, max_size)
 
 

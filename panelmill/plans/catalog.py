@@ -175,7 +175,7 @@ def period_counts(spark, sf):
 
 @query
 def numeric_profile(spark, sf):
-    profile = summary.numeric_profile(views.observations(spark, sf), MEASURES)
+    profile = summary.numeric_profile(views.stored(spark, sf), MEASURES)
     return profile.select("column", "count", *[r(c).alias(c) for c in ("mean", "median", "std", "min", "max")])
 
 
@@ -213,13 +213,13 @@ def duplicate_rows(spark, sf):
 
 @query
 def correlation_matrix(spark, sf):
-    found = correlation.correlation_matrix(views.observations(spark, sf), ["yr", *MEASURES])
+    found = correlation.correlation_matrix(views.stored(spark, sf), ["yr", *MEASURES])
     return found.withColumn("r", r("r", 6))
 
 
 @query
 def correlation_bands(spark, sf):
-    found = correlation.correlation_matrix(views.observations(spark, sf), ["yr", *MEASURES])
+    found = correlation.correlation_matrix(views.stored(spark, sf), ["yr", *MEASURES])
     return correlation.correlation_bands(found).select("feature", "other", "band", "sign", "shown")
 
 
@@ -366,7 +366,7 @@ def sequence_patterns_3(spark, sf):
 @query
 def sequence_patterns_cells(spark, sf):
     """Threshold at the median of the cell means, so both levels occur."""
-    rows = views.observations(spark, sf)
+    rows = views.stored(spark, sf)
     cells = groups.mean_by(rows, [*GROUP, "yr"], "yield_value")
     middle = ranks.exact_quantiles(cells, ["yield_value"])["yield_value"]
     found = sequences.sequence_patterns(rows, GROUP, "yr", "yield_value", middle, 2)
@@ -435,19 +435,21 @@ def target_rules_lot(spark, sf):
     return _flat_rules(rules.target_rules(rules.association_rules(sets, 0.5), "lot"))
 
 
-def _train_rules(spark, sf) -> DataFrame:
-    rows = views.labelled(spark, sf)
-    return rules.train_only_rules(rows, views.is_train(), [*MINED, "level"], "level", SUPPORT, CONFIDENCE)
+def _train_rules(rows: DataFrame) -> DataFrame:
+    """Mined once and stored, as rules are before rows are matched."""
+    mined = rules.train_only_rules(rows, views.is_train(), [*MINED, "level"], "level", SUPPORT, CONFIDENCE)
+    return durable(mined)
 
 
 @query
 def train_only_rules(spark, sf):
-    return _flat_rules(_train_rules(spark, sf))
+    return _flat_rules(_train_rules(views.labelled(spark, sf)))
 
 
 @query
 def match_rules(spark, sf):
-    found = rules.match_rules(views.observations(spark, sf), _train_rules(spark, sf), MINED)
+    rows = views.labelled(spark, sf)
+    found = rules.match_rules(rows, _train_rules(rows), MINED)
     return found.groupBy(joined(F.col("items")).alias("items")).agg(
         F.count("*").alias("rules"), r(F.max("lift"), 8).alias("lift")
     )
@@ -456,7 +458,7 @@ def match_rules(spark, sf):
 @query
 def rule_features(spark, sf):
     rows = views.labelled(spark, sf)
-    found = rules.rule_features(rows, _train_rules(spark, sf), MINED, "level")
+    found = rules.rule_features(rows, _train_rules(rows), MINED, "level")
     return found.select(
         *KEY,
         *[r(c, 8).alias(c) for c in rules.RULE_FEATURES[:4]],
@@ -490,7 +492,7 @@ VARIANTS = {"by_region": ["region"], "by_item": ["item"], "by_lot": ["lot"]}
 
 def _guesses(spark, sf) -> DataFrame:
     """Test rows with the training mean of three groupings as predictions."""
-    train, test = prepare.period_split(views.observations(spark, sf), "yr", views.TRAIN_END)
+    train, test = prepare.period_split(views.stored(spark, sf), "yr", views.TRAIN_END)
     parts = []
     for name, keys in VARIANTS.items():
         means = train.groupBy(*keys).agg(F.avg("yield_value").alias("guess"))
@@ -649,7 +651,7 @@ def verify_auc(spark, sf):
 
 
 def _space(spark, sf) -> DataFrame:
-    return clusters.cluster_features(views.observations(spark, sf), MEASURES, LOGGED)
+    return clusters.cluster_features(views.stored(spark, sf), MEASURES, LOGGED)
 
 
 def _clustered(spark, sf) -> DataFrame:
@@ -658,7 +660,7 @@ def _clustered(spark, sf) -> DataFrame:
 
 def _raw_clustered(spark, sf) -> DataFrame:
     """Cluster labels beside the unscaled columns."""
-    rows = views.observations(spark, sf)
+    rows = views.stored(spark, sf)
     kept = rows.withColumns({f"raw_{c}": F.col(c) for c in MEASURES})
     scaled = clusters.cluster_features(kept, MEASURES, LOGGED)
     labelled = clusters.assign_nearest(scaled, CENTROIDS, MEASURES)
@@ -733,7 +735,7 @@ def silhouette_sampled(spark, sf):
 
 @query
 def kmeans_fit(spark, sf):
-    rows = durable(_space(spark, sf).select(*KEY, *MEASURES))
+    rows = _space(spark, sf)
     model = clusters.kmeans_fit(rows, MEASURES, 8, n_init=2)
     labelled = clusters.assign_nearest(rows, clusters.sorted_centroids(model), MEASURES)
     return clusters.cluster_distribution(labelled, "cluster")
@@ -785,14 +787,14 @@ def build_features(spark, sf):
     """The serving form: rules and history of the training years, rows of the test year."""
     rows = views.labelled(spark, sf)
     train, test = prepare.period_split(rows, "yr", views.TRAIN_END)
-    found = features.build_features(test, SPEC, features.ADVANCED, _train_rules(spark, sf), train)
+    found = features.build_features(test, SPEC, features.ADVANCED, _train_rules(rows), train)
     rounded = [*rules.RULE_FEATURES, "log_area", "area", "o_totalprice", "p_retailprice"]
     return found.withColumns({c: r(c, 8) for c in rounded if c in found.columns})
 
 
 def _features(spark, sf, variant: str) -> tuple[DataFrame, DataFrame]:
     rows = views.labelled(spark, sf)
-    mined = durable(_train_rules(spark, sf)) if variant == features.ADVANCED else None
+    mined = _train_rules(rows) if variant == features.ADVANCED else None
     made = features.build_features(rows, SPEC, variant, mined)
     made = durable(made.withColumn("level_code", (F.col("level") == "High").cast("double")))
     return prepare.period_split(made, "yr", views.TRAIN_END)

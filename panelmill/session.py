@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` where the loss of an executor cannot lose it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    The table survives the loss of executors, is pruned by the columns a later
+    pass needs, and has a known size, from which Spark chooses its joins. It
+    stays until the folder is cleaned, like any checkpoint.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/panelmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Repartition a file scan that has several splits but fewer than the session has cores.
+
+    That happens with a few files of large row groups; a table of many files
+    passes unchanged.
+    """
+    splits, cores = scan.rdd.getNumPartitions(), scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 1 < splits < cores else scan
