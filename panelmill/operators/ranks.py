@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelmill.functions.numeric import null_if_nan
 
 RANGE = "__range"
+SAMPLED_ROWS = 1_000_000
 
 
 def range_count(df: DataFrame) -> int:
@@ -23,12 +24,25 @@ def range_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def thinned(values: DataFrame, known: int, wanted: int) -> DataFrame:
+    """About ``wanted`` of ``known`` rows in a few partitions, enough to place boundaries.
+
+    A quantile sketch per input partition would add up to gigabytes where they
+    are merged; a sample is as small for any table. Only boundaries come from
+    it, results never do.
+    """
+    if known <= wanted:
+        return values
+    return values.sample(fraction=wanted / known, seed=17).repartition(range_count(values))
+
+
 def split_points(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
     """Approximate quantiles that cut the column in ranges; only these numbers reach the driver."""
     ranges = ranges or range_count(df)
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    sample = thinned(values, values.count(), max(SAMPLED_ROWS, 200 * ranges))
     probabilities = [i / ranges for i in range(1, ranges)]
-    values = df.select(F.col(column).cast("double").alias("v"))
-    points = values.approxQuantile("v", probabilities, 1 / (4 * ranges))
+    points = sample.approxQuantile("v", probabilities, 1 / (4 * ranges))
     return sorted(set(points))
 
 
@@ -109,40 +123,38 @@ def running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], q: float = 0.5, error: float = 1e-5
+    df: DataFrame,
+    columns: Sequence[str],
+    q: float = 0.5,
+    ordered_rows: int = 4_000_000,
+    sampled_rows: int = SAMPLED_ROWS,
 ) -> dict[str, float | None]:
     """Exact, interpolated quantile of each column, None for an empty one.
 
-    A fit step like ``approxQuantile``: a sketch brackets each quantile, one
-    pass counts the values below and in the brackets, and only the values in a
-    bracket (a share of about 4 times ``error``) are ordered. Should the
-    counts show that a bracket missed, it is widened to the whole column, so
-    the result is exact in any case.
+    A fit step like ``approxQuantile``. While a column has more than
+    ``ordered_rows`` candidates, quantiles of a sample bracket the wanted ranks
+    and one pass counts the values below and in the bracket. A bracket that
+    the counts do not confirm is not used, so the result is exact in any case.
+    Only the last candidates are put in order.
     """
     names = [f"c{i}" for i in range(len(columns))]
     values = df.select(
         [null_if_nan(F.col(f"`{c}`").cast("double")).alias(n) for c, n in zip(columns, names)]
     )
-    around = [max(q - 2 * error, 0.0), min(q + 2 * error, 1.0)]
-    sketched = dict(zip(names, values.approxQuantile(names, around, error)))
-    known = [n for n in names if sketched[n]]
-    if not known:
+    counts = values.agg(*[F.count(n).alias(n) for n in names]).first()
+    zones = {n: _Zone(n, q, counts[n]) for n in names if counts[n]}
+    for _ in range(8):
+        wide = [z for z in zones.values() if z.inside > ordered_rows and not z.settled]
+        if not wide:
+            break
+        _narrow(values, wide, sampled_rows)
+
+    if not zones:
         return dict.fromkeys(columns)
-    counts = values.agg(
-        *[F.count(n).alias(f"{n}_n") for n in known],
-        *[F.count_if(F.col(n) < sketched[n][0]).alias(f"{n}_below") for n in known],
-        *[F.count_if(F.col(n).between(*sketched[n])).alias(f"{n}_in") for n in known],
-    ).first()
-
-    places, kept = {}, []
-    for n in known:
-        position = (counts[f"{n}_n"] - 1) * q
-        first, second, below = floor(position), ceil(position), counts[f"{n}_below"]
-        zone = F.col(n).between(*sketched[n])
-        if not (below <= first and second < below + counts[f"{n}_in"]):
-            zone, below = F.col(n).isNotNull(), 0
-        places[n] = (first - below, second - below, position - first)
-        kept.append(F.when(zone, F.struct(F.lit(n).alias("name"), F.col(n).alias("value"))))
+    kept = [
+        F.when(z.holds(), F.struct(F.lit(n).alias("name"), F.col(n).alias("value")))
+        for n, z in zones.items()
+    ]
     inside = values.select(F.inline(F.array_compact(F.array(*kept))))
     distinct = inside.groupBy("name", "value").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("name").orderBy("value").rowsBetween(
@@ -155,12 +167,57 @@ def exact_quantiles(
         return F.min(F.when(hit, F.col("value")))
 
     ends = ranked.agg(
-        *[value_at(n, places[n][0]).alias(f"{n}_lo") for n in known],
-        *[value_at(n, places[n][1]).alias(f"{n}_hi") for n in known],
+        *[value_at(n, z.first - z.below).alias(f"{n}_lo") for n, z in zones.items()],
+        *[value_at(n, z.second - z.below).alias(f"{n}_hi") for n, z in zones.items()],
     ).first()
     found = dict.fromkeys(columns)
     for c, n in zip(columns, names):
-        if n in places:
+        if n in zones:
             low, high = ends[f"{n}_lo"], ends[f"{n}_hi"]
-            found[c] = low + (high - low) * places[n][2]
+            found[c] = low + (high - low) * zones[n].part
     return found
+
+
+class _Zone:
+    """Interval of a column that holds the wanted ranks, with the exact count below and in it."""
+
+    def __init__(self, name: str, q: float, rows: int):
+        position = (rows - 1) * q
+        self.name, self.first, self.second = name, floor(position), ceil(position)
+        self.part = position - self.first
+        self.low, self.high = -float("inf"), float("inf")
+        self.below, self.inside = 0, rows
+        self.settled = False
+
+    def holds(self):
+        return F.col(self.name).between(self.low, self.high)
+
+    def accept(self, low: float | None, high: float | None, below: int, inside: int) -> None:
+        """Take a narrower interval if the ranks are in it, else stay with this one."""
+        if low is not None and below <= self.first and self.second < below + inside < self.below + self.inside:
+            self.low, self.high, self.below, self.inside = low, high, below, inside
+            self.settled = low == high
+        else:
+            self.settled = True
+
+
+def _narrow(values: DataFrame, zones: Sequence[_Zone], sampled_rows: int) -> None:
+    candidates = values.select(*[F.when(z.holds(), F.col(z.name)).alias(z.name) for z in zones])
+    sample = thinned(candidates.dropna("all"), max(z.inside for z in zones), sampled_rows)
+    margin = 3.0 / sampled_rows**0.5
+    brackets = {}
+    for z in zones:
+        middle = (z.first - z.below + 0.5) / z.inside
+        brackets[z.name] = [max(middle - margin, 0.0), min(middle + margin, 1.0)]
+    ends = sample.agg(*[F.percentile_approx(n, ends, 10_000).alias(n) for n, ends in brackets.items()]).first()
+    tested = [z for z in zones if ends[z.name]]
+    for z in zones:
+        z.settled = z not in tested
+    if not tested:
+        return
+    counts = values.agg(
+        *[F.count_if(F.col(z.name) < ends[z.name][0]).alias(f"{z.name}_below") for z in tested],
+        *[F.count_if(F.col(z.name).between(*ends[z.name])).alias(f"{z.name}_in") for z in tested],
+    ).first()
+    for z in tested:
+        z.accept(*ends[z.name], counts[f"{z.name}_below"], counts[f"{z.name}_in"])

@@ -84,4 +84,11 @@ def test_running_totals_across_ranges(spark):
 def test_exact_median_of_many_values(spark):
     df = spark.range(20001).select(((F.col("id") * 7919) % 20011).cast("double").alias("v"))
     values = sorted(r.v for r in df.collect())
-    assert ranks.exact_quantiles(df, ["v"], error=0.01)["v"] == values[10000]
+    for limits in ({}, {"ordered_rows": 500, "sampled_rows": 2000}, {"ordered_rows": 5, "sampled_rows": 50}):
+        assert ranks.exact_quantiles(df, ["v"], **limits)["v"] == values[10000]
+        assert ranks.exact_quantiles(df, ["v"], 0.9, **limits)["v"] == values[18000]
+
+
+def test_exact_median_of_few_distinct_values(spark):
+    df = spark.range(5000).select((F.col("id") % 3).cast("double").alias("v"), F.lit(None).cast("double").alias("e"))
+    assert ranks.exact_quantiles(df, ["v", "e"], ordered_rows=10, sampled_rows=100) == {"v": 1.0, "e": None}
