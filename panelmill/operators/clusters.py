@@ -18,6 +18,7 @@ from panelmill.operators.scaling import min_max_scale, standard_scale
 from panelmill.session import durable
 
 VECTOR = "__vector"
+UNIFORM = "uniform point "
 
 
 def cluster_features(df: DataFrame, columns: Sequence[str], log_columns: Sequence[str]) -> DataFrame:
@@ -60,13 +61,17 @@ def hopkins(df: DataFrame, columns: Sequence[str], key: Sequence[str], m: int =
         for j in range(len(columns)):
             low, high = bounds[f"lo_{j}"], bounds[f"hi_{j}"]
             point.append(low + _unit(f"{seed}|{i}|{j}") * (high - low))
-        uniform.append((str(i), point))
-    other = neighbours.nearest_distance(real, df, columns, key, exclude_self=True)
-    free = neighbours.nearest_distance(uniform, df, columns, key)
-    w = one_row(other.agg(F.sum("distance").alias("d")))["d"]
-    u = free.agg(F.sum("distance").alias("u"), F.count("*").alias("probes"))
-    ratio = F.coalesce(F.try_divide(F.col("u"), F.col("u") + w), F.lit(0.5))
-    return u.select(ratio.alias("hopkins"), "probes")
+        uniform.append((f"{UNIFORM}{i}", point))
+    # One pass serves both kinds: a sampled row skips itself, a uniform point has no row of its own.
+    nearest = neighbours.nearest_distance(real + uniform, df, columns, key, exclude_self=True)
+    free = F.col("probe").startswith(UNIFORM)
+    sums = nearest.agg(
+        F.sum(F.when(free, F.col("distance"))).alias("u"),
+        F.sum(F.when(~free, F.col("distance"))).alias("w"),
+        F.count_if(free).alias("probes"),
+    )
+    ratio = F.coalesce(F.try_divide(F.col("u"), F.col("u") + F.col("w")), F.lit(0.5))
+    return sums.select(ratio.alias("hopkins"), "probes")
 
 
 def _unit(text: str) -> float:

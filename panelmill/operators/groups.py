@@ -68,12 +68,12 @@ def dominant_value(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
     """
     texts = df.select(*keys, *[F.col(c).cast("string").alias(c) for c in columns])
     long = texts.unpivot(list(keys), list(columns), "__column", "__value")
-    counts = long.filter(F.col("__value").isNotNull()).groupBy(*keys, "__column", "__value").count()
-    best = counts.groupBy(*keys, "__column").agg(
-        F.min(F.struct((-F.col("count")).alias("n"), F.col("__value").alias("v")))["v"].alias("__value")
+    counts = long.groupBy(*keys, "__column", "__value").count()
+    rank = F.struct((-F.col("count")).alias("n"), F.col("__value").alias("v"))
+    known = F.when(F.col("__value").isNotNull(), rank)
+    return counts.groupBy(*keys).agg(
+        *[F.min(F.when(F.col("__column") == c, known))["v"].alias(c) for c in columns]
     )
-    wide = best.groupBy(*keys).pivot("__column", list(columns)).agg(F.first("__value"))
-    return df.select(*keys).distinct().join(wide, list(keys), "left")
 
 
 def level_vs_global(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -655,7 +655,8 @@ def _space(spark, sf) -> DataFrame:
 
 
 def _clustered(spark, sf) -> DataFrame:
-    return clusters.assign_nearest(_space(spark, sf), CENTROIDS, MEASURES)
+    """Labels are stored, as diagnostics pass over them several times."""
+    return durable(clusters.assign_nearest(_space(spark, sf), CENTROIDS, MEASURES))
 
 
 def _raw_clustered(spark, sf) -> DataFrame:
@@ -664,7 +665,7 @@ def _raw_clustered(spark, sf) -> DataFrame:
     kept = rows.withColumns({f"raw_{c}": F.col(c) for c in MEASURES})
     scaled = clusters.cluster_features(kept, MEASURES, LOGGED)
     labelled = clusters.assign_nearest(scaled, CENTROIDS, MEASURES)
-    return labelled.drop(*MEASURES).withColumnsRenamed({f"raw_{c}": c for c in MEASURES})
+    return durable(labelled.drop(*MEASURES).withColumnsRenamed({f"raw_{c}": c for c in MEASURES}))
 
 
 @query
