@@ -91,3 +91,18 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
     for frame in rest:
         head = head.unionByName(frame, allowMissingColumns=True)
     return head
+
+
+def chronological(df: DataFrame, keys: Sequence[str], period: str) -> DataFrame:
+    """By key and period, for presentation only: no operator depends on the order of rows."""
+    return df.orderBy(*keys, period)
+
+
+def by_count(df: DataFrame, *ties: str | Column, count: str = "count") -> DataFrame:
+    """Item sets or patterns, the most frequent first, ties by the given columns."""
+    return df.orderBy(F.desc(count), *ties)
+
+
+def first_rows(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
+    """The first ``n`` rows of an explicit order."""
+    return df.orderBy(*order).limit(n)
