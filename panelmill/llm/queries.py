@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelmill.llm import ngram_join
+from panelmill.llm import ngram_join, order_minhash, packing
+
+TOKENIZER = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,3 +26,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def op4_ngram_join(spark, sf):
     return ngram_join.similar_groups(table(spark, sf, "documents"))
+
+
+def vocabulary(name: str = TOKENIZER) -> str:
+    """The text of a public tokenizer file; executors get it by broadcast."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+@query
+def op5_packing(spark, sf):
+    return packing.packed(table(spark, sf, "documents"), vocabulary())
+
+
+@query
+def op10_order_minhash(spark, sf):
+    return order_minhash.fingerprints(table(spark, sf, "documents"))
