@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelmill.llm import ngram_join, order_minhash, packing
+from panelmill.llm import language_id, ngram_join, order_minhash, packing
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,6 +28,11 @@ def op4_ngram_join(spark, sf):
     return ngram_join.similar_groups(table(spark, sf, "documents"))
 
 
+def fold(key: str, folds: int) -> Column:
+    """crc32 of a key as text, modulo ``folds``; null keys are in none."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % folds
+
+
 def vocabulary(name: str = TOKENIZER) -> str:
     """The text of a public tokenizer file; executors get it by broadcast."""
     import public_tokenizers
@@ -44,3 +49,10 @@ def op5_packing(spark, sf):
 @query
 def op10_order_minhash(spark, sf):
     return order_minhash.fingerprints(table(spark, sf, "documents"))
+
+
+@query
+def op8_language_id(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)))
+    models = language_id.fit(docs, "text", "lang", fold("doc_id", 5) != 0)
+    return language_id.identify(docs, models, ["doc_id", "held_out"])
