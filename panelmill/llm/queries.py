@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelmill.llm import language_id, ngram_join, order_minhash, packing
+from panelmill.llm import language_id, ngram_join, order_minhash, packing, quality
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -56,3 +56,14 @@ def op8_language_id(spark, sf):
     docs = table(spark, sf, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)))
     models = language_id.fit(docs, "text", "lang", fold("doc_id", 5) != 0)
     return language_id.identify(docs, models, ["doc_id", "held_out"])
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    return quality.fit(docs, labels, "doc_id", "text", "quality", fold("doc_id", 3) != 1)
+
+
+@query
+def op3_quality_classifier(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)))
+    model = quality_model(docs, table(spark, sf, "labels"))
+    return quality.scored(docs, model, ["doc_id", "held_out"])
