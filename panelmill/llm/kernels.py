@@ -8,6 +8,7 @@ bounded size; nothing loops over words in Python.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=256)
 def seeds(n: int, stream: int) -> np.ndarray:
-    """``n`` fixed odd 64-bit constants of one stream."""
+    """``n`` fixed odd 64-bit constants of one stream; not to be changed in place."""
     start = np.uint64(stream << 32)
     return mix(start + np.arange(1, n + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
 
 
 def _lowered_values() -> np.ndarray:
-    values = seeds(256, 1)
+    values = seeds(256, 1).copy()
     values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
     return values
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelmill.llm import language_id, ngram_join, order_minhash, packing, quality, toxicity
+from panelmill.llm import decontaminate, language_id, ngram_join, order_minhash, packing, quality, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -74,3 +74,8 @@ def op1_toxicity(spark, sf):
     docs = table(spark, sf, "documents").withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)))
     model = toxicity.fit(docs, table(spark, sf, "labels"), "doc_id", "text", "toxic", fold("doc_id", 5) != 0)
     return toxicity.scored(docs, model, ["doc_id", "held_out"])
+
+
+@query
+def op9_decontamination(spark, sf):
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
