@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelmill.llm import decontaminate, language_id, ngram_join, order_minhash, packing, quality, toxicity
+from panelmill.llm import decontaminate, language_id, ngram_join, order_minhash, packing, quality, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -79,3 +79,8 @@ def op1_toxicity(spark, sf):
 @query
 def op9_decontamination(spark, sf):
     return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op6_warc(spark, sf):
+    return warc.archived(table(spark, sf, "pages"))
