@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelmill.llm import decontaminate, language_id, ngram_join, order_minhash, packing, quality, toxicity, warc
+from panelmill.llm import decontaminate, language_id, line_dedup, ngram_join, order_minhash, packing, quality, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -84,3 +84,9 @@ def op9_decontamination(spark, sf):
 @query
 def op6_warc(spark, sf):
     return warc.archived(table(spark, sf, "pages"))
+
+
+@query
+def op2_line_dedup(spark, sf):
+    rows = line_dedup.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "lines", "removed_lines", "text")
