@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelmill.llm import decontaminate, language_id, line_dedup, ngram_join, order_minhash, packing, quality, toxicity, warc
+from panelmill.llm import decontaminate, language_id, line_dedup, ngram_join, order_minhash, packing, pii, quality, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -90,3 +90,8 @@ def op6_warc(spark, sf):
 def op2_line_dedup(spark, sf):
     rows = line_dedup.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "lines", "removed_lines", "text")
+
+
+@query
+def op7_pii(spark, sf):
+    return pii.personal_data(table(spark, sf, "documents"))
