@@ -160,3 +160,16 @@ def scored(docs: DataFrame, model: Model, columns: list[str], text: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*columns, "score", "predicted"])
 
     return kept.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of 0.5 or more, with all their columns; nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place, names = docs.columns.index(text), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array([held.value.score(f) >= 0.5 for f in features(batch.column(place))], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
