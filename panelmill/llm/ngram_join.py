@@ -13,9 +13,11 @@ at every scale and is the only thing that is broadcast.
 
 Copies and large groups: equal sets become one class first. A first round links
 each class to one pivot per prefix shingle, which is linear in the postings and
-joins a group of near copies without its pairs. A second round takes only the
-shingles that still meet in different groups and verifies those pairs, so no
-link between groups is lost.
+joins a group of near copies without its pairs: each class is verified against
+the pivot with which it shares most of its prefix, then against one more if
+they are not joined yet. The last round takes only the shingles that still
+meet in different groups and verifies all of those pairs, so no link between
+groups is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelmill.llm import kernels as K
 from panelmill.llm.graph import components
+from panelmill.llm.idfilter import passing
 from panelmill.llm.stores import Stores
 
 SLOT_BITS = 18
@@ -35,11 +38,13 @@ _PART = 1 << 12
 _HISTOGRAM = 16
 #: Postings of one shingle beyond what all slots hold on average that one task takes.
 _HOT = 1 << 16
+_SALT = 0xFF
+_PIVOT_ROUNDS = 2
 
 _SCAN = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("spread", pa.list_(pa.int32())), ("part", pa.int32()), ("counts", pa.binary())]
 )
-_POSTINGS = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("fp", pa.int64()), ("np", pa.int64())])
+_POSTINGS = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("np", pa.int64())])
 
 
 def _scan(size: int):
@@ -92,12 +97,14 @@ def _slot_table(scan: DataFrame) -> np.ndarray:
 
 
 def _postings(size: int, percent: int, slots):
+    """Prefix postings (key, fp, np): the last byte of a key is the salt of a hot shingle, else 0; np holds size and position."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = slots.value
         usual = int(2 * table.mean())
-        salts = np.clip((table - usual) // _HOT, 0, 255) + 1
+        salts = (np.clip((table - usual) // _HOT, 0, _SALT) + 1).astype(np.uint64)
         for batch in batches:
-            keys, fps, packed, salted = [], [], [], []
+            keys, fps, packed = [], [], []
             pending = 0
             for s in K.shingles(batch.column(0), size):
                 s = np.unique(s)
@@ -108,16 +115,15 @@ def _postings(size: int, percent: int, slots):
                 slot = (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
                 order = np.lexsort((s, table[slot]))[:take]
                 fp = np.sum(K.mix(s), dtype=np.uint64)
-                keys.append(s[order])
+                keys.append((s[order] & ~np.uint64(_SALT)) | K.mix(fp[None]) % salts[slot[order]])
                 fps.append(np.full(take, fp))
                 packed.append((n << 32) + np.arange(take, dtype=np.int64))
-                salted.append((K.mix(fp[None]) % salts[slot[order]].astype(np.uint64)).astype(np.int32))
                 pending += take
                 if pending > 1 << 18:
-                    yield K.batch_of(_POSTINGS, K.signed(np.concatenate(keys)), np.concatenate(salted), K.signed(np.concatenate(fps)), np.concatenate(packed))
-                    keys, fps, packed, salted, pending = [], [], [], [], 0
+                    yield K.batch_of(_POSTINGS, K.signed(np.concatenate(keys)), K.signed(np.concatenate(fps)), np.concatenate(packed))
+                    keys, fps, packed, pending = [], [], [], 0
             if pending:
-                yield K.batch_of(_POSTINGS, K.signed(np.concatenate(keys)), np.concatenate(salted), K.signed(np.concatenate(fps)), np.concatenate(packed))
+                yield K.batch_of(_POSTINGS, K.signed(np.concatenate(keys)), K.signed(np.concatenate(fps)), np.concatenate(packed))
 
     return run
 
@@ -167,13 +173,26 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, stores: St
     named = named.where(_can_reach(F.col("na"), F.col("nb"), most.cast("long"), percent))
     named = stores.keep(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = named.select(F.col("a").alias("row")).unionByName(named.select(F.col("b").alias("row"))).distinct()
-    held = texts.join(wanted, "row", "left_semi")
+    held = passing(texts, "row", wanted)
     told = named.join(held.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
     told = told.join(held.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
     found = told.select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), "a long, b long")
     return stores.keep(found, "edges")
 
 
+def _places(classes: DataFrame, groups: DataFrame, stores: Stores) -> DataFrame:
+    """(fp, group) of the classes that are linked so far."""
+    at = classes.join(groups, F.col("rep") == F.col("node")).groupBy("fp").agg(F.min("component").alias("at"))
+    return stores.keep(at.select("fp", F.struct(F.lit(False).alias("alone"), "at").alias("group")), "places")
+
+
+def _apart(pairs: DataFrame, place: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of classes that are not in one group yet."""
+    left = place.select(F.col("fp").alias(a), F.col("group").alias("ga"))
+    right = place.select(F.col("fp").alias(b), F.col("group").alias("gb"))
+    return pairs.join(left, a, "left").join(right, b, "left").where("ga is null or gb is null or ga <> gb").drop("ga", "gb")
+
+
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id: long, text).
 
@@ -194,32 +213,42 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFra
     known = meta.where("doc_id is not null and n > 0")
     classes = stores.keep(known.groupBy("n", "fp", "fp2").agg(F.min("doc_id").alias("rep"), F.any_value("spread").alias("spread")), "classes")
 
-    postings = texts.select("text").mapInArrow(_postings(size, percent, slots), "key long, salt int, fp long, np long")
-    by_key = Window.partitionBy("key", "salt").orderBy("fp")
+    postings = texts.select("text").mapInArrow(_postings(size, percent, slots), "key long, fp long, np long")
+    by_key = Window.partitionBy("key").orderBy("fp")
     shared = postings.select("*", F.first(F.struct("fp", "np")).over(by_key).alias("pivot"), F.lag("fp").over(by_key).alias("previous"))
     # Rows of the pivot itself are kept only where another class shares the shingle.
     shared = shared.withColumn("next", F.lead("fp").over(by_key)).where("fp <> pivot.fp or next <> fp")
     shared = shared.where("previous is null or previous <> fp")
-    shared = stores.keep(shared.select("key", "fp", "np", F.col("pivot.fp").alias("pf"), F.col("pivot.np").alias("pn")), "shared")
-
-    direct = shared.where("fp <> pf").where(_positional("np", "pn", percent))
-    hubs = shared.where("fp = pf").groupBy("key").agg(F.min(F.struct("fp", "np")).alias("hub"))
-    between = shared.where("fp = pf").join(hubs, "key").where("fp <> hub.fp").select("fp", "np", F.col("hub.fp").alias("pf"), F.col("hub.np").alias("pn"))
-    first = direct.select("fp", "pf").unionByName(between.where(_positional("np", "pn", percent)).select("fp", "pf"))
-    first = stores.keep(first.select(F.least("fp", "pf").alias("fa"), F.greatest("fp", "pf").alias("fb")).distinct(), "first")
-    twins = classes.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"))
-    edges = _verified(first.unionByName(twins), classes, texts, stores, size, percent)
-
-    groups = components(edges, stores)
-    grouped = classes.join(groups, F.col("rep") == F.col("node")).select("fp", "component")
-    grouped = grouped.groupBy("fp").agg(F.min("component").alias("component"))
-    placed = shared.select("key", "fp", "np").join(grouped, "fp", "left").withColumn("component", F.struct(F.col("component").isNull().alias("alone"), F.coalesce("component", "fp").alias("at")))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    shingle = F.col("key").bitwiseAND(F.lit(~_SALT)).alias("key")
+    shared = stores.keep(shared.select(shingle, "fp", "np", F.col("pivot.fp").alias("pf"), F.col("pivot.np").alias("pn")), "shared")
+
+    direct = shared.where("fp <> pf").where(_positional("np", "pn", percent)).select("fp", "pf")
+    heads = shared.where("fp = pf")
+    hubs = heads.groupBy("key").agg(F.min(F.struct("fp", "np")).alias("hub"), F.count("*").alias("salts")).where("salts > 1")
+    between = heads.join(hubs, "key").where("fp <> hub.fp").select("fp", "np", F.col("hub.fp").alias("pf"), F.col("hub.np").alias("pn"))
+    tries = direct.unionByName(between.where(_positional("np", "pn", percent)).select("fp", "pf"))
+    tries = stores.keep(tries.groupBy("fp", "pf").agg(F.count("*").alias("common")), "tries")
+
+    tried = classes.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"))
+    edges, place = None, None
+    for _ in range(_PIVOT_ROUNDS):
+        ahead = tries if place is None else _apart(tries, place, "fp", "pf").join(tried.select(F.col("fa").alias("fp"), F.col("fb").alias("pf")), ["fp", "pf"], "left_anti")
+        best = ahead.groupBy("fp").agg(F.max(F.struct("common", "pf")).alias("best"))
+        best = stores.keep(best.select(F.col("fp").alias("fa"), F.col("best.pf").alias("fb")), "best")
+        # Classes that share one fingerprint are compared in the first round.
+        found = _verified(best.unionByName(tried) if place is None else best, classes, texts, stores, size, percent)
+        tried = best if place is None else tried.unionByName(best)
+        edges = found if edges is None else edges.unionByName(found)
+        place = _places(classes, components(edges, stores), stores)
+
+    placed = shared.select("key", "fp", "np").join(place, "fp", "left").withColumn("group", F.coalesce("group", F.struct(F.lit(True).alias("alone"), F.col("fp").alias("at"))))
+    open_keys = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
     left_over = stores.keep(placed.join(open_keys, "key", "left_semi"), "open")
     one, two = left_over.alias("x"), left_over.alias("y")
-    met = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.component") != F.col("y.component")) & _positional("x.np", "y.np", percent))
-    second = met.select(F.col("x.fp").alias("fa"), F.col("y.fp").alias("fb")).distinct().join(first, ["fa", "fb"], "left_anti")
-    more = _verified(second, classes, texts, stores, size, percent)
+    met = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.group") != F.col("y.group")) & _positional("x.np", "y.np", percent))
+    rest = met.select(F.col("x.fp").alias("fa"), F.col("y.fp").alias("fb")).distinct()
+    done = tried.select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb"))
+    more = _verified(rest.join(done, ["fa", "fb"], "left_anti"), classes, texts, stores, size, percent)
 
     final = components(edges.unionByName(more), stores)
     ends = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "fp", "fp2", F.coalesce("component", "rep").alias("component_id"))
