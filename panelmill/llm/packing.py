@@ -24,20 +24,21 @@ from panelmill.llm import kernels as K
 from panelmill.llm.stores import Stores
 
 #: Words that a task remembers; beyond that it starts anew, which costs time only.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 _GROUP = 256
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 )
-_LETTERS_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:;=?@\[-`~]+)")
+_LETTERS_AND_MARKS = re.compile(rb"([A-Za-z]+|[A-Za-z\x80-\xff]+)([!-&(-/:;=?@\[-`~]*)")
 
 
 class _WordIds:
     """Ids of words between white space, as little-endian bytes.
 
     Holds for tokenizers whose tokens never span white space and that drop it.
-    A word of letters and ASCII marks is looked up as its two parts.
+    A word of letters and ASCII marks is looked up as its two parts; new parts are
+    encoded many at a time and told apart by the tokens that end a word.
     """
 
     def __init__(self, vocabulary: str):
@@ -45,31 +46,60 @@ class _WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(size, bool)
+        if suffix:
+            for token, i in self.tokenizer.get_vocab().items():
+                self.ends[i] = token.endswith(suffix)
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
+
+    def _learn_parts(self, parts: list[bytes]) -> None:
+        """Parts that the tokenizer takes as one word each."""
+        for low in range(0, len(parts), 4096):
+            some = parts[low : low + 4096]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, self.kind)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some):
+                code, step = ids.tobytes(), self.kind.itemsize
+                stops = (stops * step).tolist()
+                self.parts.update(zip(some, [code[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+            else:
+                self._learn_singly(some, self.parts)
+
+    def _learn_singly(self, some: list[bytes], into: dict[bytes, bytes]) -> None:
+        coded = self.tokenizer.encode_batch([s.decode() for s in some], add_special_tokens=False)
+        into.update((s, np.array(c.ids, self.kind).tobytes()) for s, c in zip(some, coded, strict=True))
 
     def learn(self, missing: set[bytes]) -> None:
-        split, wanted = {}, set()
+        pairs, whole, match = [], [], _LETTERS_AND_MARKS.fullmatch
         for word in missing:
-            text = word.decode()
-            found = _LETTERS_AND_MARKS.fullmatch(text)
-            if found and found[1].isalpha():
-                parts = (found[1].lower() if found[1].isascii() else found[1], found[2])
-            else:
-                parts = (text.lower() if text.isascii() and text.isalpha() else text,)
-            split[word] = parts
-            wanted.update(p for p in parts if p not in self.parts)
-        wanted = list(wanted)
-        for part, code in zip(wanted, self.tokenizer.encode_batch(wanted, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(code.ids, self.kind).tobytes()
-        for word, parts in split.items():
-            self.words[word] = b"".join([self.parts[p] for p in parts])
+            found = match(word)
+            if found is not None:
+                head, tail = found.groups()
+                if head.isascii():
+                    pairs.append((word, head.lower(), tail))
+                    continue
+                if head.decode().isalpha():
+                    pairs.append((word, head, tail))
+                    continue
+            whole.append(word)
+        fresh = {h for _, h, _ in pairs}.union(t for _, _, t in pairs).difference(self.parts)
+        if fresh:
+            self._learn_parts(list(fresh))
+        if whole:
+            self._learn_singly(whole, self.words)
+        parts = self.parts
+        self.words.update((w, parts[h] + parts[t]) for w, h, t in pairs)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [t.split() for t in texts]
-        if len(self.words) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
-            self.words, self.parts = {}, {}
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {b"": b""}
         missing = set().union(*split).difference(self.words)
         if missing:
             self.learn(missing)
