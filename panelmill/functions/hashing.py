@@ -13,11 +13,5 @@ def seeded_hash(keys: Sequence[str | Column], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
-def unit_interval(digest: Column, start: int = 1) -> Column:
-    """Eight hex digits of a digest as a number in [0, 1)."""
-    digits = F.substring(digest, start, 8)
-    return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
-
-
 def _column(key: str | Column) -> Column:
     return F.col(key) if isinstance(key, str) else key

@@ -30,12 +30,12 @@ def percent_change(later: Column, earlier: Column, floor: float = 1e-9) -> Colum
     return F.when(F.abs(earlier) > floor, (later - earlier) / F.abs(earlier) * 100.0)
 
 
-def separation_band(score: Column) -> Column:
-    """Quality word of a silhouette."""
+def separation_band(score: Column, fair: float = 0.35, strong: float = 0.5) -> Column:
+    """Quality word of a silhouette; the bounds are those customary for Euclidean distances."""
     return (
         F.when(score < 0, "Poor")
-        .when(score < 0.35, "Weak")
-        .when(score < 0.5, "Fair")
+        .when(score < fair, "Weak")
+        .when(score < strong, "Fair")
         .when(score.isNotNull(), "Strong")
     )
 

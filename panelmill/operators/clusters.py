@@ -19,6 +19,7 @@ from panelmill.session import durable
 
 VECTOR = "__vector"
 UNIFORM = "uniform point "
+BANDS = (0.35, 0.5)
 
 
 def cluster_features(df: DataFrame, columns: Sequence[str], log_columns: Sequence[str]) -> DataFrame:
@@ -40,7 +41,8 @@ def hopkins(df: DataFrame, columns: Sequence[str], key: Sequence[str], m: int =
     """Hopkins statistic in one row: above 0.5 means a tendency to cluster.
 
     Distances from m uniform points and from m sampled rows to their nearest
-    rows. Only the bounds and the m sampled rows (m <= 500) reach the driver.
+    rows; m is at most a tenth of the rows. Only the bounds and the m sampled
+    rows reach the driver.
     """
     spark = df.sparkSession
     bounds = df.agg(
@@ -48,7 +50,7 @@ def hopkins(df: DataFrame, columns: Sequence[str], key: Sequence[str], m: int =
         *[F.min(c).alias(f"lo_{i}") for i, c in enumerate(columns)],
         *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(columns)],
     ).first()
-    size = min(m, neighbours.MAX_PROBES // 2, max(1, bounds["n"] // 10))
+    size = min(m, max(1, bounds["n"] // 10))
     if bounds["n"] <= 1:
         return spark.range(1).select(F.lit(0.5).alias("hopkins"), F.lit(0).cast("long").alias("probes"))
     picked = neighbours.sampled_rows(df, key, size, seed).select(
@@ -84,14 +86,17 @@ def assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def kmeans_fit(
-    df: DataFrame, columns: Sequence[str], k: int, n_init: int = 10, seed: int = 42, max_iter: int = 100
+    df: DataFrame, columns: Sequence[str], k: int, n_init: int = 10, seed: int = 42, max_iter: int = 300
 ):
     """The model with the lowest inertia of ``n_init`` runs.
 
     The features are stored once; each run keeps its own decoded copy while it
     iterates.
     """
-    vectors = durable(assembled(df.select(*columns), columns).select(VECTOR))
+    return _best_of(durable(assembled(df.select(*columns), columns).select(VECTOR)), k, n_init, seed, max_iter)
+
+
+def _best_of(vectors: DataFrame, k: int, n_init: int, seed: int, max_iter: int):
     models = [
         KMeans(k=k, seed=seed + run, maxIter=max_iter, featuresCol=VECTOR).fit(vectors)
         for run in range(n_init)
@@ -123,21 +128,25 @@ def kmeans_sweep(
     selected: int = 8,
     n_init: int = 10,
     seed: int = 42,
+    max_iter: int = 300,
 ) -> DataFrame:
-    """Inertia and mean silhouette per K; one row per fitted model."""
-    features = durable(df.select(*columns))
+    """Inertia and mean silhouette of squared distances per K; one row per fitted model.
+
+    The vectors are stored once for all K.
+    """
+    features = durable(assembled(df.select(*columns), columns).select(*columns, VECTOR))
     rows = []
     for k in ks:
-        model = kmeans_fit(features, columns, k, n_init, seed)
+        model = _best_of(features.select(VECTOR), k, n_init, seed, max_iter)
         labelled = assign_nearest(features, sorted_centroids(model), columns)
         scores = silhouette_sq(labelled, columns, "cluster")
-        mean = scores.agg(F.avg("silhouette").alias("s")).first()["s"]
+        mean = scores.agg(F.avg("silhouette_sq").alias("s")).first()["s"]
         rows.append((k, float(model.summary.trainingCost), mean, k == selected))
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, selected boolean")
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette_sq double, selected boolean")
 
 
 def silhouette_sq(
-    df: DataFrame, columns: Sequence[str], label: str, out: str = "silhouette"
+    df: DataFrame, columns: Sequence[str], label: str, out: str = "silhouette_sq"
 ) -> DataFrame:
     """Silhouette of every row with squared Euclidean distances.
 
@@ -176,30 +185,6 @@ def _score(a: Column, b: Column, n: Column) -> Column:
     return F.when(b.isNull(), F.lit(None).cast("double")).when(n <= 1, 0.0).otherwise(ratio)
 
 
-def silhouette_sampled(
-    df: DataFrame, columns: Sequence[str], key: Sequence[str], label: str, m: int = 500, seed: int = 42
-) -> DataFrame:
-    """Exact Euclidean silhouette of ``m`` sampled rows against all rows: (probe, label, silhouette)."""
-    picked = neighbours.sampled_rows(df, key, m, seed).select(
-        neighbours.row_key(key).alias("key"),
-        F.col(label).cast("string").alias("label"),
-        *[F.col(c).cast("double").alias(c) for c in columns],
-    )
-    rows = picked.collect()
-    probes = [(row["key"], [row[c] for c in columns]) for row in rows]
-    sums = neighbours.distance_sums(probes, df, columns, label)
-    own = df.sparkSession.createDataFrame([(r["key"], r["label"]) for r in rows], "probe string, own string")
-    joined = sums.join(own, "probe")
-    mine = F.col("label") == F.col("own")
-    scores = joined.groupBy("probe", "own").agg(
-        F.max(F.when(mine, F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"),
-        F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("b"),
-        F.max(F.when(mine, F.col("n"))).alias("n"),
-    )
-    value = _score(F.col("a"), F.col("b"), F.col("n"))
-    return scores.select("probe", F.col("own").alias("label"), value.alias("silhouette"))
-
-
 def cluster_distribution(df: DataFrame, label: str) -> DataFrame:
     return group_share(df, [label])
 
@@ -230,60 +215,50 @@ def cluster_profile(
     return profile.join(renamed, label, "left")
 
 
-def cluster_rule_text(
-    profile: DataFrame,
-    label: str,
-    words: Mapping[str, str],
-    kind: str,
-    place: str,
-    soil: str,
-    water: str,
-    out: str = "rule",
+def cluster_rules(
+    profile: DataFrame, label: str, levels: Sequence[str], roles: Mapping[str, str]
 ) -> DataFrame:
-    """A sentence per cluster: its levels as conditions, its dominant categories as conclusion."""
-    conditions = F.concat_ws(
-        ", ", *[F.concat(F.col(f"level_{c}"), F.lit(f" {word}")) for c, word in words.items()]
-    )
+    """Per cluster its level conditions and its dominant values by role.
 
-    def known(name: str, role: str) -> Column:
-        return F.coalesce(F.col(f"dominant_{name}").cast("string"), F.lit(f"unknown {role}"))
-
-    text = F.concat(
-        F.lit("IF "),
-        conditions,
-        F.lit(", THEN Cluster "),
-        F.col(label).cast("string"),
-        F.lit(" is typically associated with "),
-        known(kind, "crop"),
-        F.lit(" in "),
-        known(place, "region"),
-        F.lit(", "),
-        known(soil, "soil"),
-        F.lit(" soil, and "),
-        known(water, "water source"),
-        F.lit(" water source."),
-    )
-    return profile.withColumn(out, text)
+    ``conditions`` is an array of ``column level`` texts in the order of
+    ``levels``; ``typical`` a struct with a field per role of ``roles`` (role to
+    column), NULL where a cluster has no known value.
+    """
+    conditions = F.array(*[F.concat_ws(" ", F.lit(c), F.lower(f"level_{c}")) for c in levels])
+    typical = F.struct(*[F.col(f"dominant_{c}").cast("string").alias(role) for role, c in roles.items()])
+    return profile.select(label, conditions.alias("conditions"), typical.alias("typical"))
 
 
-def cluster_quality(scored: DataFrame, label: str, score: str = "silhouette") -> DataFrame:
-    """Mean silhouette per cluster with its band, weak and poor flags and the strongest cluster."""
+def cluster_quality(
+    scored: DataFrame,
+    label: str,
+    score: str = "silhouette_sq",
+    bands: Sequence[float] = BANDS,
+) -> DataFrame:
+    """Mean silhouette per cluster with its band, weak and poor flags and the strongest cluster.
+
+    ``bands`` are the lower bounds of fair and strong. The default ones are
+    customary for plain Euclidean distances; silhouettes of squared distances
+    are larger in size, so their words are not comparable with those.
+    """
     means = scored.groupBy(label).agg(F.count("*").alias("count"), F.avg(score).alias("mean_silhouette"))
     best = one_row(means.agg(F.min(F.struct((-F.col("mean_silhouette")).alias("s"), F.col(label).alias("id"))).alias("b")))
     value = F.col("mean_silhouette")
     return means.withColumns(
         {
-            "quality": separation_band(value),
-            "weak": value < 0.35,
+            "quality": separation_band(value, *bands),
+            "weak": value < bands[0],
             "poor": value < 0,
             "strongest": F.col(label) == best["b"]["id"],
         }
     )
 
 
-def overall_quality(scored: DataFrame, score: str = "silhouette") -> DataFrame:
+def overall_quality(
+    scored: DataFrame, score: str = "silhouette_sq", bands: Sequence[float] = BANDS
+) -> DataFrame:
     return scored.agg(F.avg(score).alias("overall_silhouette")).withColumn(
-        "quality", separation_band(F.col("overall_silhouette"))
+        "quality", separation_band(F.col("overall_silhouette"), *bands)
     )
 
 

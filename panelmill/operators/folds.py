@@ -20,7 +20,7 @@ def stratified_folds(
     leading digits of the hash are the ranges of a running count, so a class
     with half of all rows is still spread over many tasks.
     """
-    digits = max(1, ceil(log(range_count(df), 16)))
+    digits = max(1, ceil(log(range_count(df, df.count()), 16)))
     dealt = df.withColumn("__order", seeded_hash(keys, seed))
     dealt = dealt.withColumns(
         {

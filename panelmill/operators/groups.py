@@ -26,10 +26,6 @@ def distinct_groups(df: DataFrame, keys: Sequence[str], out: str = "groups") ->
     return with_keys(df, keys).select(*keys).distinct().agg(F.count("*").alias(out))
 
 
-def distinct_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.select(*keys).distinct()
-
-
 def first_row_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key, the first in an explicit order."""
     return top_k_per_group(df, keys, order, 1).drop("rank")
@@ -64,16 +60,23 @@ def dominant_value(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
     """Most frequent value of each column per group; ties go to the smallest, NULL is ignored.
 
     Values are counted as rows of their own, so a column of high cardinality
-    never sits in the memory of one aggregation buffer.
+    never sits in the memory of one aggregation buffer. Values keep their type,
+    so numbers are compared as numbers.
     """
-    texts = df.select(*keys, *[F.col(c).cast("string").alias(c) for c in columns])
-    long = texts.unpivot(list(keys), list(columns), "__column", "__value")
-    counts = long.groupBy(*keys, "__column", "__value").count()
-    rank = F.struct((-F.col("count")).alias("n"), F.col("__value").alias("v"))
-    known = F.when(F.col("__value").isNotNull(), rank)
-    return counts.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("__column") == c, known))["v"].alias(c) for c in columns]
-    )
+    kinds = {c: df.schema[c].dataType.simpleString() for c in columns}
+    own = [
+        F.struct(F.lit(i).alias("column"), *[(F.col(c) if j == i else F.lit(None).cast(kinds[d])).alias(f"v{j}") for j, d in enumerate(columns)])
+        for i, c in enumerate(columns)
+    ]
+    long = df.select(*keys, F.inline(F.array(*own)))
+    values = [f"v{i}" for i in range(len(columns))]
+    counts = long.groupBy(*keys, "column", *values).count()
+    found = []
+    for i, c in enumerate(columns):
+        rank = F.struct((-F.col("count")).alias("n"), F.col(f"v{i}").alias("v"))
+        mine = (F.col("column") == i) & F.col(f"v{i}").isNotNull()
+        found.append(F.min(F.when(mine, rank))["v"].alias(c))
+    return counts.groupBy(*keys).agg(*found)
 
 
 def level_vs_global(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -91,18 +94,3 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
     for frame in rest:
         head = head.unionByName(frame, allowMissingColumns=True)
     return head
-
-
-def chronological(df: DataFrame, keys: Sequence[str], period: str) -> DataFrame:
-    """By key and period, for presentation only: no operator depends on the order of rows."""
-    return df.orderBy(*keys, period)
-
-
-def by_count(df: DataFrame, *ties: str | Column, count: str = "count") -> DataFrame:
-    """Item sets or patterns, the most frequent first, ties by the given columns."""
-    return df.orderBy(F.desc(count), *ties)
-
-
-def first_rows(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
-    """The first ``n`` rows of an explicit order."""
-    return df.orderBy(*order).limit(n)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
-from math import comb
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,8 +10,6 @@ from panelmill.functions import items as I
 from panelmill.functions.params import one_row
 from panelmill.session import durable
 
-MAX_GROUPINGS = 400
-
 
 def transactions(df: DataFrame, columns: Sequence[str], out: str = "items") -> DataFrame:
     """Each row with its ``column=value`` items, in the order of the columns."""
@@ -25,22 +21,15 @@ def frequent_itemsets(
 ) -> DataFrame:
     """Item sets (items, size, count, support) that reach the support, up to ``max_size`` items.
 
-    A row holds one item per column, so a set is a choice of columns with
-    their values. Equal rows are counted first, by partial aggregation before
-    the shuffle; grouping sets over the column choices then work on distinct
-    rows only. Tables with many columns go through ``weighted_itemsets``.
+    A row holds one item per column. Equal rows are counted first, by partial
+    aggregation before the shuffle; the search level by level then works on
+    distinct rows only, without their rare values.
     """
     texts = df.select([I.item_text(c).alias(c) for c in columns])
     distinct = texts.groupBy(*columns).agg(F.count("*").alias("weight"))
     total = one_row(distinct.agg(F.sum("weight").alias("n")))["n"]
-    groupings = sum(comb(len(columns), k) for k in range(1, max_size + 1))
-    if groupings > MAX_GROUPINGS:
-        baskets = distinct.select(F.array_sort(F.array(*columns)).alias("items"), "weight")
-        return weighted_itemsets(baskets, total, min_support, max_size)
-    choices = [list(c) for k in range(1, max_size + 1) for c in combinations(columns, k)]
-    counted = distinct.groupingSets(choices, *columns).agg(F.sum("weight").alias("count"))
-    sets = counted.select(F.array_sort(F.array_compact(F.array(*columns))).alias("items"), "count")
-    return _supported(sets, total, min_support)
+    baskets = distinct.select(F.array_sort(F.array(*columns)).alias("items"), "weight")
+    return weighted_itemsets(durable(baskets), total, min_support, max_size)
 
 
 def frequent_itemsets_baskets(
@@ -53,7 +42,7 @@ def frequent_itemsets_baskets(
     size divided by the support), whatever the number of its rows.
     """
     pairs = df.select(F.col(basket).alias("basket"), F.col(item).cast("string").alias("item"))
-    pairs = pairs.filter(F.col("basket").isNotNull()).distinct()
+    pairs = durable(pairs.filter(F.col("basket").isNotNull()).distinct())
     total = F.lit(pairs.select("basket").distinct().count())
     present = pairs.filter(F.col("item").isNotNull())
     frequent = present.groupBy("item").agg(F.count("*").alias("n"))
@@ -73,36 +62,54 @@ def weighted_itemsets(
 ) -> DataFrame:
     """Frequent sets of distinct sorted item arrays with a weight, level by level.
 
-    Only frequent items take part, and a set of k items grows from a frequent
-    set of k-1 items by an item that follows in the basket, since every part
-    of a frequent set is frequent.
+    Rare items are dropped and baskets that agree in the rest are merged. The
+    candidates of a level are joined from the frequent sets of the level before and
+    pruned by all of their parts; they are few. A basket grows only to
+    candidates. The frequent sets and the grown baskets of each level are
+    stored, so every level reads the one before once.
     """
     long = baskets.select(F.explode("items").alias("item"), "weight")
     singles = long.groupBy("item").agg(F.sum("weight").alias("n"))
-    kept = singles.filter(F.col("n") / total >= min_support)
+    kept = durable(singles.filter(F.col("n") / total >= min_support))
     vocabulary = one_row(kept.agg(F.collect_list("item").alias("items")))["items"]
     reduced = (
         baskets.select(F.array_intersect("items", vocabulary).alias("basket"), "weight")
         .groupBy("basket")
         .agg(F.sum("weight").alias("weight"))
     )
-    later = F.posexplode("basket").alias("position", "item")
-    grown = reduced.select("basket", "weight", later)
-    grown = grown.select("basket", "weight", "position", F.array("item").alias("items"))
-    levels = [_counted(grown, total, min_support)]
-    for _ in range(1, max_size):
-        parts = grown.join(levels[-1].select("items"), "items", "left_semi")
-        rest = parts.select("basket", "weight", "items", F.col("position").alias("last"), later)
-        grown = rest.filter(F.col("position") > F.col("last")).select(
-            "basket", "weight", "position", F.array_append("items", F.col("item")).alias("items")
+    reduced = durable(reduced.filter(F.size("basket") > 0))
+    grown = reduced.select("basket", "weight", F.explode("basket").alias("item"))
+    grown = grown.select("basket", "weight", F.array("item").alias("items"))
+    levels = [durable(_counted(grown, total, min_support))]
+    for size in range(2, max_size + 1):
+        grown = grown.join(_candidates(levels[-1], size), "items")
+        grown = grown.filter(F.array_contains("basket", F.col("last"))).select(
+            "basket", "weight", F.array_append("items", F.col("last")).alias("items")
         )
-        levels.append(_counted(grown, total, min_support))
+        if size < max_size:
+            grown = durable(grown)
+        levels.append(durable(_counted(grown, total, min_support)))
     sets = levels[0]
     for level in levels[1:]:
         sets = sets.unionByName(level)
     return sets
 
 
+def _candidates(level: DataFrame, size: int) -> DataFrame:
+    """Extensions (items, last) of frequent sets to sets of ``size`` items whose parts are all frequent."""
+    parts = level.select(F.slice("items", 1, size - 2).alias("head"), F.element_at("items", -1).alias("last"))
+    left, right = parts.withColumnRenamed("last", "first"), parts
+    joined = left.join(right, "head").filter(F.col("first") < F.col("last"))
+    items = F.array_append("head", F.col("first"))
+    made = joined.select(items.alias("items"), "last", F.array_append(items, F.col("last")).alias("set"))
+    if size == 2:
+        return made.select("items", "last")
+    every = made.select("set", F.explode(F.transform("set", lambda x: F.array_remove("set", x))).alias("part"))
+    known = every.join(level.select(F.col("items").alias("part")), "part", "left_semi")
+    whole = known.groupBy("set").agg(F.count("*").alias("n")).filter(F.col("n") == size)
+    return made.join(whole.select("set"), "set", "left_semi").select("items", "last")
+
+
 def _counted(grown: DataFrame, total: Column, min_support: float) -> DataFrame:
     return _supported(grown.groupBy("items").agg(F.sum("weight").alias("count")), total, min_support)
 

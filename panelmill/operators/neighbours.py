@@ -1,8 +1,9 @@
-"""Distances from a bounded set of probe rows to all rows of a table.
+"""Distances from a set of probe points to all rows of a table.
 
-The probes (at most ``MAX_PROBES``, checked) travel with the task closure.
-Each task folds its rows into one partial result per probe with NumPy, so a
-shuffle carries probes times tasks rows and no pair is ever written out.
+The probes travel with the task closure in blocks of ``BLOCK``; each block is a
+pass of its own. A task folds its rows into one partial result per probe with
+NumPy, so a shuffle carries probes times tasks rows and no pair is ever
+written out.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from panelmill.functions.hashing import seeded_hash
+from panelmill.operators.groups import stack
 
-MAX_PROBES = 2000
+BLOCK = 2000  # probes in one pass
 CELLS = 100_000  # distances at a time: they stay in the cache of a core
 
 
@@ -36,8 +38,19 @@ def nearest_distance(
     key: Sequence[str],
     exclude_self: bool = False,
 ) -> DataFrame:
-    """(probe, distance) to the nearest row, or to the nearest other row."""
-    names, points = _checked(probes)
+    """(probe, distance) to the nearest row, or to the nearest other row; any number of probes."""
+    blocks = [probes[i : i + BLOCK] for i in range(0, len(probes), BLOCK)] or [[]]
+    return stack([_nearest_of_block(block, df, columns, key, exclude_self) for block in blocks])
+
+
+def _nearest_of_block(
+    probes: Sequence[tuple[str, Sequence[float]]],
+    df: DataFrame,
+    columns: Sequence[str],
+    key: Sequence[str],
+    exclude_self: bool,
+) -> DataFrame:
+    names, points = [name for name, _ in probes], np.array([point for _, point in probes], dtype=float)
     parts, squared_to = _kernels(columns, points)
     rows = df.select(row_key(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in columns])
 
@@ -59,38 +72,6 @@ def nearest_distance(
     return nearest.select("probe", F.sqrt("squared").alias("distance"))
 
 
-def distance_sums(
-    probes: Sequence[tuple[str, Sequence[float]]], df: DataFrame, columns: Sequence[str], label: str
-) -> DataFrame:
-    """(probe, label, total, n): summed Euclidean distances to the rows of each label."""
-    names, points = _checked(probes)
-    parts, squared_to = _kernels(columns, points)
-    rows = df.select(
-        F.col(label).cast("string").alias("label"), *[F.col(c).cast("double").alias(c) for c in columns]
-    )
-
-    def fold(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[str, np.ndarray] = {}
-        sizes: dict[str, int] = {}
-        for batch in batches:
-            for part in parts(batch):
-                distances = np.sqrt(squared_to(part))
-                for value, index in part.reset_index(drop=True).groupby("label").indices.items():
-                    totals[value] = totals.get(value, 0.0) + distances[index].sum(axis=0)
-                    sizes[value] = sizes.get(value, 0) + len(index)
-        for value, total in totals.items():
-            yield pd.DataFrame({"probe": names, "label": value, "total": total, "n": sizes[value]})
-
-    folded = rows.mapInPandas(fold, "probe string, label string, total double, n long")
-    return folded.groupBy("probe", "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-
-
-def _checked(probes: Sequence[tuple[str, Sequence[float]]]) -> tuple[list[str], np.ndarray]:
-    if len(probes) > MAX_PROBES:
-        raise ValueError(f"{len(probes)} probes, at most {MAX_PROBES} are allowed")
-    return [name for name, _ in probes], np.array([point for _, point in probes], dtype=float)
-
-
 def _kernels(columns: Sequence[str], points: np.ndarray):
     """Functions for the tasks; local ones are shipped by value, so workers need no copy of this module."""
     names = list(columns)

@@ -14,14 +14,17 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelmill.functions.numeric import null_if_nan
+from panelmill.session import durable
 
 RANGE = "__range"
 SAMPLED_ROWS = 1_000_000
+RANGE_ROWS = 2_000_000
 
 
-def range_count(df: DataFrame) -> int:
-    """As many ranges as the session has shuffle partitions."""
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def range_count(df: DataFrame, rows: int = 0) -> int:
+    """As many ranges as the session has shuffle partitions, more if a range would exceed ``RANGE_ROWS``."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, partitions, ceil(rows / RANGE_ROWS))
 
 
 def thinned(values: DataFrame, known: int, wanted: int) -> DataFrame:
@@ -38,9 +41,10 @@ def thinned(values: DataFrame, known: int, wanted: int) -> DataFrame:
 
 def split_points(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
     """Approximate quantiles that cut the column in ranges; only these numbers reach the driver."""
-    ranges = ranges or range_count(df)
     values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
-    sample = thinned(values, values.count(), max(SAMPLED_ROWS, 200 * ranges))
+    rows = values.count()
+    ranges = ranges or range_count(df, rows)
+    sample = thinned(values, rows, max(SAMPLED_ROWS, 200 * ranges))
     probabilities = [i / ranges for i in range(1, ranges)]
     points = sample.approxQuantile("v", probabilities, 1 / (4 * ranges))
     return sorted(set(points))
@@ -132,10 +136,12 @@ def exact_quantiles(
     """Exact, interpolated quantile of each column, None for an empty one.
 
     A fit step like ``approxQuantile``. While a column has more than
-    ``ordered_rows`` candidates, quantiles of a sample bracket the wanted ranks
-    and one pass counts the values below and in the bracket. A bracket that
-    the counts do not confirm is not used, so the result is exact in any case.
-    Only the last candidates are put in order.
+    ``ordered_rows`` candidates, quantiles of a sample of its own candidates
+    bracket the wanted ranks and one pass counts the values below and in the
+    bracket. If the ranks lie beside the bracket, the search goes on there; if
+    they straddle its end, with a wider one. So the candidates shrink in every
+    round, whatever the share of missing values. The last candidates are
+    ordered by ``running_totals``, in ranges over all columns together.
     """
     names = [f"c{i}" for i in range(len(columns))]
     values = df.select(
@@ -143,10 +149,7 @@ def exact_quantiles(
     )
     counts = values.agg(*[F.count(n).alias(n) for n in names]).first()
     zones = {n: _Zone(n, q, counts[n]) for n in names if counts[n]}
-    for _ in range(8):
-        wide = [z for z in zones.values() if z.inside > ordered_rows and not z.settled]
-        if not wide:
-            break
+    while wide := [z for z in zones.values() if z.inside > ordered_rows and not z.settled]:
         _narrow(values, wide, sampled_rows)
 
     if not zones:
@@ -156,11 +159,8 @@ def exact_quantiles(
         for n, z in zones.items()
     ]
     inside = values.select(F.inline(F.array_compact(F.array(*kept))))
-    distinct = inside.groupBy("name", "value").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("name").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranked = distinct.withColumn("seen", F.sum("n").over(upto))
+    distinct = durable(inside.groupBy("name", "value").agg(F.count("*").alias("n")))
+    ranked = running_totals(distinct, "value", {"seen": "n"}, ["name"])
 
     def value_at(name: str, rank: int):
         hit = (F.col("name") == name) & (F.col("seen") > rank)
@@ -179,45 +179,78 @@ def exact_quantiles(
 
 
 class _Zone:
-    """Interval of a column that holds the wanted ranks, with the exact count below and in it."""
+    """Interval of a column that holds the wanted ranks, with the exact count below and in it.
+
+    ``above`` and ``under`` exclude the ends: values are over ``above`` and under
+    ``under``, and between ``low`` and ``high``.
+    """
 
     def __init__(self, name: str, q: float, rows: int):
         position = (rows - 1) * q
         self.name, self.first, self.second = name, floor(position), ceil(position)
         self.part = position - self.first
-        self.low, self.high = -float("inf"), float("inf")
+        self.low = self.high = self.above = self.under = None
         self.below, self.inside = 0, rows
         self.settled = False
+        self.width = 3.0
 
     def holds(self):
-        return F.col(self.name).between(self.low, self.high)
-
-    def accept(self, low: float | None, high: float | None, below: int, inside: int) -> None:
-        """Take a narrower interval if the ranks are in it, else stay with this one."""
-        if low is not None and below <= self.first and self.second < below + inside < self.below + self.inside:
-            self.low, self.high, self.below, self.inside = low, high, below, inside
+        value = F.col(self.name)
+        held = value.isNotNull()
+        for bound, test in (
+            (self.low, value.__ge__),
+            (self.high, value.__le__),
+            (self.above, value.__gt__),
+            (self.under, value.__lt__),
+        ):
+            if bound is not None:
+                held = held & test(F.lit(bound))
+        return held
+
+    def accept(self, low: float, high: float, below: int, inside: int) -> None:
+        """Go on in the bracket, or on the side of it that holds the ranks.
+
+        ``below`` counts the candidates under the bracket, ``inside`` those in it.
+        """
+        first, second, before = self.first - self.below, self.second - self.below, self.inside
+        if below <= first and second < below + inside:
+            self.low, self.high, self.above, self.under = low, high, None, None
+            self.below, self.inside = self.below + below, inside
             self.settled = low == high
-        else:
-            self.settled = True
+        elif second < below:
+            self.high, self.under, self.inside = None, low, below
+        elif first >= below + inside:
+            self.low, self.above = None, high
+            self.below, self.inside = self.below + below + inside, before - below - inside
+        if self.inside == before:
+            self.width *= 2
+            # A bracket over all candidates that does not shrink holds equal values.
+            self.settled = self.settled or (low == high) or self.width > 1e6
 
 
 def _narrow(values: DataFrame, zones: Sequence[_Zone], sampled_rows: int) -> None:
-    candidates = values.select(*[F.when(z.holds(), F.col(z.name)).alias(z.name) for z in zones])
-    sample = thinned(candidates.dropna("all"), max(z.inside for z in zones), sampled_rows)
-    margin = 3.0 / sampled_rows**0.5
+    """One sample per column, of its own candidates, and one pass that counts against its brackets."""
+    drawn = [
+        F.when(z.holds() & (F.rand(17 + i) < min(1.0, sampled_rows / z.inside)), F.col(z.name)).alias(z.name)
+        for i, z in enumerate(zones)
+    ]
+    sample = durable(values.select(*drawn).dropna("all").repartition(range_count(values)))
+    sizes = sample.agg(*[F.count(z.name).alias(z.name) for z in zones]).first()
     brackets = {}
     for z in zones:
+        margin = z.width / max(1, sizes[z.name]) ** 0.5
         middle = (z.first - z.below + 0.5) / z.inside
         brackets[z.name] = [max(middle - margin, 0.0), min(middle + margin, 1.0)]
     ends = sample.agg(*[F.percentile_approx(n, ends, 10_000).alias(n) for n, ends in brackets.items()]).first()
     tested = [z for z in zones if ends[z.name]]
     for z in zones:
-        z.settled = z not in tested
+        if z not in tested:  # nothing was drawn from few candidates: order them all
+            z.settled = True
     if not tested:
         return
     counts = values.agg(
-        *[F.count_if(F.col(z.name) < ends[z.name][0]).alias(f"{z.name}_below") for z in tested],
-        *[F.count_if(F.col(z.name).between(*ends[z.name])).alias(f"{z.name}_in") for z in tested],
+        *[F.count_if(z.holds() & (F.col(z.name) < ends[z.name][0])).alias(f"{z.name}_below") for z in tested],
+        *[F.count_if(z.holds() & F.col(z.name).between(*ends[z.name])).alias(f"{z.name}_in") for z in tested],
     ).first()
     for z in tested:
         z.accept(*ends[z.name], counts[f"{z.name}_below"], counts[f"{z.name}_in"])

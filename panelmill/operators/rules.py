@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelmill.functions import items as I
 from panelmill.functions.labels import HIGH, LOW
+from panelmill.functions.params import fitted
 from panelmill.operators.itemsets import frequent_itemsets, transactions
 
 RULE_FEATURES = [
@@ -81,28 +82,23 @@ def _antecedent_keys(items: Column, width: int, longest: int) -> Column:
     return F.array(*keys)
 
 
-def _known_length(antecedent: Column, longest: int) -> Column:
-    message = F.lit(f"a rule antecedent has more than {longest} items; raise longest_antecedent")
-    return F.when(F.size(antecedent) > longest, F.raise_error(message)).otherwise(
-        F.array_sort(antecedent)
-    )
-
-
 def match_rules(
-    df: DataFrame, rules: DataFrame, columns: Sequence[str], longest_antecedent: int = 2
+    df: DataFrame, rules: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
     """Each distinct combination of the categories with every rule whose antecedent it satisfies.
 
     Matching depends on the categories alone, so it runs once per distinct
     combination instead of once per row. A combination is expanded to its
-    small subsets, which meet the antecedents in an equi-join; an antecedent
-    item without ``=`` equals no subset and never matches, the empty
+    subsets up to the length of the longest antecedent, which a one-row
+    aggregate of the rules tells; they meet the antecedents in an equi-join. An
+    antecedent item without ``=`` equals no subset and never matches, the empty
     antecedent equals the empty subset.
     """
     combos = transactions(df, columns).select("items").distinct()
-    keys = _antecedent_keys(F.col("items"), len(columns), longest_antecedent)
+    longest = fitted(rules.agg(F.max(F.size("antecedent")).alias("n")))["n"] or 0
+    keys = _antecedent_keys(F.col("items"), len(columns), min(longest, len(columns)))
     keyed = combos.select("items", F.explode(keys).alias("antecedent"))
-    sides = rules.withColumn("antecedent", _known_length(F.col("antecedent"), longest_antecedent))
+    sides = rules.withColumn("antecedent", F.array_sort("antecedent"))
     return keyed.join(sides, "antecedent")
 
 
@@ -113,7 +109,6 @@ def rule_features(
     level: str,
     high: str = HIGH,
     low: str = LOW,
-    longest_antecedent: int = 2,
 ) -> DataFrame:
     """Confidence and lift of the best High and the best Low rule of a row, and their number.
 
@@ -129,7 +124,7 @@ def rule_features(
         (F.count_if(is_high) + F.count_if(is_low)).alias("n"),
     )
     found = (
-        match_rules(df, by_antecedent, columns, longest_antecedent)
+        match_rules(df, by_antecedent, columns)
         .groupBy("items")
         .agg(F.max("high").alias("high"), F.max("low").alias("low"), F.sum("n").alias("n"))
     )

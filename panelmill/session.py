@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,38 +29,74 @@ def local_session(cores: int | str = 8, app: str = "panelmill", memory: str = "8
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a temporary one only in local mode."""
+    """Use the cluster's shared checkpoint folder; a temporary one only in one local process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
+    elif re.fullmatch(r"local(\[.*\])?", context.master):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="panelmill-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+class Scope:
+    """Owner of the tables that ``durable`` writes while it is the innermost one.
+
+    ``with scope():`` around a query and its action deletes them afterwards.
+    Tables written outside any scope belong to the process and are deleted
+    when it ends in an orderly way.
+    """
+
+    def __init__(self):
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def own(self, spark: SparkSession, path: str) -> None:
+        self.paths.append((spark, path))
+
+    def close(self) -> None:
+        while self.paths:
+            spark, path = self.paths.pop()
+            try:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            except (OSError, Py4JError, AttributeError):
+                pass  # the session has stopped; the folder's owner cleans it
+
+
+_SCOPES = [Scope()]
+atexit.register(lambda: _SCOPES[0].close())
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """A scope for the tables of one action."""
+    own = Scope()
+    _SCOPES.append(own)
+    try:
+        yield own
+    finally:
+        _SCOPES.remove(own)
+        own.close()
+
+
+def owned(spark: SparkSession, path: str) -> str:
+    """Give a path in the checkpoint folder to the innermost scope."""
+    _SCOPES[-1].own(spark, path)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     The table survives the loss of executors, is pruned by the columns a later
     pass needs, and has a known size, from which Spark chooses its joins. It
-    stays until the folder is cleaned, like any checkpoint.
+    belongs to the innermost ``scope``.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/panelmill-{uuid.uuid4().hex}"
+    path = owned(spark, f"{spark.sparkContext.getCheckpointDir()}/panelmill-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Repartition a file scan that has several splits but fewer than the session has cores.
-
-    That happens with a few files of large row groups; a table of many files
-    passes unchanged.
-    """
-    splits, cores = scan.rdd.getNumPartitions(), scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if 1 < splits < cores else scan
