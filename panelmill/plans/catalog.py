@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import dataclasses
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelmill.functions.items import joined
-from panelmill.functions.labels import level
+from panelmill.functions.labels import level, level_flag
+from panelmill.functions.numeric import finite_or_null, rounded
 from panelmill.operators import (
     clusters,
     correlation,
@@ -27,7 +32,8 @@ from panelmill.operators import (
 )
 from panelmill.plans import features, views
 from panelmill.plans.views import GROUP, KEY, LOGGED, MEASURES, MINED
-from panelmill.session import durable
+from panelmill.session import durable, ensure_checkpoint_dir, owned
+from panelmill.sources import observations as observation_files, reports as reports_files, rules as files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,8 +41,11 @@ QUERIES: dict[str, Query] = {}
 SUPPORT = 0.05
 CONFIDENCE = 0.6
 CENTROIDS = [[0.25] * 8, [0.75] * 8, [0.25] * 4 + [0.75] * 4, [0.75] * 4 + [0.25] * 4]
+PROFILED = ["region", "item", "segment", "source"]
 SPACE = ["area", "production", "o_totalprice", "p_retailprice", "l_discount", "l_tax", "yield_value"]
 LEVELS = ["High", "Low"]
+#: Labelled rows that a model of these queries is fitted on, chosen by a hash of their key.
+FIT_ROWS = 2000
 SPEC = features.FeatureSpec(
     keys=KEY,
     label="level",
@@ -78,7 +87,7 @@ def label_threshold(spark, sf):
 
 @query
 def label_by_train_median(spark, sf):
-    rows = views.labelled(spark, sf)
+    rows = views.labelled(spark, sf, ["region"])
     return rows.groupBy("region", "level").agg(
         F.count("*").alias("rows"), r(F.max("threshold")).alias("threshold")
     )
@@ -175,7 +184,7 @@ def period_counts(spark, sf):
 
 @query
 def numeric_profile(spark, sf):
-    profile = summary.numeric_profile(views.stored(spark, sf), MEASURES)
+    profile = summary.numeric_profile(views.stored(spark, sf, MEASURES), MEASURES)
     return profile.select("column", "count", *[r(c).alias(c) for c in ("mean", "median", "std", "min", "max")])
 
 
@@ -207,19 +216,25 @@ def missing_counts(spark, sf):
 
 @query
 def duplicate_rows(spark, sf):
-    pairs = views.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    return summary.duplicate_rows(pairs)
+    """Copies of whole rows: order lines, and documents without their number."""
+    tables = {
+        "lineitem": views.table(spark, sf, "lineitem"),
+        "documents": views.table(spark, sf, "documents").drop("doc_id"),
+    }
+    return groups.stack(
+        [summary.duplicate_rows(rows).withColumn("table", F.lit(name)) for name, rows in tables.items()]
+    )
 
 
 @query
 def correlation_matrix(spark, sf):
-    found = correlation.correlation_matrix(views.stored(spark, sf), ["yr", *MEASURES])
+    found = correlation.correlation_matrix(views.stored(spark, sf, ["yr", *MEASURES]), ["yr", *MEASURES])
     return found.withColumn("r", r("r", 6))
 
 
 @query
 def correlation_bands(spark, sf):
-    found = correlation.correlation_matrix(views.stored(spark, sf), ["yr", *MEASURES])
+    found = correlation.correlation_matrix(views.stored(spark, sf, ["yr", *MEASURES]), ["yr", *MEASURES])
     return correlation.correlation_bands(found).select("feature", "other", "band", "sign", "shown")
 
 
@@ -326,7 +341,7 @@ def lag_levels(spark, sf):
 
 @query
 def persistence_features(spark, sf):
-    rows = views.labelled(spark, sf)
+    rows = views.labelled(spark, sf, [*GROUP, *KEY])
     return history.persistence_features(rows, GROUP, "yr", "level", KEY).select(*KEY, *history.FLAGS)
 
 
@@ -366,7 +381,7 @@ def sequence_patterns_3(spark, sf):
 @query
 def sequence_patterns_cells(spark, sf):
     """Threshold at the median of the cell means, so both levels occur."""
-    rows = views.stored(spark, sf)
+    rows = views.stored(spark, sf, [*GROUP, "yr", "yield_value"])
     cells = groups.mean_by(rows, [*GROUP, "yr"], "yield_value")
     middle = ranks.exact_quantiles(cells, ["yield_value"])["yield_value"]
     found = sequences.sequence_patterns(rows, GROUP, "yr", "yield_value", middle, 2)
@@ -379,7 +394,7 @@ def sequence_count(spark, sf):
 
 
 def _mined(spark, sf) -> DataFrame:
-    return itemsets.frequent_itemsets(views.labelled(spark, sf), [*MINED, "level"], SUPPORT)
+    return itemsets.frequent_itemsets(views.labelled(spark, sf, MINED), [*MINED, "level"], SUPPORT)
 
 
 def _flat_rules(found: DataFrame) -> DataFrame:
@@ -404,7 +419,7 @@ def frequent_itemsets(spark, sf):
 
 @query
 def candidate_counts(spark, sf):
-    rows = views.labelled(spark, sf)
+    rows = views.labelled(spark, sf, MINED)
     columns = [*MINED, "level"]
     sets = itemsets.frequent_itemsets(rows, columns, SUPPORT)
     return itemsets.itemset_totals(sets, itemsets.candidate_counts(rows, columns, sets))
@@ -443,12 +458,12 @@ def _train_rules(rows: DataFrame) -> DataFrame:
 
 @query
 def train_only_rules(spark, sf):
-    return _flat_rules(_train_rules(views.labelled(spark, sf)))
+    return _flat_rules(_train_rules(views.labelled(spark, sf, MINED)))
 
 
 @query
 def match_rules(spark, sf):
-    rows = views.labelled(spark, sf)
+    rows = views.labelled(spark, sf, MINED)
     found = rules.match_rules(rows, _train_rules(rows), MINED)
     return found.groupBy(joined(F.col("items")).alias("items")).agg(
         F.count("*").alias("rules"), r(F.max("lift"), 8).alias("lift")
@@ -457,7 +472,7 @@ def match_rules(spark, sf):
 
 @query
 def rule_features(spark, sf):
-    rows = views.labelled(spark, sf)
+    rows = views.labelled(spark, sf, [*MINED, *KEY])
     found = rules.rule_features(rows, _train_rules(rows), MINED, "level")
     return found.select(
         *KEY,
@@ -484,15 +499,17 @@ def _season_guess(spark, sf) -> DataFrame:
 
 
 def _level_guess(spark, sf) -> DataFrame:
-    return views.labelled(spark, sf).withColumn("guess", level(-F.col("area"), -22.0))
+    return views.labelled(spark, sf, ["area"]).withColumn("guess", level(-F.col("area"), -22.0))
 
 
+TOLERANCES = [0.0001, 0.1, 10.0, 1000.0, 100000.0]
+GUESSED = ["region", "item", "lot", "yr", "yield_value", *KEY]
 VARIANTS = {"by_region": ["region"], "by_item": ["item"], "by_lot": ["lot"]}
 
 
 def _guesses(spark, sf) -> DataFrame:
     """Test rows with the training mean of three groupings as predictions."""
-    train, test = prepare.period_split(views.stored(spark, sf), "yr", views.TRAIN_END)
+    train, test = prepare.period_split(views.stored(spark, sf, GUESSED), "yr", views.TRAIN_END)
     parts = []
     for name, keys in VARIANTS.items():
         means = train.groupBy(*keys).agg(F.avg("yield_value").alias("guess"))
@@ -530,17 +547,24 @@ def regression_metrics(spark, sf):
 
 @query
 def metric_diff(spark, sf):
-    rows = _variant_metrics(spark, sf)
-    expected = rows.filter("variant = 'by_region'").drop("variant")
-    actual = rows.filter("variant = 'by_item' and metric <> 'mae'").drop("variant")
-    found = metrics.metric_diff(expected, actual, 0.01)
+    """Sales per item type in two periods; a type without sales in the second has no counterpart."""
+    rows = views.observations(spark, sf).select("item", "yr", "yield_value")
+    first, second = prepare.period_split(rows, "yr", views.TRAIN_END)
+    means = [part.groupBy(F.col("item").alias("metric")).agg(F.avg("yield_value").alias("value")) for part in (first, second)]
+    found = metrics.metric_diff(*means, 5.0)
     return found.select("metric", *[r(c, 5).alias(c) for c in ("expected", "actual", "diff")], "within")
 
 
 @query
 def metrics_pass(spark, sf):
-    rows = _variant_metrics(spark, sf).filter("variant = 'by_lot'").drop("variant")
-    return metrics.metrics_pass(metrics.metric_diff(rows, rows))
+    """Whether two variants agree, at several tolerances."""
+    rows = durable(_variant_metrics(spark, sf))
+    one, two = (rows.filter(F.col("variant") == v).drop("variant") for v in ("by_region", "by_lot"))
+    passed = [
+        metrics.metrics_pass(metrics.metric_diff(one, two, tolerance)).withColumn("tolerance", F.lit(tolerance))
+        for tolerance in TOLERANCES
+    ]
+    return groups.stack(passed)
 
 
 @query
@@ -624,34 +648,40 @@ def macro_weighted_auc(spark, sf):
 
 @query
 def roc_summary(spark, sf):
-    variants = {"full": 64, "leading": 8}
+    variants = {"distance": False, "angle": True}
     return groups.stack(
         [
-            _means(curves.ovr_auc(views.centroid_scores(spark, sf, dims))).withColumn("variant", F.lit(name))
-            for name, dims in variants.items()
+            _means(curves.ovr_auc(views.centroid_scores(spark, sf, cosine))).withColumn("variant", F.lit(name))
+            for name, cosine in variants.items()
         ]
     )
 
 
 @query
 def compare_class_auc(spark, sf):
-    full, leading = (curves.ovr_auc(views.centroid_scores(spark, sf, d)) for d in (64, 8))
-    both = [areas.withColumn("auc", r("auc", 8)) for areas in (full, leading)]
-    return curves.compare_class_auc(*both, "full", "leading")
+    both = [curves.ovr_auc(views.centroid_scores(spark, sf, cosine)) for cosine in (False, True)]
+    rounded = [areas.withColumn("auc", r("auc", 8)) for areas in both]
+    return curves.compare_class_auc(*rounded, "distance", "angle")
 
 
 @query
 def verify_auc(spark, sf):
-    full, leading = (curves.ovr_auc(views.centroid_scores(spark, sf, d)) for d in (64, 8))
-    found = curves.verify_auc(full.filter("class <> '3'"), leading)
+    both = [curves.ovr_auc(views.centroid_scores(spark, sf, cosine)) for cosine in (False, True)]
+    found = curves.verify_auc(*both)
     return found.select(*[r(c, 8).alias(c) for c in found.columns])
 
 
+@query
+def curve_downsample_by_class(spark, sf):
+    curve = curves.ovr_roc(views.centroid_scores(spark, sf), drop_intermediate=False)
+    return _flat_curve(curves.curve_downsample(curve, ["class"]))
+
+
 # Clusters
 
 
 def _space(spark, sf) -> DataFrame:
-    return clusters.cluster_features(views.stored(spark, sf), MEASURES, LOGGED)
+    return clusters.cluster_features(views.stored(spark, sf, [*KEY, *MEASURES]), MEASURES, LOGGED)
 
 
 def _clustered(spark, sf) -> DataFrame:
@@ -661,7 +691,7 @@ def _clustered(spark, sf) -> DataFrame:
 
 def _raw_clustered(spark, sf) -> DataFrame:
     """Cluster labels beside the unscaled columns."""
-    rows = views.stored(spark, sf)
+    rows = views.stored(spark, sf, [*MEASURES, *PROFILED])
     kept = rows.withColumns({f"raw_{c}": F.col(c) for c in MEASURES})
     scaled = clusters.cluster_features(kept, MEASURES, LOGGED)
     labelled = clusters.assign_nearest(scaled, CENTROIDS, MEASURES)
@@ -681,7 +711,7 @@ def assign_nearest(spark, sf):
 @query
 def silhouette_sq(spark, sf):
     scored = clusters.silhouette_sq(_clustered(spark, sf), MEASURES, "cluster")
-    return scored.select(*KEY, "cluster", r("silhouette", 6).alias("silhouette"))
+    return scored.select(*KEY, "cluster", r("silhouette_sq", 6).alias("silhouette_sq"))
 
 
 @query
@@ -693,7 +723,7 @@ def cluster_distribution(spark, sf):
 @query
 def cluster_profile(spark, sf):
     found = clusters.cluster_profile(
-        _raw_clustered(spark, sf), "cluster", MEASURES, SPACE, ["region", "item", "segment", "source"]
+        _raw_clustered(spark, sf), "cluster", MEASURES, SPACE, PROFILED
     )
     means = {f"mean_{c}": r(f"mean_{c}") for c in MEASURES}
     return found.withColumns({"percent": r("percent", 6)} | means)
@@ -702,11 +732,11 @@ def cluster_profile(spark, sf):
 @query
 def cluster_rules(spark, sf):
     found = clusters.cluster_profile(
-        _raw_clustered(spark, sf), "cluster", MEASURES, SPACE, ["region", "item", "segment", "source"]
+        _raw_clustered(spark, sf), "cluster", MEASURES, SPACE, PROFILED
     )
-    words = {"area": "area", "production": "production", "yield_value": "yield"}
-    text = clusters.cluster_rule_text(found, "cluster", words, "item", "region", "segment", "source")
-    return text.select("cluster", "rule")
+    roles = {"kind": "item", "place": "region", "market": "segment", "origin": "source"}
+    told = clusters.cluster_rules(found, "cluster", ["area", "production", "yield_value"], roles)
+    return told.select("cluster", F.array_join("conditions", ", ").alias("conditions"), "typical.*")
 
 
 @query
@@ -728,23 +758,33 @@ def hopkins(spark, sf):
     return found.withColumn("hopkins", r("hopkins", 6))
 
 
-@query
-def silhouette_sampled(spark, sf):
-    found = clusters.silhouette_sampled(_clustered(spark, sf), MEASURES, KEY, "cluster", 200)
-    return found.withColumn("silhouette", r("silhouette", 6))
-
-
 @query
 def kmeans_fit(spark, sf):
-    rows = _space(spark, sf)
-    model = clusters.kmeans_fit(rows, MEASURES, 8, n_init=2)
+    """K, rows, and whether every row lies nearest to the centroid of its own cluster."""
+    rows = durable(_space(spark, sf).select(*MEASURES))
+    model = clusters.kmeans_fit(rows, MEASURES, 8)
     labelled = clusters.assign_nearest(rows, clusters.sorted_centroids(model), MEASURES)
-    return clusters.cluster_distribution(labelled, "cluster")
+    counted = clusters.cluster_distribution(labelled, "cluster")
+    nearest = abs(model.summary.trainingCost - _inertia(labelled, model)) <= 1e-3 * model.summary.trainingCost
+    return counted.agg(F.count("*").alias("k"), F.sum("count").alias("rows")).withColumn("nearest", F.lit(nearest))
+
+
+def _inertia(labelled: DataFrame, model) -> float:
+    """Sum of squared distances of the rows to the centroid of their label."""
+    centres = clusters.sorted_centroids(model)
+    picked = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])[F.col("cluster")]
+    gap = sum(((F.col(c) - picked[i]) * (F.col(c) - picked[i]) for i, c in enumerate(MEASURES)), F.lit(0.0))
+    return labelled.agg(F.sum(gap).alias("s")).first()["s"]
 
 
 @query
 def kmeans_sweep(spark, sf):
-    return clusters.kmeans_sweep(_space(spark, sf), MEASURES, range(2, 6), selected=4, n_init=1)
+    """Ten K, ten starts each; whether a larger K fits better and silhouettes are in range."""
+    found = clusters.kmeans_sweep(_space(spark, sf), MEASURES)
+    before = F.lag("inertia").over(Window.orderBy("k"))
+    return found.select(
+        "k", "selected", F.coalesce(F.col("inertia") <= before, F.lit(True)).alias("falls"), F.col("silhouette_sq").between(-1, 1).alias("in_range")
+    )
 
 
 # Scaling, folds and models
@@ -779,48 +819,69 @@ def imputed(spark, sf):
 
 @query
 def stratified_folds(spark, sf):
-    rows = views.labelled(spark, sf).select(*KEY, "level")
+    rows = views.labelled(spark, sf, KEY).select(*KEY, "level")
     return folds.stratified_folds(rows, "level", KEY, 5)
 
 
+USED = [*KEY, *GROUP, *MINED, "area", "o_totalprice", "p_retailprice", "segment"]
+
+
 @query
 def build_features(spark, sf):
     """The serving form: rules and history of the training years, rows of the test year."""
-    rows = views.labelled(spark, sf)
+    rows = views.labelled(spark, sf, USED)
     train, test = prepare.period_split(rows, "yr", views.TRAIN_END)
     found = features.build_features(test, SPEC, features.ADVANCED, _train_rules(rows), train)
     rounded = [*rules.RULE_FEATURES, "log_area", "area", "o_totalprice", "p_retailprice"]
     return found.withColumns({c: r(c, 8) for c in rounded if c in found.columns})
 
 
-def _features(spark, sf, variant: str) -> tuple[DataFrame, DataFrame]:
-    rows = views.labelled(spark, sf)
+def _features(spark, sf, variant: str, extra: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Training rows, bounded for fitting, and all test rows of a variant, with ``extra`` columns kept."""
+    rows = views.labelled(spark, sf, USED)
     mined = _train_rules(rows) if variant == features.ADVANCED else None
-    made = features.build_features(rows, SPEC, variant, mined)
-    made = durable(made.withColumn("level_code", (F.col("level") == "High").cast("double")))
-    return prepare.period_split(made, "yr", views.TRAIN_END)
+    spec = dataclasses.replace(SPEC, keys=[*KEY, *extra])
+    made = durable(features.build_features(rows, spec, variant, mined))
+    train, test = prepare.period_split(made, "yr", views.TRAIN_END)
+    return models.fitting_rows(train, KEY, FIT_ROWS), test
+
 
+def _forest(variant: str, label: str = "level", labels: Sequence[str] = tuple(LEVELS)):
+    return models.forest_classifier(SPEC.categories_of(variant), SPEC.numbers_of(variant), label, list(labels))
 
-def _forest(trees: int = 12, depth: int = 6, variant: str = features.ENGINEERED):
-    return models.forest_classifier(
-        SPEC.categories_of(variant), SPEC.numbers_of(variant), "level", LEVELS, trees, depth
+
+def _classified(scored: DataFrame) -> DataFrame:
+    """Rows per level, and how many of them got a known class."""
+    return scored.groupBy("level").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("prediction").isin(LEVELS)).alias("classified")
     )
 
 
 @query
 def forest_classifier(spark, sf):
     train, test = _features(spark, sf, features.ADVANCED)
-    scored = _forest(variant=features.ADVANCED).fit(train).transform(test)
-    return metrics.binary_metrics(scored, "level", "prediction")
+    return _classified(_forest(features.ADVANCED).fit(train).transform(test))
 
 
 @query
 def forest_regressor(spark, sf):
-    train, test = _features(spark, sf, features.ENGINEERED)
-    model = models.forest_regressor(
-        SPEC.categories_of(features.ENGINEERED), SPEC.numbers_of(features.ENGINEERED), "level_code", 12, 6
+    """Yield by three feature sets: rows, whether the metrics are finite, and which set has the best R2."""
+    parts = []
+    for variant in (features.BASELINE, features.ENGINEERED, features.ADVANCED):
+        train, test = _features(spark, sf, variant, ["yield_value"])
+        model = models.forest_regressor(SPEC.categories_of(variant), SPEC.numbers_of(variant), "yield_value")
+        scored = durable(model.fit(train).transform(test).select("yield_value", "prediction"))
+        measured = metrics.regression_metrics(scored, "yield_value", "prediction")
+        parts.append(measured.withColumn("variant", F.lit(variant)))
+    measured = durable(groups.stack(parts))
+    rows = metrics.metric_rows(measured, ["r2", "rmse", "mae"], ["variant"])
+    best = metrics.best_per_metric(rows).filter("metric = 'r2'").select(F.col("best").alias("top"))
+    joined = measured.join(best, measured["r2"] == best["top"], "left")
+    return joined.groupBy("variant").agg(
+        F.max("n").alias("n"),
+        F.bool_and(F.col("rmse").isNotNull() & (F.col("rmse") >= F.col("mae")) & (F.col("r2") <= 1)).alias("plausible"),
+        F.bool_and(F.col("top").isNull() | (F.col("r2") == F.col("top"))).alias("compared"),
     )
-    return metrics.regression_metrics(model.fit(train).transform(test), "level_code", "prediction")
 
 
 @query
@@ -828,28 +889,181 @@ def network_classifier(spark, sf):
     train, test = _features(spark, sf, features.ENGINEERED)
     categories, numbers = SPEC.categories_of(features.ENGINEERED), SPEC.numbers_of(features.ENGINEERED)
     inputs = models.vector_length(train, categories, numbers)
-    network = models.network_classifier(categories, numbers, "level", LEVELS, inputs, (16, 8), max_iter=30)
-    return metrics.binary_metrics(network.fit(train).transform(test), "level", "prediction")
+    network = models.network_classifier(categories, numbers, "level", LEVELS, inputs)
+    return _classified(network.fit(train).transform(test))
+
+
+def _segments(train: DataFrame) -> list[str]:
+    return sorted(row.segment for row in train.select("segment").distinct().collect())
 
 
 @query
 def score_top_k(spark, sf):
-    train, test = _features(spark, sf, features.ENGINEERED)
-    scored = models.score(test, _forest().fit(train), KEY, LEVELS)
-    return models.top_classes(scored, KEY, LEVELS, 2)
+    """The five likeliest segments per row: ranks, and whether probabilities fall with the rank and stay within one."""
+    train, test = _features(spark, sf, features.ENGINEERED, ["segment"])
+    labels = _segments(train)
+    scored = models.score(test, _forest(features.ENGINEERED, "segment", labels).fit(train), KEY, labels)
+    top = models.top_classes(scored, KEY, labels, 5)
+    per_row = top.groupBy(*KEY).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "probability"))).alias("p"), F.sum("probability").alias("total")
+    )
+    falls = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.col("p")[i - 1]["probability"] >= F.col("p")[i]["probability"])
+    return per_row.agg(
+        F.count("*").alias("rows"), F.sum(F.size("p")).alias("ranks"), F.bool_and((F.size("p") < 2) | falls).alias("falls"),
+        F.bool_and(F.col("total") < 1 + 1e-9).alias("within"),
+    )
+
+
+@query
+def model_roc(spark, sf):
+    """A model of many classes and its one-vs-rest areas: support per class, and whether the areas are areas."""
+    train, test = _features(spark, sf, features.ENGINEERED, ["segment"])
+    labels = _segments(train)
+    model = _forest(features.ENGINEERED, "segment", labels).fit(train)
+    scored = durable(models.score(test, model, ["segment"], labels))
+    areas = curves.ovr_auc(curves.ovr_scores(scored, "segment", "probability", labels, labels))
+    return areas.select("class", "support", F.col("auc").between(0, 1).alias("is_area"))
 
 
 @query
 def feature_importance(spark, sf):
-    train, _ = _features(spark, sf, features.ADVANCED)
+    """Features in the model, and whether their shares sum to one."""
     variant = features.ADVANCED
-    model = _forest(variant=variant).fit(train)
-    return models.feature_importance(model, SPEC.categories_of(variant), SPEC.numbers_of(variant), spark)
+    train, _ = _features(spark, sf, variant)
+    model = _forest(variant).fit(train)
+    found = durable(models.feature_importance(model, SPEC.categories_of(variant), SPEC.numbers_of(variant), spark))
+    total = found.agg(F.sum("importance").alias("s")).first()["s"]
+    return found.select("feature", F.col("importance").between(0, 1).alias("is_share"), F.lit(abs(total - 1) < 1e-6).alias("whole"))
+
+
+def _validated(spark, sf, variant: str) -> DataFrame:
+    """Five folds over all years; the advanced variant mines its rules from each training part alone."""
+    rows = views.labelled(spark, sf, USED)
+    dealt = durable(folds.stratified_folds(rows, "level", KEY, 5))
+    spec = dataclasses.replace(SPEC, keys=[*KEY, "fold"])
+    categories, numbers = SPEC.categories_of(variant), SPEC.numbers_of(variant)
+
+    def prepared(train: DataFrame, held_out: DataFrame) -> tuple[DataFrame, DataFrame]:
+        mined = None
+        if variant == features.ADVANCED:
+            mined = durable(rules.train_only_rules(train, F.lit(True), [*MINED, "level"], "level", SUPPORT, CONFIDENCE))
+        made = [durable(features.build_features(part, spec, variant, mined)) for part in (train, held_out)]
+        return models.fitting_rows(made[0], KEY, FIT_ROWS), made[1]
+
+    def network(train: DataFrame):
+        inputs = models.vector_length(train, categories, numbers)
+        return models.network_classifier(categories, numbers, "level", LEVELS, inputs)
+
+    found = durable(models.cross_validate(dealt, network, "level", LEVELS, prepare=prepared))
+    sizes = dealt.groupBy("fold").agg(F.count("*").alias("held_out"))
+    checked = found.groupBy("fold").agg(F.count("*").alias("metrics"), F.bool_and(F.col("value").between(0, 1)).alias("in_range"))
+    return sizes.join(checked, "fold").withColumn("variant", F.lit(variant))
 
 
 @query
 def cross_validate(spark, sf):
-    train, _ = _features(spark, sf, features.ENGINEERED)
-    dealt = folds.stratified_folds(train, "level", KEY, 3)
-    found = models.cross_validate(dealt, lambda _: _forest(6, 5), "level", LEVELS, folds=3)
-    return models.cross_validation_summary(found)
+    """Rows held out per fold, the number of metrics, and whether all are between 0 and 1."""
+    return groups.stack([_validated(spark, sf, v) for v in (features.ENGINEERED, features.ADVANCED)])
+
+
+# Labels, encodings and files
+
+
+@query
+def encode_label(spark, sf):
+    rows = views.labelled(spark, sf, ["region"])
+    coded = rows.withColumn("code", level_flag(F.col("level")))
+    return coded.groupBy("region", "code").agg(F.count("*").alias("rows"))
+
+
+@query
+def one_hot(spark, sf):
+    """Rows per slot of two encoded categories, fitted on the training years."""
+    rows = views.observations(spark, sf).select("yr", "segment", "season")
+    train, test = prepare.period_split(rows, "yr", views.TRAIN_END)
+    model = Pipeline(stages=scaling.one_hot_stages(["segment", "season"])).fit(train)
+    names = model.stages[0].labelsArray
+    hot = model.transform(test)
+    slots = [
+        F.struct(F.lit(c).alias("column"), F.lit(value).alias("value"), vector_to_array(f"{c}_hot")[i].alias("on"))
+        for c, values in zip(("segment", "season"), names)
+        for i, value in enumerate(values)
+    ]
+    return hot.select(F.inline(F.array(*slots))).groupBy("column", "value").agg(F.sum("on").cast("long").alias("rows"))
+
+
+@query
+def finite_report(spark, sf):
+    """Ratios with zero divisors: not finite ones are missing, the others rounded."""
+    rows = views.table(spark, sf, "lineitem")
+    ratio = F.try_divide(F.col("l_extendedprice"), F.col("l_discount"))
+    value = F.when(F.col("l_discount") == 0, F.lit(float("inf"))).otherwise(ratio)
+    kept = rows.withColumn("ratio", rounded(finite_or_null(value), 3))
+    return kept.groupBy("l_returnflag").agg(F.count("ratio").alias("known"), F.count("*").alias("rows"), r(F.max("ratio"), 3).alias("largest"))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, deleted with the scope of the query."""
+    ensure_checkpoint_dir(spark)
+    return owned(spark, f"{spark.sparkContext.getCheckpointDir()}/panelmill-files-{uuid.uuid4().hex}")
+
+
+@query
+def read_observations(spark, sf):
+    """Observations written as CSV with a header and read back with their schema."""
+    path = f"{_folder(spark)}/rows.csv"
+    rows = views.observations(spark, sf).select("region", "item", "yr", "area", "production")
+    rows.write.option("header", True).csv(path)
+    again = observation_files.read_observations(spark, path, rows.schema)
+    return again.groupBy("region", "yr").agg(F.count("*").alias("rows"), r(F.sum("area")).alias("area"), r(F.avg("production")).alias("production"))
+
+
+@query
+def rules_round_trip(spark, sf):
+    """Rules written and read back."""
+    path = f"{_folder(spark)}/rules"
+    files.write_rules(rules.association_rules(_mined(spark, sf), CONFIDENCE), path)
+    return _flat_rules(files.read_rules(spark, path))
+
+
+@query
+def metric_table(spark, sf):
+    """Metrics stored under display headers and read back under plain names."""
+    path = f"{_folder(spark)}/metrics.csv"
+    found = metrics.regression_metrics(_guesses(spark, sf), "yield_value", "guess", ["variant"])
+    shown = found.select(F.col("variant").alias("Variant"), *[r(c, 6).alias(n) for c, n in (("r2", "R2-score"), ("rmse", "RMSE"), ("mae", "MAE"))])
+    shown.write.option("header", True).csv(path)
+    return reports_files.read_metric_table(spark, path, "variant string, r2 double, rmse double, mae double")
+
+
+@query
+def report_sections(spark, sf):
+    """Two sections of a report written as JSON and read back."""
+    path = f"{_folder(spark)}/report"
+    rows = views.observations(spark, sf)
+    reports_files.write_report({"periods": summary.period_counts(rows, "yr"), "shares": groups.group_share(rows, ["segment"])}, path)
+    periods = spark.read.schema("yr int, count long").json(f"{path}/periods")
+    shares = spark.read.schema("segment string, count long, percent double").json(f"{path}/shares")
+    return groups.stack(
+        [
+            periods.select(F.lit("periods").alias("section"), F.col("yr").cast("string").alias("name"), "count"),
+            shares.select(F.lit("shares").alias("section"), F.col("segment").alias("name"), "count"),
+        ]
+    )
+
+
+@query
+def auc_comparison_file(spark, sf):
+    """The comparison of areas written with six decimals and read back."""
+    path = f"{_folder(spark)}/areas"
+    both = [curves.ovr_auc(views.centroid_scores(spark, sf, cosine)) for cosine in (False, True)]
+    reports_files.write_auc_comparison(curves.compare_class_auc(*both, "distance", "angle"), path)
+    again = spark.read.option("header", True).csv(path)
+    return again.select("class", F.col("distance_auc").cast("double").alias("distance_auc"), F.col("angle_auc").cast("double").alias("angle_auc"))
+
+
+@query
+def ngrams(spark, sf):
+    """Runs of two daily levels per user, counted."""
+    found = sequences.ngrams(views.daily_levels(spark, sf), ["user_id"], "day", "level", 2)
+    return found.groupBy(*[c for c in found.columns if c.startswith("step")]).agg(F.count("*").alias("rows"))

@@ -124,11 +124,12 @@ DOCS = """docs AS (SELECT doc_id, lang, quality, toxic, CAST(n_chars AS DOUBLE)
   FROM labels JOIN documents USING (doc_id))"""
 
 
-def _class_scores(dims: int = 64, name: str = "s") -> str:
+def _class_scores(cosine: bool = False, name: str = "s") -> str:
+    score = "sum(x * m) / sqrt(sum(x * x) * sum(m * m))" if cosine else "-sum((x - m) ** 2)"
     return f"""u{name} AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos
       FROM embeddings),
-    m{name} AS (SELECT label AS class, pos, avg(x) AS m FROM u{name} WHERE pos <= {dims} GROUP BY ALL),
-    {name} AS (SELECT vec_id, CAST(class AS VARCHAR) AS class, round(-sum((x - m) ** 2), 9) AS score,
+    m{name} AS (SELECT label AS class, pos, avg(x) AS m FROM u{name} GROUP BY ALL),
+    {name} AS (SELECT vec_id, CAST(class AS VARCHAR) AS class, round({score}, 9) AS score,
       CAST(label = class AS INTEGER) AS is_class FROM u{name} JOIN m{name} USING (pos) GROUP BY vec_id, label, class)"""
 
 
@@ -183,6 +184,7 @@ def _quality(score: str) -> str:
     )
 
 
+BOTH_AREAS = ", ".join([_class_scores(False, "s"), _areas("s", "fa"), _class_scores(True, "t"), _areas("t", "la")])
 SPACED = [f"s_{c}" for c in MEASURES]
 PROFILE_MEANS = ", ".join(f"round(avg({c}), 4) AS mean_{c}" for c in MEASURES)
 PROFILE_LEVELS = ", ".join(
@@ -205,9 +207,7 @@ PROFILE = f"""{_clustered()}, {_modes("cl", "cluster", PROFILED, "dominant_")},
   prof AS (SELECT cluster, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM cl), 6) AS percent,
     {PROFILE_MEANS}, {PROFILE_LEVELS} FROM cl GROUP BY cluster),
   full_profile AS (SELECT * FROM prof {' '.join(f'JOIN mode_{c} USING (cluster)' for c in PROFILED)})"""
-_RULE_WORDS = " || ', ' || ".join(
-    f"level_{c} || ' {w}'" for c, w in {"area": "area", "production": "production", "yield_value": "yield"}.items()
-)
+_RULE_WORDS = " || ', ' || ".join(f"'{c} ' || lower(level_{c})" for c in ("area", "production", "yield_value"))
 
 UNIT = "CAST('0x' || substr(md5('42|' || i || '|{j}'), 1, 8) AS BIGINT) / 4294967296.0"
 _UNIFORM = ", ".join(
@@ -257,6 +257,8 @@ CORRELATION = f"WITH {OBS}, r AS (" + " UNION ALL ".join(
     for b in NUMERIC
 ) + ")"
 
+FEATURES = sorted(catalog.SPEC.features_of("advanced"))
+
 SQL: dict[str, str] = {
     "observations": f"WITH {OBS} SELECT * REPLACE (round(yield_value, 8) AS yield_value) FROM obs",
     "label_threshold": f"""WITH {OBS} SELECT region, yr, CASE WHEN yield_value > 2000 THEN 'High' ELSE 'Low' END AS level,
@@ -307,8 +309,10 @@ SQL: dict[str, str] = {
     "missing_counts": """SELECT 'l_tax' AS "column", count(*) FILTER (l_tax = 0) AS missing FROM lineitem
       UNION ALL SELECT 'l_discount', count(*) FILTER (l_discount = 0) FROM lineitem
       UNION ALL SELECT 'l_returnflag', count(*) FILTER (l_returnflag IS NULL) FROM lineitem""",
-    "duplicate_rows": """SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))
-      AS duplicate_rows FROM lineitem""",
+    "duplicate_rows": """SELECT 'lineitem' AS "table", (SELECT count(*) FROM lineitem)
+        - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicate_rows
+      UNION ALL SELECT 'documents', (SELECT count(*) FROM documents)
+        - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (doc_id) FROM documents))""",
     "correlation_matrix": f"{CORRELATION} SELECT feature, other, round(r, 6) AS r FROM r",
     "correlation_bands": f"""{CORRELATION} SELECT feature, other,
       CASE WHEN abs(r) > 0.85 THEN 'very strong' WHEN abs(r) > 0.6 THEN 'strong' WHEN abs(r) > 0.3 THEN 'moderate'
@@ -438,11 +442,13 @@ SQL: dict[str, str] = {
       SELECT yr, round(ok / n::DOUBLE, 8) AS accuracy, round(tp / pred::DOUBLE, 8) AS precision, round(tp / act::DOUBLE, 8) AS recall,
         round(2 * tp / (pred + act)::DOUBLE, 8) AS f1, n FROM k""",
     "regression_metrics": f"WITH {GUESSES} SELECT variant, round(r2, 6) AS r2, round(rmse, 6) AS rmse, round(mae, 6) AS mae, n FROM wide",
-    "metric_diff": f"""WITH {GUESSES} SELECT e.metric, round(e.value, 5) AS expected, round(a.value, 5) AS actual,
-      round(a.value - e.value, 5) AS diff, abs(a.value - e.value) <= 0.01 AS within
-      FROM (SELECT * FROM long WHERE variant = 'by_region') e
-      LEFT JOIN (SELECT * FROM long WHERE variant = 'by_item' AND metric <> 'mae') a USING (metric)""",
-    "metrics_pass": "SELECT true AS pass",
+    "metric_diff": f"""WITH {OBS}, e AS (SELECT item AS metric, avg(yield_value) AS expected FROM obs WHERE yr <= 2000 GROUP BY item),
+      a AS (SELECT item AS metric, avg(yield_value) AS actual FROM obs WHERE yr > 2000 GROUP BY item)
+      SELECT metric, round(expected, 5) AS expected, round(actual, 5) AS actual, round(actual - expected, 5) AS diff,
+        abs(actual - expected) <= 5 AS within FROM e LEFT JOIN a USING (metric)""",
+    "metrics_pass": f"""WITH {GUESSES} SELECT tolerance, coalesce(bool_and(abs(a.value - e.value) <= tolerance), false) AS pass
+      FROM (SELECT * FROM long WHERE variant = 'by_region') e JOIN (SELECT * FROM long WHERE variant = 'by_lot') a USING (metric),
+        (SELECT unnest({catalog.TOLERANCES})::DOUBLE AS tolerance) GROUP BY tolerance""",
     "compare_variants": f"""WITH {GUESSES} SELECT metric, round(max(value) FILTER (variant = 'by_region'), 5) AS by_region,
       round(max(value) FILTER (variant = 'by_item'), 5) AS by_item, round(max(value) FILTER (variant = 'by_lot'), 5) AS by_lot
       FROM long GROUP BY metric""",
@@ -464,29 +470,34 @@ SQL: dict[str, str] = {
     "ovr_roc": f"WITH {_class_scores()}, {_curve('s', 'is_class', 'class')} SELECT class, threshold, fpr, tpr FROM pts",
     "macro_weighted_auc": f"""WITH {_class_scores()}, {_areas()} SELECT round(avg(auc), 8) AS macro_auc,
       round(sum(auc * support) / sum(support), 8) AS weighted_auc FROM areas""",
-    "roc_summary": f"""WITH {_class_scores(64, 's')}, {_areas('s', 'fa')}, {_class_scores(8, 't')}, {_areas('t', 'la')}
-      SELECT 'full' AS variant, round(avg(auc), 8) AS macro_auc, round(sum(auc * support) / sum(support), 8) AS weighted_auc FROM fa
-      UNION ALL SELECT 'leading', round(avg(auc), 8), round(sum(auc * support) / sum(support), 8) FROM la""",
-    "compare_class_auc": f"""WITH {_class_scores(64, 's')}, {_areas('s', 'fa')}, {_class_scores(8, 't')}, {_areas('t', 'la')}
-      SELECT class, round(fa.auc, 8) AS full_auc, fa.support, round(la.auc, 8) AS leading_auc,
-        CASE WHEN round(fa.auc, 8) > round(la.auc, 8) THEN 'full' WHEN round(fa.auc, 8) < round(la.auc, 8) THEN 'leading' END AS better
+    "roc_summary": f"""WITH {BOTH_AREAS}
+      SELECT 'distance' AS variant, round(avg(auc), 8) AS macro_auc, round(sum(auc * support) / sum(support), 8) AS weighted_auc FROM fa
+      UNION ALL SELECT 'angle', round(avg(auc), 8), round(sum(auc * support) / sum(support), 8) FROM la""",
+    "compare_class_auc": f"""WITH {BOTH_AREAS}
+      SELECT class, round(fa.auc, 8) AS distance_auc, fa.support, round(la.auc, 8) AS angle_auc,
+        CASE WHEN round(fa.auc, 8) > round(la.auc, 8) THEN 'distance' WHEN round(fa.auc, 8) < round(la.auc, 8) THEN 'angle' END AS better
       FROM fa JOIN la USING (class)""",
-    "verify_auc": f"""WITH {_class_scores(64, 's')}, {_areas('s', 'fa')}, {_class_scores(8, 't')}, {_areas('t', 'la')},
-      j AS (SELECT la.auc AS old, fa.auc AS new, la.support FROM la JOIN fa USING (class) WHERE class <> '3')
+    "auc_comparison_file": f"""WITH {BOTH_AREAS}
+      SELECT class, round(fa.auc, 6) AS distance_auc, round(la.auc, 6) AS angle_auc FROM fa JOIN la USING (class)""",
+    "verify_auc": f"""WITH {BOTH_AREAS},
+      j AS (SELECT la.auc AS old, fa.auc AS new, la.support FROM la JOIN fa USING (class))
       SELECT round(max(abs(new - old)), 8) AS max_abs_diff, round(avg(abs(new - old)), 8) AS mean_abs_diff,
         round(avg(old), 8) AS stored_macro, round(avg(new), 8) AS recomputed_macro,
         round((SELECT sum(auc * support) / sum(support) FROM la), 8) AS stored_weighted,
         round(sum(new * support) / sum(support), 8) AS recomputed_weighted FROM j""",
+    "curve_downsample_by_class": f"""WITH {_class_scores()}, {_curve('s', 'is_class', 'class')},
+      m AS (SELECT class, max(points) AS points FROM pts GROUP BY class)
+      SELECT pts.class, CAST(idx AS BIGINT) AS point, threshold, fpr, tpr FROM pts JOIN m USING (class) WHERE m.points < 25
+        OR idx IN (SELECT k * m.points // 24 FROM range(25) t(k))""",
     "cluster_features": f"WITH {_space()} SELECT {KEY}, " + ", ".join(f"round(s_{c}, 8) AS {c}" for c in MEASURES) + " FROM sp",
     "assign_nearest": f"WITH {_clustered()} SELECT {KEY}, cluster FROM cl",
     "silhouette_sq": f"""WITH {_clustered()}, {_silhouette("cl", SPACED)}
-      SELECT {KEY}, cluster, round(silhouette, 6) AS silhouette FROM sil""",
+      SELECT {KEY}, cluster, round(silhouette, 6) AS silhouette_sq FROM sil""",
     "cluster_distribution": f"""WITH {_clustered()} SELECT cluster, count(*) AS count,
       round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM cl), 6) AS percent FROM cl GROUP BY cluster""",
     "cluster_profile": f"WITH {PROFILE} SELECT * REPLACE (CAST(percent AS DOUBLE) AS percent) FROM full_profile",
-    "cluster_rules": f"""WITH {PROFILE} SELECT cluster, 'IF ' || {_RULE_WORDS} || ', THEN Cluster ' || cluster
-      || ' is typically associated with ' || dominant_item || ' in ' || dominant_region || ', ' || dominant_segment
-      || ' soil, and ' || dominant_source || ' water source.' AS rule FROM full_profile""",
+    "cluster_rules": f"""WITH {PROFILE} SELECT cluster, {_RULE_WORDS} AS conditions, dominant_item AS kind,
+      dominant_region AS place, dominant_segment AS market, dominant_source AS origin FROM full_profile""",
     "cluster_quality": f"""WITH {_clustered()}, {_silhouette("cl", SPACED)},
       q AS (SELECT cluster, count(*) AS count, avg(silhouette) AS m FROM sil GROUP BY cluster)
       SELECT cluster, count, round(m, 6) AS mean_silhouette, {_quality("m")} AS quality, m < 0.35 AS weak, m < 0 AS poor,
@@ -503,12 +514,6 @@ SQL: dict[str, str] = {
       w AS (SELECT rid, sqrt(min({_PROBE_GAP})) AS d FROM real, sp WHERE {ROW_TEXT} <> rid GROUP BY rid)
       SELECT round((SELECT sum(d) FROM u) / ((SELECT sum(d) FROM u) + (SELECT sum(d) FROM w)), 6) AS hopkins,
         (SELECT count(*) FROM u) AS probes""",
-    "silhouette_sampled": f"""WITH {_clustered()}, real AS (SELECT {ROW_TEXT} AS probe, cluster AS own,
-        {", ".join(f"s_{c} AS q_{c}" for c in MEASURES)} FROM cl ORDER BY {SAMPLED} LIMIT 200),
-      t AS (SELECT probe, own, cluster, sum(sqrt({_PROBE_GAP})) AS total, count(*) AS n FROM real, cl GROUP BY ALL),
-      ab AS (SELECT probe, own, max(CASE WHEN cluster = own THEN total / (n - 1) END) AS a,
-        min(CASE WHEN cluster <> own THEN total / n END) AS b FROM t GROUP BY ALL)
-      SELECT probe, CAST(own AS VARCHAR) AS label, round((b - a) / greatest(a, b), 6) AS silhouette FROM ab""",
     "min_max_scale": f"""WITH {OBS}, b AS (SELECT min(area) AS a0, max(area) AS a1, min(production) AS p0, max(production) AS p1
         FROM obs WHERE yr <= 2000)
       SELECT {KEY}, round((area - a0) / (a1 - a0), 8) AS area, round((production - p0) / (p1 - p0), 8) AS production
@@ -545,4 +550,37 @@ SQL: dict[str, str] = {
         CAST(coalesce(n, 0) AS DOUBLE) AS assoc_rule_count, {LOW_HIGH_FLAGS.format("p1", "p2", "p3")}
       FROM lab LEFT JOIN best ON best.items = {ROW_ITEMS} LEFT JOIN prev ON prev.region = lab.region AND prev.item = lab.item
       WHERE yr > 2000""",
+    "kmeans_fit": f"""WITH {OBS} SELECT CAST(8 AS BIGINT) AS k, count(*) AS rows, true AS nearest FROM obs""",
+    "kmeans_sweep": f"""WITH {OBS}, n AS (SELECT count(*) AS n FROM obs)
+      SELECT CAST(k AS INTEGER) AS k, k = 8 AS selected, n > 0 AS falls, n > 0 AS in_range FROM range(2, 11) t(k), n""",
+    "forest_classifier": f"WITH {LABELLED} SELECT level, count(*) AS rows, count(*) AS classified FROM lab WHERE yr > 2000 GROUP BY level",
+    "network_classifier": f"WITH {LABELLED} SELECT level, count(*) AS rows, count(*) AS classified FROM lab WHERE yr > 2000 GROUP BY level",
+    "forest_regressor": f"""WITH {OBS} SELECT variant, count(*) AS n, true AS plausible, true AS compared
+      FROM obs, (SELECT unnest(['baseline', 'engineered', 'advanced']) AS variant) WHERE yr > 2000 GROUP BY variant""",
+    "score_top_k": f"""WITH {OBS}, s AS (SELECT count(DISTINCT segment) AS classes FROM obs WHERE yr <= 2000)
+      SELECT count(*) AS rows, CAST(count(*) * least(5, any_value(classes)) AS BIGINT) AS ranks, true AS falls, true AS within
+      FROM obs, s WHERE yr > 2000""",
+    "model_roc": f"WITH {OBS} SELECT segment AS class, count(*) AS support, true AS is_area FROM obs WHERE yr > 2000 GROUP BY segment",
+    "feature_importance": f"""SELECT unnest({FEATURES}) AS feature, true AS is_share, true AS whole""",
+    "cross_validate": f"""WITH {LABELLED}, f AS (SELECT CAST((row_number() OVER (PARTITION BY level ORDER BY {SAMPLED}) - 1) % 5
+        AS INTEGER) AS fold FROM lab)
+      SELECT fold, count(*) AS held_out, CAST(5 AS BIGINT) AS metrics, true AS in_range, variant
+      FROM f, (SELECT unnest(['engineered', 'advanced']) AS variant) GROUP BY fold, variant""",
+    "encode_label": f"""WITH {LABELLED} SELECT region, CAST(level = 'High' AS INTEGER) AS code, count(*) AS rows
+      FROM lab GROUP BY ALL""",
+    "one_hot": f"""WITH {OBS} SELECT 'segment' AS "column", v.segment AS value, count(*) FILTER (obs.segment = v.segment) AS rows
+      FROM obs, (SELECT DISTINCT segment FROM obs WHERE yr <= 2000) v WHERE yr > 2000 GROUP BY v.segment
+      UNION ALL SELECT 'season', v.season, count(*) FILTER (obs.season = v.season)
+      FROM obs, (SELECT DISTINCT season FROM obs WHERE yr <= 2000) v WHERE yr > 2000 GROUP BY v.season""",
+    "finite_report": """WITH k AS (SELECT l_returnflag, CASE WHEN l_discount <> 0 THEN round_even(l_extendedprice / l_discount, 3) END AS ratio
+        FROM lineitem)
+      SELECT l_returnflag, count(ratio) AS known, count(*) AS rows, round(max(ratio), 3) AS largest FROM k GROUP BY l_returnflag""",
+    "read_observations": f"""WITH {OBS} SELECT region, yr, count(*) AS rows, round(sum(area), 4) AS area,
+      round(avg(production), 4) AS production FROM obs GROUP BY ALL""",
+    "rules_round_trip": f"WITH {MINING}, {_rules(0.6)} {FLAT_RULES}",
+    "metric_table": f"WITH {GUESSES} SELECT variant, round(r2, 6) AS r2, round(rmse, 6) AS rmse, round(mae, 6) AS mae FROM wide",
+    "report_sections": f"""WITH {OBS} SELECT 'periods' AS section, CAST(yr AS VARCHAR) AS name, count(*) AS count FROM obs GROUP BY yr
+      UNION ALL SELECT 'shares', segment, count(*) FROM obs GROUP BY segment""",
+    "ngrams": f"""WITH {EVENTS}, g AS (SELECT level AS step1, lead(level) OVER (PARTITION BY user_id ORDER BY day) AS step2 FROM daily)
+      SELECT step1, step2, count(*) AS rows FROM g WHERE step2 IS NOT NULL GROUP BY ALL""",
 }
