@@ -27,19 +27,14 @@ def brute(metric):
 
 
 def test_silhouette_of_squared_distances(points):
-    found = {r.id: r.silhouette for r in clusters.silhouette_sq(points, ["x", "y"], "c").collect()}
+    found = {r.id: r.silhouette_sq for r in clusters.silhouette_sq(points, ["x", "y"], "c").collect()}
     assert found == pytest.approx(brute(lambda d: d * d))
     assert sum(found.values()) / 6 == pytest.approx(0.783974, abs=1e-6) and found[5] == 0.0
 
 
-def test_sampled_silhouette_is_the_euclidean_one(points):
-    found = {int(r.probe): r.silhouette for r in clusters.silhouette_sampled(points, ["x", "y"], ["id"], "c", 10).collect()}
-    assert found == pytest.approx(brute(lambda d: d))
-
-
 def test_single_cluster_has_no_silhouette(points):
     one = points.withColumn("c", F.lit(0))
-    assert clusters.silhouette_sq(one, ["x", "y"], "c").filter("silhouette is not null").count() == 0
+    assert clusters.silhouette_sq(one, ["x", "y"], "c").filter("silhouette_sq is not null").count() == 0
 
 
 def test_nearest_distances(points):
@@ -48,8 +43,8 @@ def test_nearest_distances(points):
     assert other["0"] == 1.0 and other["5"] == pytest.approx(5.0)
     self_too = neighbours.nearest_distance(rows, points, ["x", "y"], ["id"]).agg(F.max("distance")).first()[0]
     assert self_too == 0.0
-    with pytest.raises(ValueError):
-        neighbours.nearest_distance(rows * 1000, points, ["x", "y"], ["id"])
+    many = [(f"p{i}", [i * 0.01, 0.0]) for i in range(neighbours.BLOCK + 500)]
+    assert neighbours.nearest_distance(many, points, ["x", "y"], ["id"]).count() == neighbours.BLOCK + 500
 
 
 def test_hopkins_tells_clusters_from_noise(spark):
@@ -61,6 +56,8 @@ def test_hopkins_tells_clusters_from_noise(spark):
         df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(cloud)], "id int, x double, y double")
         values.append(clusters.hopkins(df, ["x", "y"], ["id"], 40).first().hopkins)
     assert values[0] > 0.9 and 0.3 < values[1] < 0.7
+    wide = spark.range(20000).selectExpr("cast(id as int) id", "rand(1) x", "rand(2) y")
+    assert clusters.hopkins(wide, ["x", "y"], ["id"], 1900).first().probes == 1900
     assert clusters.hopkins(df.limit(1), ["x", "y"], ["id"]).first().hopkins == 0.5
 
 
@@ -81,14 +78,14 @@ def test_kmeans_and_profile(spark):
     profile = clusters.cluster_profile(labelled, "cluster", ["x"], ["x"], ["k"])
     by_cluster = {r.cluster: (r["count"], r.percent, r.level_x, r.dominant_k) for r in profile.collect()}
     assert by_cluster == {0: (20, 50.0, "LOW", "b"), 1: (20, 50.0, "HIGH", "a")}
-    text = clusters.cluster_rule_text(profile, "cluster", {"x": "size"}, "k", "k", "k", "k").filter("cluster = 1").first().rule
-    assert text == "IF HIGH size, THEN Cluster 1 is typically associated with a in a, a soil, and a water source."
+    told = clusters.cluster_rules(profile, "cluster", ["x"], {"kind": "k"}).filter("cluster = 1").first()
+    assert told.conditions == ["x high"] and told.typical.kind == "a"
     sweep = {r.k: r for r in clusters.kmeans_sweep(df, ["x"], (2, 3), 2, 1).collect()}
     assert sweep[2].selected and not sweep[3].selected and sweep[3].inertia <= sweep[2].inertia
 
 
 def test_quality(spark):
-    df = spark.createDataFrame([(0, 0.6), (1, 0.6), (2, -0.1), (3, 0.4)], "c int, silhouette double")
+    df = spark.createDataFrame([(0, 0.6), (1, 0.6), (2, -0.1), (3, 0.4)], "c int, silhouette_sq double")
     rows = {r.c: (r.quality, r.weak, r.poor, r.strongest) for r in clusters.cluster_quality(df, "c").collect()}
     assert rows == {
         0: ("Strong", False, False, True),

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from panelmill import session
 from panelmill.operators import correlation, groups, ranks, summary
 
 NAN = float("nan")
@@ -92,3 +93,38 @@ def test_exact_median_of_many_values(spark):
 def test_exact_median_of_few_distinct_values(spark):
     df = spark.range(5000).select((F.col("id") % 3).cast("double").alias("v"), F.lit(None).cast("double").alias("e"))
     assert ranks.exact_quantiles(df, ["v", "e"], ordered_rows=10, sampled_rows=100) == {"v": 1.0, "e": None}
+
+
+def test_exact_median_of_a_sparse_column_beside_a_dense_one(spark):
+    dense, sparse = F.col("id").cast("double"), F.when(F.col("id") % 100 == 0, (F.col("id") * 7 % 4001).cast("double"))
+    df = spark.range(40000).select(dense.alias("d"), sparse.alias("s"))
+    shrunk = []
+    narrow = ranks._narrow
+
+    def watched(values, zones, rows):
+        narrow(values, zones, rows)
+        shrunk.extend((z.name, z.inside) for z in zones)
+
+    ranks._narrow = watched
+    try:
+        found = ranks.exact_quantiles(df, ["d", "s"], ordered_rows=50, sampled_rows=2000)
+    finally:
+        ranks._narrow = narrow
+    values = sorted(i * 7 % 4001 for i in range(0, 40000, 100))
+    assert found == {"d": 19999.5, "s": (values[199] + values[200]) / 2}
+    assert min(n for name, n in shrunk if name == "c1") <= 100
+
+
+def test_numeric_ties_go_to_the_smaller_number(spark):
+    df = spark.createDataFrame([(1, 10), (1, 9)], "g int, v int")
+    assert groups.dominant_value(df, ["g"], ["v"]).first().v == 9
+
+
+def test_scopes_delete_their_tables(spark):
+    import os
+
+    with session.scope() as own:
+        kept = session.durable(spark.range(3))
+        path = own.paths[0][1].removeprefix("file:")
+        assert kept.count() == 3 and os.path.isdir(path)
+    assert not os.path.exists(path)
