@@ -45,7 +45,7 @@ PROFILED = ["region", "item", "segment", "source"]
 SPACE = ["area", "production", "o_totalprice", "p_retailprice", "l_discount", "l_tax", "yield_value"]
 LEVELS = ["High", "Low"]
 #: Labelled rows that a model of these queries is fitted on, chosen by a hash of their key.
-FIT_ROWS = 2000
+FIT_ROWS = 500
 SPEC = features.FeatureSpec(
     keys=KEY,
     label="level",
