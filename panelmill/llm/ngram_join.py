@@ -14,10 +14,10 @@ at every scale and is the only thing that is broadcast.
 Copies and large groups: equal sets become one class first. A first round links
 each class to one pivot per prefix shingle, which is linear in the postings and
 joins a group of near copies without its pairs: each class is verified against
-the pivot with which it shares most of its prefix, then against one more if
-they are not joined yet. The last round takes only the shingles that still
-meet in different groups and verifies all of those pairs, so no link between
-groups is lost.
+a few pivots with which it shares most of its prefix, then against more of
+those to which it is not joined yet. The last round takes only the shingles
+that still meet in different groups and verifies all of those pairs, so no
+link between groups is lost.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ _HISTOGRAM = 16
 #: Postings of one shingle beyond what all slots hold on average that one task takes.
 _HOT = 1 << 16
 _SALT = 0xFF
-_PIVOT_ROUNDS = 2
+#: Pivots that a class is compared with in the first rounds; the last round takes all that is left.
+_PIVOT_TRIES = (4, 12)
 
 _SCAN = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("spread", pa.list_(pa.int32())), ("part", pa.int32()), ("counts", pa.binary())]
@@ -231,10 +232,11 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFra
 
     tried = classes.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"))
     edges, place = None, None
-    for _ in range(_PIVOT_ROUNDS):
+    for most in _PIVOT_TRIES:
         ahead = tries if place is None else _apart(tries, place, "fp", "pf").join(tried.select(F.col("fa").alias("fp"), F.col("fb").alias("pf")), ["fp", "pf"], "left_anti")
-        best = ahead.groupBy("fp").agg(F.max(F.struct("common", "pf")).alias("best"))
-        best = stores.keep(best.select(F.col("fp").alias("fa"), F.col("best.pf").alias("fb")), "best")
+        by_common = Window.partitionBy("fp").orderBy(F.desc("common"), "pf")
+        best = ahead.withColumn("rank", F.row_number().over(by_common)).where(F.col("rank") <= most)
+        best = stores.keep(best.select(F.col("fp").alias("fa"), F.col("pf").alias("fb")), "best")
         # Classes that share one fingerprint are compared in the first round.
         found = _verified(best.unionByName(tried) if place is None else best, classes, texts, stores, size, percent)
         tried = best if place is None else tried.unionByName(best)
