@@ -32,6 +32,8 @@ _PIECES = pa.schema(
 )
 _LETTERS_AND_MARKS = re.compile(rb"([A-Za-z]+|[A-Za-z\x80-\xff]+)([!-&(-/:;=?@\[-`~]*)")
 
+_PROBES = ("a", "the", "tokens", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")
+
 
 class _WordIds:
     """Ids of words between white space, as little-endian bytes.
@@ -53,14 +55,24 @@ class _WordIds:
         if suffix:
             for token, i in self.tokenizer.get_vocab().items():
                 self.ends[i] = token.endswith(suffix)
+        # Lower-case ASCII letters pass most normalisers unchanged; then the model alone gives their ids.
+        self.direct = all(
+            [t.id for t in self.tokenizer.model.tokenize(w)] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in _PROBES
+        )
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
 
     def _learn_parts(self, parts: list[bytes]) -> None:
         """Parts that the tokenizer takes as one word each."""
+        if self.direct:
+            tokenize = self.tokenizer.model.tokenize
+            plain = [p for p in parts if p.isascii() and p.isalpha()]
+            self.parts.update((p, np.array([t.id for t in tokenize(p.decode())], self.kind).tobytes()) for p in plain)
+            parts = [p for p in parts if p not in self.parts]
         for low in range(0, len(parts), 4096):
             some = parts[low : low + 4096]
-            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, self.kind)
+            coded = self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
+            ids = np.array(coded[0].ids, self.kind)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some):
                 code, step = ids.tobytes(), self.kind.itemsize
@@ -70,7 +82,7 @@ class _WordIds:
                 self._learn_singly(some, self.parts)
 
     def _learn_singly(self, some: list[bytes], into: dict[bytes, bytes]) -> None:
-        coded = self.tokenizer.encode_batch([s.decode() for s in some], add_special_tokens=False)
+        coded = self.tokenizer.encode_batch_fast([s.decode() for s in some], add_special_tokens=False)
         into.update((s, np.array(c.ids, self.kind).tobytes()) for s, c in zip(some, coded, strict=True))
 
     def learn(self, missing: set[bytes]) -> None:
