@@ -6,22 +6,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelmill.session import ensure_checkpoint_dir
+from panelmill.session import ensure_checkpoint_dir, owned
 
 
 class Stores:
     """Owns a folder below the checkpoint folder of the session.
 
     ``keep`` writes a table there and reads it back, which cuts lineage and
-    survives lost executors. ``done`` deletes the folder; tables that the lazy
-    result still reads must stay until the caller has used it, so operators only
-    delete what they no longer need.
+    survives lost executors. ``drop`` deletes tables that nothing reads any more;
+    the folder goes with the session's scope (``panelmill.session.scope``), as the
+    lazy result of an operator may still read it.
     """
 
     def __init__(self, spark: SparkSession):
         ensure_checkpoint_dir(spark)
         self.spark = spark
-        self.root = f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
+        self.root = owned(spark, f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}")
         self._next = 0
 
     def path(self, name: str) -> str:
