@@ -80,6 +80,15 @@ def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         low = high
 
 
+def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many flags are set in each text."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    filled = np.diff(offsets) > 0
+    if filled.any():
+        out[filled] = np.add.reduceat(flags, offsets[:-1][filled], dtype=np.int64)
+    return out
+
+
 class _Distinct(NamedTuple):
     rows: np.ndarray
     keys: np.ndarray
@@ -119,9 +128,8 @@ class Voters(NamedTuple):
         for i, pattern in enumerate(_PATTERNS):
             out[:, self.size - 4 + i] = pc.match_substring_regex(lowered, pattern).to_numpy(zero_copy_only=False)
         raw, offsets = K.text_bytes(column)
-        ends = np.concatenate([[0], np.cumsum((raw >= 65) & (raw <= 90))])[offsets]
-        letters = np.concatenate([[0], np.cumsum(_LETTER[raw])])[offsets]
-        out[:, self.size - 1] = np.diff(ends) > 0.6 * np.maximum(20, np.diff(letters))
+        capitals, letters = _sums((raw >= 65) & (raw <= 90), offsets), _sums(_LETTER[raw], offsets)
+        out[:, self.size - 1] = capitals > 0.6 * np.maximum(20, letters)
         return out
 
 
