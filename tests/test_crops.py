@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from panelmill.operators import groups, models
+from panelmill.operators import models
 from panelmill.plans import crops, features
 
 
@@ -49,7 +49,7 @@ def test_mining_reports(rows):
 
 
 def test_trends_and_macro(spark, rows):
-    assert crops.trends(rows).count() == groups.distinct_rows(rows, [*crops.GROUP, "Year"]).count()
+    assert crops.trends(rows).count() == rows.select(*crops.GROUP, "Year").distinct().count()
     ask = spark.createDataFrame([(2015, None), (2015, 1.0), (1990, None)], f"Year int, `{crops.GDP}` double")
     found = sorted(((r.Year, r[crops.GDP], r[crops.FERTILIZER]) for r in crops.with_macro(ask, rows).collect()), key=str)
     assert found == [(1990, None, None), (2015, 1.0, 1e6 + 2015), (2015, 5e10 + 2015, 1e6 + 2015)]
@@ -77,10 +77,3 @@ def test_clustering(rows):
     assert sum(r["count"] for r in found["distribution"].collect()) == 240
     assert 0 < found["hopkins"].first().hopkins < 1
     assert found["evaluation_quality"].count() == 3
-
-
-def test_orders(spark):
-    df = spark.createDataFrame([("b", 2, 1), ("a", 2, 1), ("c", 1, 9)], "k string, yr int, count int")
-    assert [r.k for r in groups.by_count(df, "k").collect()] == ["c", "a", "b"]
-    assert [r.k for r in groups.chronological(df, ["k"], "yr").collect()] == ["a", "b", "c"]
-    assert [r.k for r in groups.first_rows(df, [F.desc("k")], 1).collect()] == ["c"]
