@@ -35,7 +35,7 @@ from panelmill.llm.stores import Stores
 
 SLOT_BITS = 18
 _PART = 1 << 12
-_HISTOGRAM = 16
+_HISTOGRAM = 64
 #: Postings of one shingle beyond what all slots hold on average that one task takes.
 _HOT = 1 << 16
 _SALT = 0xFF
