@@ -98,12 +98,12 @@ def _slot_table(scan: DataFrame) -> np.ndarray:
 
 
 def _postings(size: int, percent: int, slots):
-    """Prefix postings (key, fp, np): the last byte of a key is the salt of a hot shingle, else 0; np holds size and position."""
+    """Prefix postings (key, fp, np): the last byte of a key is the salt (1 or more) of a hot shingle, else 0; np holds size and position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = slots.value
         usual = int(2 * table.mean())
-        salts = (np.clip((table - usual) // _HOT, 0, _SALT) + 1).astype(np.uint64)
+        salts = np.clip((table - usual) // _HOT, 0, _SALT).astype(np.uint64)
         for batch in batches:
             keys, fps, packed = [], [], []
             pending = 0
@@ -116,7 +116,9 @@ def _postings(size: int, percent: int, slots):
                 slot = (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
                 order = np.lexsort((s, table[slot]))[:take]
                 fp = np.sum(K.mix(s), dtype=np.uint64)
-                keys.append((s[order] & ~np.uint64(_SALT)) | K.mix(fp[None]) % salts[slot[order]])
+                many = salts[slot[order]]
+                salt = np.where(many > 0, K.mix(fp[None]) % np.maximum(many, np.uint64(1)) + np.uint64(1), np.uint64(0))
+                keys.append((s[order] & ~np.uint64(_SALT)) | salt)
                 fps.append(np.full(take, fp))
                 packed.append((n << 32) + np.arange(take, dtype=np.int64))
                 pending += take
@@ -217,8 +219,10 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFra
     postings = texts.select("text").mapInArrow(_postings(size, percent, slots), "key long, fp long, np long")
     by_key = Window.partitionBy("key").orderBy("fp")
     shared = postings.select("*", F.first(F.struct("fp", "np")).over(by_key).alias("pivot"), F.lag("fp").over(by_key).alias("previous"))
-    # Rows of the pivot itself are kept only where another class shares the shingle.
-    shared = shared.withColumn("next", F.lead("fp").over(by_key)).where("fp <> pivot.fp or next <> fp")
+    # Rows of the pivot itself are kept only where another class shares the shingle; of a hot
+    # shingle always, as the other class may have another salt.
+    salted = F.col("key").bitwiseAND(F.lit(_SALT)) != 0
+    shared = shared.withColumn("next", F.lead("fp").over(by_key)).where(F.expr("fp <> pivot.fp or next <> fp") | (salted & (F.col("fp") == F.col("pivot.fp"))))
     shared = shared.where("previous is null or previous <> fp")
     shingle = F.col("key").bitwiseAND(F.lit(~_SALT)).alias("key")
     shared = stores.keep(shared.select(shingle, "fp", "np", F.col("pivot.fp").alias("pf"), F.col("pivot.np").alias("pn")), "shared")

@@ -1,6 +1,7 @@
 import random
 import re
 
+from panelmill.llm import ngram_join
 from panelmill.llm.ngram_join import similar_groups
 
 
@@ -52,3 +53,26 @@ def test_odd_rows(spark, rich):
     assert (1, 0, 1) in found and (2, 0, 2) in found and (5, 0, 5) in found
     assert (None, 2, None) in found and (-4, 1, -4) in found and len(found) == 8
     assert similar_groups(rich.limit(0)).collect() == []
+
+
+def families(seed, count, copies):
+    """Texts with exact copies, each with two near copies."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(count):
+        base = [rng.choice(words) for _ in range(60)]
+        for place in (10, 50):
+            near = list(base)
+            near[place] = "changed"
+            rows.append((len(rows), " ".join(near)))
+        rows += [(len(rows) + i, " ".join(base)) for i in range(copies)]
+    return rows
+
+
+def test_salted_shingles_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_HOT", 2)
+    rows = families(7, 12, 9)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(df).collect()}
+    assert found == brute(rows)
