@@ -39,6 +39,8 @@ _HISTOGRAM = 64
 #: Postings of one shingle beyond what all slots hold on average that one task takes.
 _HOT = 1 << 16
 _SALT = 0xFF
+#: Classes that one task remembers, to leave out postings of copies.
+_SEEN = 1 << 16
 #: Pivots that a class is compared with in the first rounds; the last round takes all that is left.
 _PIVOT_TRIES = (4, 12)
 
@@ -104,6 +106,7 @@ def _postings(size: int, percent: int, slots):
         table = slots.value
         usual = int(2 * table.mean())
         salts = np.clip((table - usual) // _HOT, 0, _SALT).astype(np.uint64)
+        seen: set[tuple[int, int, int]] = set()
         for batch in batches:
             keys, fps, packed = [], [], []
             pending = 0
@@ -112,10 +115,16 @@ def _postings(size: int, percent: int, slots):
                 n = len(s)
                 if not n:
                     continue
+                fp = np.sum(K.mix(s), dtype=np.uint64)
+                same = n, int(fp), int(np.sum(s, dtype=np.uint64))
+                if same in seen:  # copies within a task; those of other tasks are dropped after the shuffle
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(same)
                 take = n - -(-percent * n // 100) + 1
                 slot = (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
                 order = np.lexsort((s, table[slot]))[:take]
-                fp = np.sum(K.mix(s), dtype=np.uint64)
                 many = salts[slot[order]]
                 salt = np.where(many > 0, K.mix(fp[None]) % np.maximum(many, np.uint64(1)) + np.uint64(1), np.uint64(0))
                 keys.append((s[order] & ~np.uint64(_SALT)) | salt)
@@ -217,13 +226,14 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFra
     classes = stores.keep(known.groupBy("n", "fp", "fp2").agg(F.min("doc_id").alias("rep"), F.any_value("spread").alias("spread")), "classes")
 
     postings = texts.select("text").mapInArrow(_postings(size, percent, slots), "key long, fp long, np long")
-    by_key = Window.partitionBy("key").orderBy("fp")
-    shared = postings.select("*", F.first(F.struct("fp", "np")).over(by_key).alias("pivot"), F.lag("fp").over(by_key).alias("previous"))
+    # One row per class and key first: a pivot with copies would else count as its own neighbour.
+    by_key = Window.partitionBy("key").orderBy("fp", "np")
+    once = postings.withColumn("previous", F.lag("fp").over(by_key)).where("previous is null or previous <> fp").drop("previous")
+    shared = once.withColumn("pivot", F.first(F.struct("fp", "np")).over(by_key))
     # Rows of the pivot itself are kept only where another class shares the shingle; of a hot
     # shingle always, as the other class may have another salt.
     salted = F.col("key").bitwiseAND(F.lit(_SALT)) != 0
     shared = shared.withColumn("next", F.lead("fp").over(by_key)).where(F.expr("fp <> pivot.fp or next <> fp") | (salted & (F.col("fp") == F.col("pivot.fp"))))
-    shared = shared.where("previous is null or previous <> fp")
     shingle = F.col("key").bitwiseAND(F.lit(~_SALT)).alias("key")
     shared = stores.keep(shared.select(shingle, "fp", "np", F.col("pivot.fp").alias("pf"), F.col("pivot.np").alias("pn")), "shared")
 

@@ -76,3 +76,11 @@ def test_salted_shingles_lose_no_link(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(df).collect()}
     assert found == brute(rows)
+
+
+def test_last_round_alone_finds_pivots_with_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_PIVOT_TRIES", (0,))
+    rows = families(8, 12, 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(df).collect()}
+    assert found == brute(rows)
