@@ -9,8 +9,9 @@ window is found at distance 0; nearby ones within the radius are found as well.
 
 Fingerprints have 64 bits in four blocks of 16. Two of them within distance 3
 agree in at least one block, so looking up each block finds all of them.
-Candidates are aligned with the whole item and verified by the weighted Jaccard
-similarity of their five-word shingles, each weighing as often as it occurs.
+Candidates are aligned with the whole item; all passages around them, of every start
+and length, are verified by the weighted Jaccard similarity of their five-word
+shingles, each weighing as often as it occurs.
 """
 
 from __future__ import annotations
@@ -148,31 +149,65 @@ def _candidates(index: Index, hashes: np.ndarray, first: np.ndarray) -> np.ndarr
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
-def _best(index: Index, ws: np.ndarray, item: int, start: int) -> tuple[float, int, int]:
-    """The best similarity of the item near the aligned start, moved or resized by one word."""
-    length, best = len(index.words[item]), (0.0, 0, 0)
-    for move, grow in ((0, 0), (0, 1), (0, -1), (-1, 1), (1, -1), (-1, 0), (1, 0)):
-        low, high = max(0, start + move), min(len(ws), start + move + length + grow)
-        if high <= low:
-            continue
-        s = similarity(_shingle_counts(ws[low:high]), index.shingles[item])
-        if s > best[0]:
-            best = s, low, high
-        if s == 1:
-            break
-    return best
+def _best(ws: np.ndarray, length: int, goal: Counter, low: int, high: int, threshold: float) -> tuple[float, int, int]:
+    """The best similarity to the item of any passage within words ``low`` to ``high``; 0 if none reaches the threshold.
+
+    Passages of every start and length are compared. The best one begins and ends
+    with shingles of the item, so only those are tried as borders.
+    """
+    n, total = min(SHINGLE, length), sum(goal.values())
+    low = max(0, low)
+    found = K.ngrams(ws[low:high], n, stream=4)
+    kinds = np.array(list(goal), np.uint64)
+    kinds.sort()
+    kind = np.minimum(np.searchsorted(kinds, found), len(kinds) - 1)
+    at = np.flatnonzero(kinds[kind] == found) if len(found) else np.zeros(0, np.int64)
+    kind, wanted = kind[at], np.array([goal[k] for k in kinds.tolist()])
+    need, widest = total * threshold - 1e-9, total / threshold + 1e-9
+    best = (0.0, 0, 0)
+    if not len(at) or np.minimum(np.bincount(kind, minlength=len(kinds)), wanted).sum() < need:
+        return best
+    order = np.argsort(kind, kind="stable")
+    sizes = np.bincount(kind, minlength=len(kinds))
+    nth = np.empty(len(at), np.int64)  # how many of its kind stand before
+    nth[order] = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    passed = np.zeros(len(kinds), np.int64)
+    ends = np.searchsorted(at, at + widest, side="left")
+    for i in range(len(at)):
+        if ends[i] - i >= need:
+            own = kind[i : ends[i]]
+            both = np.cumsum(nth[i : ends[i]] - passed[own] < wanted[own])
+            near = both / (total + at[i : ends[i]] - at[i] + 1 - both)
+            k = int(np.argmax(near))
+            if near[k] > best[0]:
+                best = float(near[k]), int(low + at[i]), int(low + at[i + k] + n)
+                if near[k] == 1:
+                    break
+        passed[kind[i]] += 1
+    return best if best[0] >= threshold else (0.0, 0, 0)
 
 
 def _leaks(index: Index, column: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, similarity, first word, end word): the best place of each item in each row of the batch."""
     hashes, first = K.words(column)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    regions: dict[tuple[int, int], list[list[int]]] = {}
     for row, item, start in _candidates(index, hashes, first).tolist():
-        known = best.get((row, item))
-        if known is None or known[0] < 1:
-            now = _best(index, hashes[first[row] : first[row + 1]], item, start)
-            if now[0] >= threshold and (known is None or now[0] > known[0]):
+        length = len(index.words[item])
+        widest = int(length / threshold) + SHINGLE
+        low, high = start - widest, start + length + widest
+        own = regions.setdefault((row, item), [])
+        if own and low <= own[-1][1]:  # starts come in order
+            own[-1][1] = high
+        else:
+            own.append([low, high])
+    for (row, item), spans in regions.items():
+        for low, high in spans:
+            now = _best(hashes[first[row] : first[row + 1]], len(index.words[item]), index.shingles[item], low, high, threshold)
+            if now[0] > best.get((row, item), (0.0,))[0]:
                 best[row, item] = now
+                if now[0] == 1:
+                    break
     for (row, item), place in sorted(best.items()):
         yield (row, item, *place)
 

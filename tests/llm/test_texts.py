@@ -131,6 +131,55 @@ def test_decontamination_equals_brute_force(spark):
     assert expected <= set(found) and all(v >= 0.75 for v in found.values()) and len(set(found) - expected) <= 2
 
 
+def best_of_all_passages(text, item):
+    from collections import Counter
+
+    w, v = words_of(text), words_of(item)
+    goal, best = Counter(tuple(v[j : j + 5]) for j in range(max(1, len(v) - 4))), 0.0
+    for low in range(len(w)):
+        other = Counter()
+        for high in range(low + 1, len(w) + 1):
+            if high - low > 5:
+                other[tuple(w[high - 5 : high])] += 1
+            else:
+                other = Counter([tuple(w[low:high])])
+            both = sum(min(n, goal[k]) for k, n in other.items() if k in goal)
+            best = max(best, both / (sum(goal.values()) + max(1, high - low - 4) - both))
+    return best
+
+
+def leak_of(text, item):
+    import pyarrow as pa
+
+    index = decontaminate.build([(0, item)])
+    return [found[2] for found in decontaminate._leaks(index, pa.array([text], pa.large_string()), 0.75)]
+
+
+def test_decontamination_finds_cut_and_resized_passages():
+    rng = random.Random(4)
+
+    def some(n):
+        return [f"word{rng.randrange(5000)}" for _ in range(n)]
+
+    for size, edit in (
+        (100, lambda v: v[:80]),
+        (100, lambda v: v[:50] + some(12) + v[50:]),
+        (50, lambda v: v[:42]),
+        (20, lambda v: v[:17]),
+        (50, lambda v: v[:24] + some(4) + v[24:]),
+        (60, lambda v: v[:30] + v[35:]),
+        (3, lambda v: v),
+    ):
+        v = some(size)
+        item, text = " ".join(v), " ".join([*some(15), *edit(v), *some(15)])
+        best = best_of_all_passages(text, item)
+        assert best >= 0.75 and leak_of(text, item) == [pytest.approx(best)], size
+    again = "a b c d e f a b c d e f g h i a b c d e f"
+    for text in (again, f"x y {again} z", "a b c d e f " * 6, f"{again[:30]} q {again[31:]}"):
+        best = best_of_all_passages(text, again)
+        assert leak_of(text, again) == ([pytest.approx(best)] if best >= 0.75 else [])
+
+
 def test_decontamination_takes_odd_rows(spark, rich):
     items = spark.createDataFrame([(0, "three four five six seven eight"), (1, None), (2, "one two three four five six")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(rich, items).collect()} == {(3, 2), (7, 2)}
