@@ -1,11 +1,13 @@
 """Find benchmark items in documents: SimHash of item-sized windows, Hamming blocks, exact verification.
 
-Items of similar length share a window size w and a step s, about 2 s = w, with
-w + (2 e + 2) s <= length + 1 for e = number of changed words that a passage of
-that length can have at similarity 0.75. Then every passage holds 2 e + 3 windows
-of the documents' grid, each changed word touches two of them, and one is left
-unchanged. Documents are cut at every step s, items at every offset, so that this
-window is found at distance 0; nearby ones within the radius are found as well.
+Items of similar length share a window size w and a step s; windows are parts of
+items. A passage at similarity 0.75 of an item of M shingles that breaks off e times
+has at least 0.75 M + 3 e shingles in common with it: each break, be it changed, added,
+missing or moved words, costs both sides four shingles or more, as long as no words
+repeat right at it. So one of its e + 1 runs has ``_run_of`` words or more, and
+w + s - 1 is the smallest such run of all lengths that share the window. Documents are
+cut at every step s, items at every offset, so that a window of that run is found at
+distance 0; nearby ones within the radius are found as well.
 
 Fingerprints have 64 bits in four blocks of 16. Two of them within distance 3
 agree in at least one block, so looking up each block finds all of them.
@@ -16,6 +18,7 @@ shingles, each weighing as often as it occurs.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -55,10 +58,22 @@ class Index(NamedTuple):
     classes: list[_Class]
 
 
+def _run_of(length: int) -> int:
+    """Words that some unchanged run has at least, in any passage at ``SIMILARITY`` of an item of ``length`` words."""
+    if length <= SHINGLE:
+        return length
+    shingles = length - SHINGLE + 1
+    lost = SHINGLE - 1  # by each side at a break
+    breaks = int(shingles * (1 - SIMILARITY) / (lost * (1 + SIMILARITY)))
+    common = [SIMILARITY * (shingles + lost * e) / (e + 1) for e in range(breaks + 1)]
+    return math.ceil(min(common) - 1e-9) + SHINGLE - 1
+
+
 def _window_of(shortest: int) -> tuple[int, int]:
-    changed = max(1, (shortest - SHINGLE + 1) // 35)
-    step = max(1, (shortest + 1) // (2 * changed + 3))
-    return max(min(shortest, 4), 2 * step), step
+    """Window and step of the items from ``shortest`` words to the next class."""
+    run = min(_run_of(n) for n in range(shortest, int(shortest * _GROWTH) + 1))
+    step = max(1, (run + 1) // 3)
+    return run + 1 - step, step
 
 
 def _prints(hashes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:

@@ -180,6 +180,28 @@ def test_decontamination_finds_cut_and_resized_passages():
         assert leak_of(text, again) == ([pytest.approx(best)] if best >= 0.75 else [])
 
 
+def test_decontamination_windows_fit_every_item_of_a_class():
+    rng = random.Random(6)
+    for size, edits in ((1, 0), (2, 0), (48, 1), (60, 2), (74, 2), (78, 2), (84, 2), (89, 2), (130, 3)):
+        for _ in range(150 if edits else 3):
+            v = [f"word{rng.randrange(5000)}" for _ in range(size)]
+            item, w = " ".join(v), list(v)
+            for _ in range(edits):
+                at = rng.randrange(size)
+                w[at : at + 2 if size == 48 else at + 1] = ["x"] * (2 if size == 48 else 1)
+            noise = [f"word{rng.randrange(5000)}" for _ in range(rng.randrange(20, 40))]
+            text = " ".join([*noise, *w, *noise])
+            goal, other = (set(zip(*(u[j:] for j in range(min(5, size))))) for u in (v, w))
+            if len(goal & other) >= 0.75 * len(goal | other):
+                assert leak_of(text, item), (size, edits)
+    for length in range(1, 400):
+        shortest = 1
+        while int(shortest * decontaminate._GROWTH) + 1 <= length:
+            shortest = int(shortest * decontaminate._GROWTH) + 1
+        window, step = decontaminate._window_of(shortest)
+        assert window + step - 1 <= decontaminate._run_of(length)
+
+
 def test_decontamination_takes_odd_rows(spark, rich):
     items = spark.createDataFrame([(0, "three four five six seven eight"), (1, None), (2, "one two three four five six")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(rich, items).collect()} == {(3, 2), (7, 2)}
