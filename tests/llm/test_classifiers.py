@@ -57,6 +57,19 @@ def test_language_takes_odd_rows(spark, rich):
     assert {r.lang_pred for r in language_id.identify(rich, none, ["doc_id"]).collect()} == {"und"}
 
 
+def test_models_keep_every_gram_of_a_rare_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "CAPACITY", 40, raising=False)  # the former bound, from which rare n-grams went
+    common = ["the house stands near the old river and the road"] * 60
+    rare = ["kuća stoji blizu stare rijeke"]
+    rows = [(t, "en") for t in common] + [(t, "hr") for t in rare]
+    models = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", F.lit(True))
+    assert models.langs == ["en", "hr"]
+    grams = np.unique(np.concatenate([language_id._grams(common[:1])[0], language_id._grams(rare)[0]]))
+    assert len(models.orders[0].grams) == len(grams)
+    found = language_id.identify(spark.createDataFrame(rows[-1:], "text string, lang string"), models, ["lang"])
+    assert found.first().lang_pred == "hr"
+
+
 def test_kneser_ney_is_a_distribution():
     texts = ["abcab abd", "bcd bca", "abc"]
     keys, n = np.unique(language_id._grams(texts)[0], return_counts=True)
