@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelmill.llm import decontaminate, language_id, line_dedup, ngram_join, order_minhash, packing, pii, quality, toxicity, warc
+from panelmill.llm import decontaminate, importance, language_id, line_dedup, ngram_join, order_minhash, packing, pii, quality, quality_rules, toxicity, vector_codes, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -95,3 +95,18 @@ def op2_line_dedup(spark, sf):
 @query
 def op7_pii(spark, sf):
     return pii.personal_data(table(spark, sf, "documents"))
+
+
+@query
+def op11_vector_codes(spark, sf):
+    return vector_codes.coded(table(spark, sf, "embeddings"))
+
+
+@query
+def op12_importance(spark, sf):
+    return importance.resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op13_quality_rules(spark, sf):
+    return quality_rules.judged(table(spark, sf, "documents"))
