@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelmill.llm import decontaminate, importance, language_id, line_dedup, ngram_join, order_minhash, packing, pii, quality, quality_rules, toxicity, vector_codes, warc
+from panelmill.llm import decontaminate, importance, language_id, line_dedup, ngram_join, order_minhash, packing, pii, quality, quality_rules, sql, toxicity, vector_codes, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = sql.SQL
 
 
 def query(fn):
