@@ -11,13 +11,17 @@ slots. The order is (count of the slot, hash), the same for every document, so
 the join stays exact whatever falls into one slot; the table has a fixed size
 at every scale and is the only thing that is broadcast.
 
-Copies and large groups: equal sets become one class first. A first round links
-each class to one pivot per prefix shingle, which is linear in the postings and
-joins a group of near copies without its pairs: each class is verified against
-a few pivots with which it shares most of its prefix, then against more of
-those to which it is not joined yet. The last round takes only the shingles
-that still meet in different groups and verifies all of those pairs, so no
-link between groups is lost.
+Copies and large groups: equal sets become one class first. The first rounds link
+each class to pivots of its prefix shingles, which is linear in the postings and
+joins a group of near copies without its pairs. The pivot of a shingle is the
+class with the fewest rarer shingles: of near copies that is the one with the
+fewest changes, to which all others are closest, so what stays apart from it
+is cut by the positional filter from almost all the rest as well. Each class is
+verified against a few pivots with which it shares most of its prefix, then against
+more of those to which it is not joined yet. While many pairs are left, further rounds
+compare each class with the pivot of the largest other group of a shingle. The
+last round takes the shingles that still meet in different groups and verifies
+all of those pairs that the filters leave, so no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -38,11 +42,13 @@ _PART = 1 << 12
 _HISTOGRAM = 64
 #: Postings of one shingle beyond what all slots hold on average that one task takes.
 _HOT = 1 << 16
-_SALT = 0xFF
+_SALT = 0xFFFF
 #: Classes that one task remembers, to leave out postings of copies.
 _SEEN = 1 << 16
 #: Pivots that a class is compared with in the first rounds; the last round takes all that is left.
 _PIVOT_TRIES = (4, 12)
+#: Pairs for each posting from which another round of pivots comes before the last one.
+_MANY_PAIRS = 64
 
 _SCAN = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("spread", pa.list_(pa.int32())), ("part", pa.int32()), ("counts", pa.binary())]
@@ -100,7 +106,7 @@ def _slot_table(scan: DataFrame) -> np.ndarray:
 
 
 def _postings(size: int, percent: int, slots):
-    """Prefix postings (key, fp, np): the last byte of a key is the salt (1 or more) of a hot shingle, else 0; np holds size and position."""
+    """Prefix postings (key, fp, np): the last two bytes of a key are the salt (1 or more) of a hot shingle, else 0; np holds size and position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = slots.value
@@ -181,9 +187,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, stores: St
     left = classes.select(F.col("fp").alias("fa"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("spread").alias("sa"))
     right = classes.select(F.col("fp").alias("fb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("spread").alias("sb"))
     named = pairs.join(left, "fa").join(right, "fb").where("a <> b")
-    most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    named = named.where(_can_reach(F.col("na"), F.col("nb"), most.cast("long"), percent))
-    named = stores.keep(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    named = named.where(_may_share("sa", "sb", F.col("na"), F.col("nb"), percent))
+    # The text of a is sent on to b once per pair, so b is the side with many partners: the pivot.
+    named = stores.keep(named.select("a", "b").distinct(), "pairs")
     wanted = named.select(F.col("a").alias("row")).unionByName(named.select(F.col("b").alias("row"))).distinct()
     held = passing(texts, "row", wanted)
     told = named.join(held.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
@@ -192,6 +198,41 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, stores: St
     return stores.keep(found, "edges")
 
 
+def _central(np_: str = "np", fp: str = "fp") -> Column:
+    """Sorts classes of a shingle by their number of rarer shingles, the larger set first among equals."""
+    return F.struct(_place(np_).alias("place"), (-_size(np_)).alias("less"), F.col(fp).alias("fp"), F.col(np_).alias("np"))
+
+
+def _may_share(a: str, b: str, na: Column, nb: Column, percent: int) -> Column:
+    """Suffix filter on histograms; an unknown one passes."""
+    most = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return F.coalesce(_can_reach(na, nb, most.cast("long"), percent), F.lit(True))
+
+
+def _placed(shared: DataFrame, place: DataFrame) -> DataFrame:
+    """(key, fp, np, group): a class that is linked to nothing is a group of its own."""
+    own = F.struct(F.lit(True).alias("alone"), F.col("fp").alias("at"))
+    return shared.select("key", "fp", "np").join(place, "fp", "left").withColumn("group", F.coalesce("group", own))
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The postings of shingles that several groups share."""
+    open_keys = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
+    return placed.join(open_keys, "key", "left_semi")
+
+
+def _others(left_over: DataFrame, percent: int) -> DataFrame:
+    """(fp, pf): every class of a shingle with the pivot of the largest group there that is not its own."""
+    groups = left_over.groupBy("key", "group").agg(F.count("*").alias("n"), F.min(_central()).alias("pivot"))
+    by_size = Window.partitionBy("key").orderBy(F.desc("n"), "group")
+    top = groups.withColumn("rank", F.row_number().over(by_size)).where("rank <= 2")
+    top = top.select("key", "rank", F.col("group").alias("of"), F.col("pivot.fp").alias("pf"), F.col("pivot.np").alias("pn"))
+    # A member of the largest group meets the second one, everyone else the largest.
+    largest = F.max(F.when(F.col("rank") == 1, F.col("of"))).over(Window.partitionBy("key"))
+    met = left_over.join(top.withColumn("largest", largest), "key").where((F.col("group") == F.col("largest")) == (F.col("rank") == 2))
+    return met.where(_positional("np", "pn", percent)).select("fp", "pf")
+
+
 def _places(classes: DataFrame, groups: DataFrame, stores: Stores) -> DataFrame:
     """(fp, group) of the classes that are linked so far."""
     at = classes.join(groups, F.col("rep") == F.col("node")).groupBy("fp").agg(F.min("component").alias("at"))
@@ -229,25 +270,31 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFra
     # One row per class and key first: a pivot with copies would else count as its own neighbour.
     by_key = Window.partitionBy("key").orderBy("fp", "np")
     once = postings.withColumn("previous", F.lag("fp").over(by_key)).where("previous is null or previous <> fp").drop("previous")
-    shared = once.withColumn("pivot", F.first(F.struct("fp", "np")).over(by_key))
-    # Rows of the pivot itself are kept only where another class shares the shingle; of a hot
-    # shingle always, as the other class may have another salt.
+    # Rows of a shingle are kept only where several classes share it; of a hot shingle
+    # the pivot always, as the other class may have another salt.
+    whole = Window.partitionBy("key")
+    shared = once.withColumns({"pivot": F.min(_central()).over(whole), "many": F.count("*").over(whole)})
     salted = F.col("key").bitwiseAND(F.lit(_SALT)) != 0
-    shared = shared.withColumn("next", F.lead("fp").over(by_key)).where(F.expr("fp <> pivot.fp or next <> fp") | (salted & (F.col("fp") == F.col("pivot.fp"))))
+    shared = shared.where((F.col("many") > 1) | (salted & (F.col("fp") == F.col("pivot.fp"))))
     shingle = F.col("key").bitwiseAND(F.lit(~_SALT)).alias("key")
     shared = stores.keep(shared.select(shingle, "fp", "np", F.col("pivot.fp").alias("pf"), F.col("pivot.np").alias("pn")), "shared")
 
     direct = shared.where("fp <> pf").where(_positional("np", "pn", percent)).select("fp", "pf")
     heads = shared.where("fp = pf")
-    hubs = heads.groupBy("key").agg(F.min(F.struct("fp", "np")).alias("hub"), F.count("*").alias("salts")).where("salts > 1")
+    hubs = heads.groupBy("key").agg(F.min(_central()).alias("hub"), F.count("*").alias("salts")).where("salts > 1")
     between = heads.join(hubs, "key").where("fp <> hub.fp").select("fp", "np", F.col("hub.fp").alias("pf"), F.col("hub.np").alias("pn"))
     tries = direct.unionByName(between.where(_positional("np", "pn", percent)).select("fp", "pf"))
     tries = stores.keep(tries.groupBy("fp", "pf").agg(F.count("*").alias("common")), "tries")
 
     tried = classes.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"))
     edges, place = None, None
-    for most in _PIVOT_TRIES:
-        ahead = tries if place is None else _apart(tries, place, "fp", "pf").join(tried.select(F.col("fa").alias("fp"), F.col("fb").alias("pf")), ["fp", "pf"], "left_anti")
+
+    def compared(ahead: DataFrame, most: int) -> None:
+        """Verify up to ``most`` of the (fp, pf, common) of each class that are apart and new; find the groups again."""
+        nonlocal edges, place, tried
+        if place is not None:
+            known_pairs = tried.select(F.col("fa").alias("fp"), F.col("fb").alias("pf"))
+            ahead = _apart(ahead, place, "fp", "pf").join(known_pairs, ["fp", "pf"], "left_anti")
         by_common = Window.partitionBy("fp").orderBy(F.desc("common"), "pf")
         best = ahead.withColumn("rank", F.row_number().over(by_common)).where(F.col("rank") <= most)
         best = stores.keep(best.select(F.col("fp").alias("fa"), F.col("pf").alias("fb")), "best")
@@ -257,11 +304,24 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFra
         edges = found if edges is None else edges.unionByName(found)
         place = _places(classes, components(edges, stores), stores)
 
-    placed = shared.select("key", "fp", "np").join(place, "fp", "left").withColumn("group", F.coalesce("group", F.struct(F.lit(True).alias("alone"), F.col("fp").alias("at"))))
-    open_keys = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-    left_over = stores.keep(placed.join(open_keys, "key", "left_semi"), "open")
-    one, two = left_over.alias("x"), left_over.alias("y")
-    met = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.group") != F.col("y.group")) & _positional("x.np", "y.np", percent))
+    for most in _PIVOT_TRIES:
+        compared(tries, most)
+    pairs_before = None
+    while True:
+        left_over = stores.keep(_open(_placed(shared, place)), "open")
+        pairs = left_over.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+        rows, pairs = pairs.agg(F.sum("s"), F.sum(((F.col("s") * F.col("s") - F.col("q")) / 2).cast("double"))).first()
+        if not rows or pairs <= _MANY_PAIRS * rows or (pairs_before is not None and pairs > 0.8 * pairs_before):
+            break
+        pairs_before = pairs
+        others = stores.keep(_others(left_over, percent).groupBy("fp", "pf").agg(F.count("*").alias("common")), "others")
+        compared(others, max(_PIVOT_TRIES))
+
+    one_spread = classes.groupBy("fp").agg(F.count("*").alias("k"), F.any_value("spread").alias("spread")).select("fp", F.when(F.col("k") == 1, F.col("spread")).alias("spread"))
+    shown = stores.keep(left_over.join(one_spread, "fp"), "shown")
+    one, two = shown.alias("x"), shown.alias("y")
+    near = _positional("x.np", "y.np", percent) & _may_share("x.spread", "y.spread", _size("x.np"), _size("y.np"), percent)
+    met = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.group") != F.col("y.group")) & near)
     rest = met.select(F.col("x.fp").alias("fa"), F.col("y.fp").alias("fb")).distinct()
     done = tried.select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb"))
     more = _verified(rest.join(done, ["fa", "fb"], "left_anti"), classes, texts, stores, size, percent)
@@ -270,5 +330,5 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFra
     ends = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "fp", "fp2", F.coalesce("component", "rep").alias("component_id"))
     linked = known.join(ends, ["n", "fp", "fp2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = meta.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    stores.drop(shared, left_over)
+    stores.drop(shared, left_over, shown)
     return linked.unionByName(alone)

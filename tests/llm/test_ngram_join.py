@@ -84,3 +84,28 @@ def test_last_round_alone_finds_pivots_with_copies(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(df).collect()}
     assert found == brute(rows)
+
+
+def near_copies(seed, count, changes):
+    """A base text's copies with up to so many words changed; the base itself is not among them."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(count):
+        copy = list(base)
+        for place in rng.sample(range(150), rng.randrange(1, changes)):
+            copy[place] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_a_group_of_near_copies_of_which_a_third_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_HOT", 2)
+    rows = near_copies(3, 400, 9) + [(400 + i, t) for i, (_, t) in enumerate(near_copies(3, 30, 9))]
+    expected = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(df).collect()} == expected
+    assert 100 < len({c for _, c in expected.values()}) < 350
+    monkeypatch.setattr(ngram_join, "_PIVOT_TRIES", (1,))
+    monkeypatch.setattr(ngram_join, "_MANY_PAIRS", 0)  # rounds between the groups
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(df).collect()} == expected
