@@ -31,8 +31,6 @@ from panelmill.llm.linear import labelled_sample, platt, sigmoid
 SAMPLE_ROWS = 20_000
 #: Lengths in bytes of the word beginnings that lexicons may hold; 0 is the whole word.
 BEGINNINGS = (0, 4, 5, 6, 7, 8, 9)
-#: Entries that mined lexicons and the classifier may hold at most: the strongest ones.
-ENTRIES = 1 << 14
 GROUPS = 3
 #: A small lexicon of plain insults to begin with.
 SEEDS = "idiot moron stupid dumb loser scum trash worthless pathetic disgusting clown jerk fool bastard filth vermin".split()
@@ -165,7 +163,10 @@ def _counts_of(table):
 
 
 def mine(sample: DataFrame) -> Voters:
-    """The voters; their table holds every entry that the classifier may use."""
+    """The voters; their table holds every entry that the classifier may use.
+
+    Its size follows from the rows of the sample, which are bounded.
+    """
     spark = sample.sparkSession
     toxic = sample.where("y = 1")
     positive, negative = toxic.count(), sample.where("y = 0").count()
@@ -174,7 +175,7 @@ def mine(sample: DataFrame) -> Voters:
     if positive:
         least = max(2, positive // 500)
         seen = toxic.mapInArrow(_distinct_features, "key long, y int").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        seen = seen.orderBy(F.desc("n"), "key").limit(1 << 18).toPandas()
+        seen = seen.toPandas()
         candidates, hits = seen.key.to_numpy().view(np.uint64), seen.n.to_numpy().astype(float)
     order = np.argsort(candidates)
     candidates, hits = candidates[order], hits[order]
@@ -186,7 +187,6 @@ def mine(sample: DataFrame) -> Voters:
     strength = rate * np.sqrt(hits + misses)
     chosen = (rate > 1.5) & (strength > 6)
     kept = np.flatnonzero(chosen)
-    kept = kept[np.argsort(-strength[kept], kind="stable")[:ENTRIES]]
     table = np.unique(np.concatenate([candidates[kept], seeds]))
     size = 1 + len(BEGINNINGS) * GROUPS + 4
     voter = np.full(len(table), -1)
@@ -234,8 +234,42 @@ class LabelModel(NamedTuple):
         return sigmoid(np.log(self.prior / (1 - self.prior)) + votes @ fired + (1 - votes) @ silent)
 
 
+def _start(correlation: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """Loads that a few dependent pairs cannot move.
+
+    Three independent voters give load_i ** 2 = c_ij * c_ik / c_jk. Copies of a
+    voter raise this for themselves, so a low quantile over all pairs (j, k) is
+    the start; then each load is the weighted median of c_ij / load_j, the least
+    sum of absolute gaps, to which only the majority of a voter's pairs counts.
+    """
+    size = len(correlation)
+    load = np.full(size, np.nan)
+    for i in range(size):
+        j, k = np.triu_indices(size, 1)
+        some = usable[i, j] & usable[i, k] & (correlation[j, k] > 0.01)
+        if some.any():
+            load[i] = np.sqrt(np.quantile(np.maximum(correlation[i, j] * correlation[i, k], 0)[some] / correlation[j, k][some], 0.25))
+    load = np.clip(np.where(np.isnan(load), 0.5, load), 0.02, 0.99)
+    for _ in range(50):
+        moved = load.copy()
+        for i in range(size):
+            some = np.flatnonzero(usable[i] & (load > 0))
+            if len(some):
+                ratio = correlation[i, some] / load[some]
+                order = np.argsort(ratio)
+                upto = np.cumsum(load[some][order])
+                moved[i] = np.clip(ratio[order][np.searchsorted(upto, upto[-1] / 2)], 0.0, 0.99)
+        load = 0.5 * load + 0.5 * moved
+    return load
+
+
 def label_model(both: np.ndarray, rows: int, prior: float) -> LabelModel:
-    """Accuracies and correlations of the voters from their second moments, given the share of toxic rows."""
+    """Accuracies and correlations of the voters from their second moments, given the share of toxic rows.
+
+    Pairs are marked as dependent where the robust start leaves more covariance
+    than the usual gap; loads are fitted on the other pairs, and pairs are marked
+    again. A voter that several others copy shares its weight with them.
+    """
     size = len(both) - 1
     prior = min(0.5, max(0.01, prior))
     mean = both[:size, size] / max(1, rows)
@@ -243,16 +277,16 @@ def label_model(both: np.ndarray, rows: int, prior: float) -> LabelModel:
     scale = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
     correlation = covariance / np.outer(scale, scale)
     usable = ~np.eye(size, dtype=bool) & (scale[:, None] > 1e-5) & (scale[None, :] > 1e-5)
-    load = np.full(size, 0.5)
-    dependent = np.zeros((size, size), bool)
-    for _ in range(3):
+    load = _start(correlation, usable)
+    for _ in range(4):
+        rest = np.where(usable, correlation - np.outer(load, load), 0.0)
+        usual = float(np.median(np.abs(rest[usable]))) if usable.any() else 0.0
+        dependent = np.abs(rest) > max(0.05, 6 * usual)
         open_ = usable & ~dependent
         for _ in range(200):
             below = (open_ * load**2).sum(axis=1)
-            load = 0.5 * load + 0.5 * np.clip((open_ * correlation * load).sum(axis=1) / np.maximum(below, 1e-9), 0, 0.99)
-        rest = np.where(usable, correlation - np.outer(load, load), 0.0)
-        spread = np.std(rest[usable]) if usable.any() else 0.0
-        dependent = np.abs(rest) > max(0.1, 2.5 * spread)
+            fitted = np.clip((open_ * correlation * load).sum(axis=1) / np.maximum(below, 1e-9), 0, 0.99)
+            load = np.where(below > 1e-9, 0.5 * load + 0.5 * fitted, load)
     rest = np.where(dependent, np.abs(rest) / np.sqrt(np.outer(1 - load**2, 1 - load**2)), 0.0)
     weight = 1 / (1 + np.clip(rest, 0, 1).sum(axis=1))
     gap = load * scale / np.sqrt(prior * (1 - prior))
@@ -305,7 +339,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, tra
             column = batch.column(0)
             known = _known(column, held.value.table)
             votes = held.value.votes(column, known)
-            keys = [known.keys[known.rows == i].astype("<i4").tobytes() for i in range(len(column))]
+            at = np.searchsorted(known.rows, np.arange(len(column) + 1))  # rows rise
+            keys = [known.keys[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield K.batch_of(_SAMPLE, keys, [v.tobytes() for v in votes], batch.column(1))
 
     got = sample.mapInArrow(measure, "keys binary, votes binary, y int").toArrow()
@@ -326,9 +361,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, tra
 def scored(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
     """``columns`` of every row with score, predicted and the label model's posterior.
 
-    Null and empty texts get the score of a text without lexicon words.
-    Broadcast: at most ``ENTRIES`` words plus the seeds.
+    Null and empty texts get the score of a text without lexicon words. A
+    column of the caller that has a name of the result is left out. Broadcast:
+    the model, whose size the fitting sample bounds.
     """
+    columns = [c for c in columns if c not in ("score", "predicted", "posterior")]
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*columns, F.col(text).alias("__text"))
     schema = kept.drop("__text").schema.add("score", "double").add("predicted", "integer").add("posterior", "double")

@@ -96,6 +96,24 @@ def test_label_model_recovers_accuracies_and_correlation():
     assert np.mean((model.posterior(votes.astype(float)) > 0.5) == y) > 0.93
 
 
+@pytest.mark.parametrize("flips", [0.0, 0.01, 0.05, 0.1, 0.2])
+@pytest.mark.parametrize("copies", [1, 2])
+def test_label_model_finds_copied_voters(flips, copies):
+    rng = np.random.default_rng(int(100 * flips) + copies)
+    y = rng.random(200_000) < 0.2
+    chance = [(0.6, 0.02), (0.5, 0.05), (0.4, 0.01), (0.7, 0.1), (0.3, 0.02)]
+    own = np.stack([np.where(y, rng.random(len(y)) < a, rng.random(len(y)) < b) for a, b in chance], axis=1)
+    votes = np.hstack([own, *(own[:, :1] ^ (rng.random((len(y), 1)) < flips) for _ in range(copies))])
+    wide = np.hstack([votes, np.ones((len(y), 1), bool)]).astype(float)
+    model = toxicity.label_model(wide.T @ wide, len(y), 0.2)
+    assert np.allclose(model.toxic[:5], [a for a, _ in chance], atol=0.1)
+    alike = [0, *range(5, 5 + copies)]
+    assert model.weight[alike].max() < 0.85 and model.weight[1:5].min() > 0.9
+    if flips < 0.1:
+        assert model.weight[alike].sum() < 1.5
+    assert np.mean((model.posterior(votes.astype(float)) > 0.5) == y) > 0.93
+
+
 def test_platt_keeps_order_and_centre():
     margins = np.array([-2.0, -1.5, -1.0, 1.0, 1.5, 2.0])
     slope, offset = platt(margins, np.array([0, 0, 0, 1, 1, 1]))
