@@ -6,18 +6,15 @@ import hashlib
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelmill.functions.numeric import separation_band
 from panelmill.functions.params import fitted, one_row
-from panelmill.operators import neighbours
+from panelmill.operators import kmeans, neighbours
 from panelmill.operators.groups import dominant_value, group_share
 from panelmill.operators.scaling import min_max_scale, standard_scale
-from panelmill.session import durable
 
-VECTOR = "__vector"
 UNIFORM = "uniform point "
 BANDS = (0.35, 0.5)
 
@@ -81,27 +78,12 @@ def _unit(text: str) -> float:
     return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / 4294967296.0
 
 
-def assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol=VECTOR).transform(df)
-
-
 def kmeans_fit(
     df: DataFrame, columns: Sequence[str], k: int, n_init: int = 10, seed: int = 42, max_iter: int = 300
-):
-    """The model with the lowest inertia of ``n_init`` runs.
-
-    The features are stored once; each run keeps its own decoded copy while it
-    iterates.
-    """
-    return _best_of(durable(assembled(df.select(*columns), columns).select(VECTOR)), k, n_init, seed, max_iter)
-
-
-def _best_of(vectors: DataFrame, k: int, n_init: int, seed: int, max_iter: int):
-    models = [
-        KMeans(k=k, seed=seed + run, maxIter=max_iter, featuresCol=VECTOR).fit(vectors)
-        for run in range(n_init)
-    ]
-    return min(models, key=lambda model: model.summary.trainingCost)
+) -> kmeans.Model:
+    """The model with the lowest inertia of ``n_init`` starts, all of them fitted in the same scans."""
+    found = kmeans.fit_all(kmeans.blocks(df, columns), len(columns), [k], n_init, seed, max_iter)
+    return found.get(k, kmeans.Model(np.zeros((0, len(columns))), 0.0, 0))
 
 
 def sorted_centroids(model) -> list[list[float]]:
@@ -132,17 +114,13 @@ def kmeans_sweep(
 ) -> DataFrame:
     """Inertia and mean silhouette of squared distances per K; one row per fitted model.
 
-    The vectors are stored once for all K.
+    All K and starts share one scan per iteration, and all silhouettes three more.
     """
-    features = durable(assembled(df.select(*columns), columns).select(*columns, VECTOR))
-    rows = []
-    for k in ks:
-        model = _best_of(features.select(VECTOR), k, n_init, seed, max_iter)
-        labelled = assign_nearest(features, sorted_centroids(model), columns)
-        scores = silhouette_sq(labelled, columns, "cluster")
-        mean = scores.agg(F.avg("silhouette_sq").alias("s")).first()["s"]
-        rows.append((k, float(model.summary.trainingCost), mean, k == selected))
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette_sq double, selected boolean")
+    stored = kmeans.blocks(df, columns)
+    models = kmeans.fit_all(stored, len(columns), ks, n_init, seed, max_iter)
+    means = kmeans.mean_silhouettes(stored, [m.centres for m in models.values()])
+    rows = [(k, float(m.inertia), s, k == selected) for (k, m), s in zip(models.items(), means, strict=True)]
+    return kmeans.frame(df.sparkSession, rows)
 
 
 def silhouette_sq(

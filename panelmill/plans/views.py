@@ -61,8 +61,11 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf: str, columns: Sequence[str]) -> DataFrame:
-    """The wanted columns of the observations, joined once for queries that pass over them several times."""
-    return durable(observations(spark, sf).select(*dict.fromkeys(columns)))
+    """The wanted columns of the observations, joined once for queries that pass over them several times.
+
+    The rows are dealt evenly, as the input may be one large file that only one task reads.
+    """
+    return durable(observations(spark, sf).select(*dict.fromkeys(columns)).hint("rebalance"))
 
 
 def is_train():

@@ -6,12 +6,17 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
+from typing import TypeVar
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def local_session(cores: int | str = 8, app: str = "panelmill", memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -66,28 +71,41 @@ class Scope:
                 pass  # the session has stopped; the folder's owner cleans it
 
 
-_SCOPES = [Scope()]
-atexit.register(lambda: _SCOPES[0].close())
+_PROCESS = Scope()
+_INNERMOST: ContextVar[Scope] = ContextVar("scope", default=_PROCESS)
+atexit.register(_PROCESS.close)
 
 
 @contextmanager
 def scope() -> Iterator[Scope]:
     """A scope for the tables of one action."""
     own = Scope()
-    _SCOPES.append(own)
+    token = _INNERMOST.set(own)
     try:
         yield own
     finally:
-        _SCOPES.remove(own)
+        _INNERMOST.reset(token)
         own.close()
 
 
 def owned(spark: SparkSession, path: str) -> str:
     """Give a path in the checkpoint folder to the innermost scope."""
-    _SCOPES[-1].own(spark, path)
+    _INNERMOST.get().own(spark, path)
     return path
 
 
+def side_by_side(tasks: Sequence[Callable[[], T]], workers: int = 4) -> list[T]:
+    """Results of independent driver tasks, up to ``workers`` of them at a time.
+
+    Each runs in a thread whose tables belong to the caller's scope. Spark
+    fills its cores from the jobs of all threads, so many short jobs in a row,
+    as iterative fits make them, leave fewer cores idle. The first error is raised.
+    """
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        started = [pool.submit(copy_context().run, task) for task in tasks]
+        return [s.result() for s in started]
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelmill.operators import clusters, neighbours
+from panelmill.operators import clusters, kmeans, neighbours
 
 POINTS = [(0, 0.0, 0.0, 0), (1, 1.0, 0.0, 0), (2, 0.0, 2.0, 0), (3, 5.0, 5.0, 1), (4, 6.0, 5.0, 1), (5, 9.0, 1.0, 2)]
 
@@ -94,3 +94,41 @@ def test_quality(spark):
         3: ("Fair", False, False, False),
     }
     assert clusters.overall_quality(df).first().quality == "Fair"
+
+
+def _lloyd(x, centres, turns):
+    for _ in range(turns):
+        label = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([x[label == i].mean(axis=0) if (label == i).any() else centres[i] for i in range(len(centres))])
+    return centres, ((x[:, None] - centres) ** 2).sum(axis=2).min(axis=1).sum()
+
+
+def test_all_models_of_one_scan_equal_separate_fits(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(m, 0.08, (300, 3)) for m in ((0, 0, 0), (1, 0, 1), (0, 1, 1), (1, 1, 0))])
+    df = spark.createDataFrame([tuple(map(float, p)) for p in x], "a double, b double, c double").repartition(3)
+    stored = kmeans.blocks(df, "abc")
+    models = kmeans.fit_all(stored, 3, [2, 4, 6], 3, 7, 300)
+    points = kmeans.sketch(stored, 3, 7)
+    assert sorted(map(tuple, points)) == sorted(map(tuple, x))
+    for k, model in models.items():
+        costs = [_lloyd(x, kmeans.start(points, k, 7 + 1000 * k + run), 100)[1] for run in range(3)]
+        assert model.inertia == pytest.approx(min(costs), rel=1e-3)
+    means = kmeans.mean_silhouettes(stored, [m.centres for m in models.values()])
+    for (k, model), mean in zip(models.items(), means):
+        labelled = clusters.assign_nearest(df, clusters.sorted_centroids(model), list("abc"))
+        expected = clusters.silhouette_sq(labelled, list("abc"), "cluster").agg(F.avg("silhouette_sq")).first()[0]
+        assert mean == pytest.approx(expected, abs=1e-9)
+
+
+def test_kmeans_of_few_rows(spark):
+    df = spark.createDataFrame([(0.0,), (0.0,), (1.0,)], "x double")
+    model = clusters.kmeans_fit(df, ["x"], 3, n_init=2)
+    assert model.inertia == 0 and {float(c[0]) for c in model.clusterCenters()} == {0.0, 1.0}
+    assert clusters.kmeans_fit(df.limit(0), ["x"], 3).clusterCenters() == []
+    assert clusters.kmeans_sweep(df.limit(0), ["x"]).count() == 0
+
+
+def test_a_centre_without_rows_takes_the_farthest_row():
+    found = kmeans._Sums(np.array([3, 0]), 4.0, np.array([[3.0], [0.0]]), [4.0, 9.0])
+    assert kmeans._moved(np.array([[0.0], [50.0]]), found).tolist() == [[1.0], [9.0]]
