@@ -1,16 +1,19 @@
 """Remove chunks of lines that repeat across the whole table; the first occurrence stays.
 
-Chunks are content-defined. A cyclic rolling hash over the hashes of the last two lines
-ends a chunk wherever its low bits are zero, so borders depend on nearby lines
-only and find their place again after an insertion. A line of ``LONG_LINE``
-words or more is always a chunk of its own, which makes borders around
-paragraphs exact. A chunk can be removed if it has several lines and ``FEW_WORDS``
-words or more, or is one long line.
+Chunks are content-defined. A cyclic rolling hash runs over the hashes of the last
+``WINDOW`` lines; a chunk ends where it has a local minimum, that is where it is
+less than at the line before and not more than at the line after. Borders thus
+depend on a few neighbouring lines only, find their place again after an insertion,
+and are at least two lines apart, so no short line becomes a chunk of its own
+inside a passage. A line of ``LONG_LINE`` characters or more is always a chunk of
+its own, which makes borders around paragraphs exact. A chunk can be removed if it
+has several lines and ``FEW`` characters or more, or is one long line. Characters
+are code points other than blanks, so tabs and scripts without blanks count alike.
 
 Chunks are grouped by two hashes and their length; a group counts as repeated
-only if its smallest and its largest body are the same bytes. Everything runs
-in DataFrame functions. Texts are shuffled twice: as chunks to their groups,
-where copies are combined before the shuffle, and as rows to their removals.
+only if all its bodies are the same bytes. Everything runs in DataFrame
+functions. Texts are shuffled twice: as chunks to their groups, where copies are
+combined before the shuffle, and as rows to their removals.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelmill.llm.stores import Stores
 
-LONG_LINE = 12
-FEW_WORDS = 8
-#: A chunk of short lines ends after one line in so many, a power of two.
-ENDS = 2
+WINDOW = 3
+LONG_LINE = 50
+FEW = 30
+_BLANKS = " \t\n\x0b\x0c\r"
+#: Bits by which a line's hash is rotated for each line that follows it in the window.
+_TURN = 21
 
 
 def _once(value: Column) -> Column:
@@ -35,17 +40,32 @@ def _row(key: str, text: str) -> list[Column]:
     return [F.col(key).alias("key"), F.xxhash64(text).alias("print")]
 
 
+def _rotated(value: Column, bits: int) -> Column:
+    return F.shiftleft(value, bits).bitwiseOR(F.shiftrightunsigned(value, 64 - bits)) if bits else value
+
+
+def rolled(hashes: str) -> Column:
+    """The cyclic polynomial hash of the window that ends at each line; lines before the first count as 0."""
+
+    def window(x: Column, i: Column) -> Column:
+        for back in range(1, WINDOW):
+            x = x.bitwiseXOR(_rotated(F.coalesce(F.get(hashes, i - back), F.lit(0)), _TURN * back % 64))
+        return x
+
+    return F.transform(hashes, window)
+
+
 def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, print, at, n, words, body): chunks of every text, by first line and number of lines."""
+    """(key, print, at, n, size, body): chunks of every text, by first line, number of lines and of characters."""
     rows = docs.where(F.col(text).isNotNull()).select(*_row(key, text), _once(F.split(F.col(text), "\n", -1)).alias("lines"))
-    words = F.transform("lines", lambda x: F.length(x) - F.length(F.translate(x, " ", "")) + 1)
-    lines = rows.select("key", "print", _once(F.struct("lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), words.alias("w"))).alias("x"))
+    sizes = F.transform("lines", lambda x: F.length(F.translate(x, _BLANKS, "")))
+    lines = rows.select("key", "print", _once(F.struct("lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), sizes.alias("w"))).alias("x"))
     lines = lines.select("key", "print", "x.lines", "x.h", "x.w")
+    lines = lines.select("key", "print", "lines", "w", _once(rolled("h")).alias("r"))
 
     def begins(i: Column) -> Column:
-        rolled = F.get("h", i - 1).bitwiseXOR(F.shiftleft(F.coalesce(F.get("h", i - 2), F.lit(0)), 1))
-        short = rolled.bitwiseAND(F.lit(ENDS - 1)) == 0
-        return (i == 0) | (F.get("w", i) >= LONG_LINE) | (F.get("w", i - 1) >= LONG_LINE) | short
+        least = (F.get("r", i - 1) < F.get("r", i - 2)) & (F.get("r", i - 1) <= F.get("r", i))
+        return (i == 0) | (F.get("w", i) >= LONG_LINE) | (F.get("w", i - 1) >= LONG_LINE) | F.coalesce(least, F.lit(False))
 
     starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), begins)
     cut = lines.select("key", "print", "lines", "w", _once(starts).alias("starts"))
@@ -55,15 +75,15 @@ def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     def chunk(z: Column) -> Column:
         n = z["end"] - z["at"]
         total = F.aggregate(F.slice("w", z["at"] + 1, n), F.lit(0), lambda s, x: s + x)
-        return F.struct(z["at"].alias("at"), n.alias("n"), total.alias("words"), F.array_join(F.slice("lines", z["at"] + 1, n), "\n").alias("body"))
+        return F.struct(z["at"].alias("at"), n.alias("n"), total.alias("size"), F.array_join(F.slice("lines", z["at"] + 1, n), "\n").alias("body"))
 
     return cut.select("key", "print", F.inline(F.transform("spans", chunk)))
 
 
 def _removable(found: DataFrame) -> DataFrame:
-    long_enough = (F.col("words") >= LONG_LINE) & (F.col("n") == 1) | (F.col("words") >= FEW_WORDS) & (F.col("n") > 1)
+    long_enough = (F.col("size") >= LONG_LINE) | (F.col("size") >= FEW) & (F.col("n") > 1)
     place = F.struct(F.col("key").isNull().alias("unnamed"), "key", "print", "at")
-    marks = [F.xxhash64("body").alias("h1"), F.hash("body").alias("h2"), F.length("body").alias("size")]
+    marks = [F.xxhash64("body").alias("h1"), F.hash("body").alias("h2"), F.length("body").alias("length")]
     return found.where(long_enough).select("key", "print", "at", "n", place.alias("place"), *marks, "body")
 
 
@@ -73,11 +93,10 @@ def repeated(docs: DataFrame, key: str, text: str, stores: Stores) -> DataFrame:
     Places are ordered by key (nulls last), text hash and line.
     """
     found = _removable(chunks(docs, key, text))
-    groups = found.groupBy("h1", "h2", "size").agg(
-        F.count("*").alias("times"), F.min("place").alias("first"), F.min("body").alias("low"), F.max("body").alias("high")
-    )
-    groups = stores.keep(groups.where("times > 1 and low = high").select("h1", "h2", "size", "first"), "groups")
-    again = found.drop("body").join(groups, ["h1", "h2", "size"]).where("place <> first")
+    # Equal bytes are one element of the set: a group carries its body once through the shuffle.
+    groups = found.groupBy("h1", "h2", "length").agg(F.count("*").alias("times"), F.min("place").alias("first"), F.collect_set("body").alias("bodies"))
+    groups = stores.keep(groups.where((F.col("times") > 1) & (F.size("bodies") == 1)).select("h1", "h2", "length", "first"), "groups")
+    again = found.drop("body").join(groups, ["h1", "h2", "length"]).where("place <> first")
     return stores.keep(again.select("key", "print", "at", "n"), "again")
 
 
