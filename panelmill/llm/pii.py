@@ -30,7 +30,7 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+"
 CARD = "[0-9][0-9\u0001]+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Tokens that may be identifiers: five characters or more, with a digit.
-TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,40}[0-9])[A-Za-z0-9][A-Za-z0-9_-]{4,79}(?![A-Za-z0-9_-])"
+TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{4,}+"
 _BYTE_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 
 ROUNDS = 3
@@ -38,7 +38,8 @@ ROUNDS = 3
 SUPPORT = 5
 PATTERN_CONFIDENCE = 0.8
 VALUE_CONFIDENCE = 0.9
-_CONTEXT = 48
+#: Parts into which the links of one pattern are dealt.
+_SALTS = 16
 
 
 def luhn(digits: Column) -> Column:
@@ -56,8 +57,9 @@ def _matches(kind: str, text: Column, pattern: str, when: Column) -> Column:
         F.lit(kind).alias("kind"),
         F.length(z["gap"]).alias("gap"),
         z["value"].alias("value"),
-        F.substring(z["gap"], -_CONTEXT, _CONTEXT).alias("left"),
-        F.substring(z["next"], 1, _CONTEXT).alias("right"),
+        # Two whole words before, found from the end, and one after.
+        F.reverse(F.regexp_extract(F.reverse(z["gap"]), r"^(\s*+\S*+\s*+\S*+)", 1)).alias("left"),
+        F.regexp_extract(z["next"], r"^(\s*+\S*+)", 1).alias("right"),
     )
     zipped = F.arrays_zip(gaps.alias("gap"), values.alias("value"), F.slice(gaps, 2, F.size(gaps)).alias("next"))
     found = F.filter(F.transform(zipped, one), lambda x: x["value"].isNotNull())
@@ -75,7 +77,10 @@ def _valid() -> Column:
 
 
 def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, print, kind, start, end, value, left, right) of base entities and of tokens (kind ``token``)."""
+    """(key, print, kind, start, end, value, left, right) of base entities and of tokens (kind ``token``).
+
+    Tokens that overlap a base entity are parts of a known value, not unknown ones, and are left out.
+    """
     t = F.col(text)
     marked = F.regexp_replace(F.translate(t, "\u0001", "x"), r"(?<=[0-9])[ -](?=[0-9])", "\u0001")
     digit = t.rlike("[0-9]")
@@ -96,6 +101,13 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
     # Rows that agree in key and text agree in their matches: each is kept once.
     placed = flat.dropDuplicates(["key", "print", "kind", "i"]).withColumn("end", end.cast("long"))
     placed = placed.where(_valid()).withColumn("start", F.col("end") - F.length("value"))
+    token = F.col("kind") == "token"
+    inside = Window.partitionBy("key", "print").orderBy("start", token)
+    passed = F.max(F.when(~token, F.col("end"))).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    coming = F.min(F.when(~token, F.col("start"))).over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    placed = placed.withColumns({"passed": passed, "coming": coming})
+    clear = F.coalesce(F.col("passed") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("coming") >= F.col("end"), F.lit(True))
+    placed = placed.where(~token | clear)
     return placed.select("key", "print", "kind", "start", "end", F.translate("value", "\u0001", " ").alias("value"), "left", "right")
 
 
@@ -110,6 +122,11 @@ def _patterns() -> Column:
     return F.array_compact(F.array(before, around))
 
 
+def _commonest(kind: str) -> Column:
+    """The kind with the largest sum of n, the first by name among equals; unknown kinds do not count."""
+    return F.min(F.when(F.col(kind).isNotNull(), F.struct((-F.col("n")).alias("n"), F.col(kind).alias("kind"))))["kind"]
+
+
 def bootstrap(found: DataFrame, stores: Stores) -> DataFrame:
     """(value, kind) of the tokens that the patterns around the seeds lead to.
 
@@ -118,17 +135,19 @@ def bootstrap(found: DataFrame, stores: Stores) -> DataFrame:
     edges = found.select("kind", F.lower("value").alias("value"), F.explode(_patterns()).alias("pattern")).distinct()
     edges = stores.keep(edges, "edges")
     values = stores.keep(edges.groupBy("value").agg(F.max((F.col("kind") != "token").cast("double")).alias("c"), F.min(F.when(F.col("kind") != "token", F.col("kind"))).alias("seed")), "values")
-    links = stores.keep(edges.select("value", "pattern").distinct(), "links")
+    salt = F.pmod(F.xxhash64("value"), F.lit(_SALTS)).cast("int").alias("salt")
+    links = stores.keep(edges.select("value", "pattern", salt).distinct(), "links")
     trust = values
     for _ in range(ROUNDS):
         known = links.join(trust.select("value", "c", "seed"), "value")
-        patterns = known.groupBy("pattern").agg(
-            F.avg("c").alias("p"), F.sum((F.col("c") >= 0.5).cast("long")).alias("support"), F.mode("seed", True).alias("kind")
-        )
+        # Summed by kind first, then by pattern: a hot pattern is combined in every task and has a few rows after that.
+        by_kind = known.groupBy("pattern", "seed").agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.sum((F.col("c") >= 0.5).cast("long")).alias("support"))
+        patterns = by_kind.groupBy("pattern").agg((F.sum("c") / F.sum("n")).alias("p"), F.sum("support").alias("support"), _commonest("seed").alias("kind"))
         good = patterns.where((F.col("p") >= PATTERN_CONFIDENCE) & (F.col("support") >= SUPPORT))
-        told = links.join(good, "pattern").groupBy("value").agg(
-            F.sum(F.log(1 - F.least(F.col("p"), F.lit(0.99)))).alias("doubt"), F.count("*").alias("n"), F.mode("kind", True).alias("kind")
-        )
+        good = stores.keep(good.select("*", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")), "good")
+        met = links.join(good, ["pattern", "salt"])
+        of_kind = met.groupBy("value", "kind").agg(F.sum(F.log(1 - F.least(F.col("p"), F.lit(0.99)))).alias("doubt"), F.count("*").alias("n"))
+        told = of_kind.groupBy("value").agg(F.sum("doubt").alias("doubt"), _commonest("kind").alias("kind"), F.sum("n").alias("n"))
         trust = values.select("value", F.col("c").alias("c0"), F.col("seed").alias("s0")).join(told, "value", "left")
         trust = trust.select(
             "value",
