@@ -1,16 +1,23 @@
 """Find benchmark items in documents: SimHash of item-sized windows, Hamming blocks, exact verification.
 
-Items of similar length share a window size w and a step s; windows are parts of
-items. A passage at similarity 0.75 of an item of M shingles that breaks off e times
-has at least 0.75 M + 3 e shingles in common with it: each break, be it changed, added,
-missing or moved words, costs both sides four shingles or more, as long as no words
-repeat right at it. So one of its e + 1 runs has ``_run_of`` words or more, and
-w + s - 1 is the smallest such run of all lengths that share the window. Documents are
-cut at every step s, items at every offset, so that a window of that run is found at
-distance 0; nearby ones within the radius are found as well.
-
-Fingerprints have 64 bits in four blocks of 16. Two of them within distance 3
-agree in at least one block, so looking up each block finds all of them.
+Items of similar length form a class with a window and a step s. Documents are
+fingerprinted at every step, items at every offset, so that some pair of windows
+begins at the same word of the item. Two kinds of windows lead to candidates:
+
+* Item-sized windows (``WHOLE``): as long as the shortest item of the class less the
+  step. At similarity 0.75 a passage has some 2 to 6 of 100 words of its item
+  changed, which flips 4 to 7 of the 64 bits, a share of arccos(cosine) / pi of
+  them. So fingerprints within ``WHOLE_RADIUS`` are candidates: cut into one block
+  more than that, two of them agree in at least one block, and looking up each
+  block finds all within the radius. Items under ``WHOLE_WORDS`` words have no windows
+  of this kind, as a single word is too large a part of them.
+* Windows of an unchanged run (``RUNS``). A passage at similarity 0.75 of an item
+  of M shingles that breaks off e times has at least 0.75 M + 3 e shingles in
+  common with it: each break, be it changed, added, missing or moved words, costs
+  both sides four shingles or more, as long as no words repeat right at it. So
+  one of its e + 1 runs has ``_run_of`` words or more, and the window fits the
+  smallest such run of the class. That run is found at distance 0, in four blocks for a radius of 3.
+
 Candidates are aligned with the whole item; all passages around them, of every start
 and length, are verified by the weighted Jaccard similarity of their five-word
 shingles, each weighing as often as it occurs.
@@ -29,14 +36,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelmill.llm import kernels as K
 
+RUNS, WHOLE = "runs", "whole"
 RADIUS = 3
-BLOCKS = 4
+WHOLE_RADIUS = 8
+WHOLE_WORDS = 20
 SHINGLE = 5
 SIMILARITY = 0.75
 #: Fingerprints of items in one broadcast index; more items take more passes over the documents.
 INDEX_SIZE = 1 << 18
 _CHUNK = 1 << 13
-_GROWTH = 1.4
+#: Words of a batch whose windows are in memory at once.
+_WORDS = 1 << 19
+_GROWTH = {RUNS: 1.4, WHOLE: 1.2}
 
 
 class _Class(NamedTuple):
@@ -44,10 +55,11 @@ class _Class(NamedTuple):
 
     window: int
     step: int
+    radius: int
     prints: np.ndarray
     item: np.ndarray
     offset: np.ndarray
-    heads: list[np.ndarray]  # per block, where the entries of each of 65,536 values begin
+    heads: list[np.ndarray]  # per block, where the entries of each of its values begin
     entries: list[np.ndarray]
 
 
@@ -69,34 +81,44 @@ def _run_of(length: int) -> int:
     return math.ceil(min(common) - 1e-9) + SHINGLE - 1
 
 
-def _window_of(shortest: int) -> tuple[int, int]:
+def _window_of(shortest: int, way: str) -> tuple[int, int]:
     """Window and step of the items from ``shortest`` words to the next class."""
-    run = min(_run_of(n) for n in range(shortest, int(shortest * _GROWTH) + 1))
+    if way == WHOLE:
+        step = max(1, shortest // 8)
+        return shortest + 1 - step, step
+    run = min(_run_of(n) for n in range(shortest, int(shortest * _GROWTH[RUNS]) + 1))
     step = max(1, (run + 1) // 3)
     return run + 1 - step, step
 
 
-def _prints(hashes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """SimHash of the ``window`` words from each start: bit by bit the majority of the word hashes."""
-    out = np.empty(len(starts), np.uint64)
-    # Eight counters of one byte are added as one 64-bit number; long windows need two bytes each.
-    lanes, kind = (np.uint64, np.uint8) if window < 256 else (np.uint16, np.uint16)
-    low = 0
-    while low < len(starts):
-        high = max(low + 1, int(np.searchsorted(starts, starts[low] + _CHUNK)))
-        first, last = int(starts[low]), int(starts[high - 1]) + window
-        bits = np.unpackbits(hashes[first:last].view(np.uint8).reshape(-1, 8), axis=1).astype(kind, copy=False).view(lanes)
-        at = starts[low:high] - first
-        sums = bits[at]
-        for k in range(1, window):
-            sums += bits[at + k]
-        out[low:high] = np.packbits(sums.view(kind) > window // 2, axis=1).view(np.uint64).ravel()
-        low = high
+def _prints(hashes: np.ndarray, wanted: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+    """SimHash of the windows (rising starts, words) over the same hashes: bit by bit the majority of a window's words.
+
+    Running totals of the 64 bits serve all windows, so the work hardly depends on their lengths.
+    """
+    out = [np.empty(len(starts), np.uint64) for starts, _ in wanted]
+    longest = max((w for _, w in wanted), default=0)
+    # Counters of 16 bits are added four at a time as one 64-bit number; no chunk is long enough for one to overflow.
+    kind, chunk = (np.uint16, max(_CHUNK, longest)) if longest < 1 << 15 else (np.uint32, 4 * longest)
+    for low in range(0, len(hashes), chunk):
+        spans = [np.searchsorted(starts, [low, low + chunk]) for starts, _ in wanted]
+        if not any(b > a for a, b in spans):
+            continue
+        bits = np.unpackbits(hashes[low : low + chunk + longest].view(np.uint8).reshape(-1, 8), axis=1).astype(kind).view(np.uint64)
+        totals = np.zeros((len(bits) + 1, bits.shape[1]), np.uint64)
+        np.cumsum(bits, axis=0, out=totals[1:])
+        for (starts, window), (a, b), prints in zip(wanted, spans, out, strict=True):
+            at = starts[a:b] - low
+            sums = totals[at + window]
+            sums -= totals[at]
+            prints[a:b] = np.packbits(sums.view(kind) > window // 2, axis=1).view(np.uint64).ravel()
     return out
 
 
-def _blocks(prints: np.ndarray) -> list[np.ndarray]:
-    return [((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64) for b in range(BLOCKS)]
+def _blocks(prints: np.ndarray, radius: int) -> list[tuple[np.ndarray, int]]:
+    """The values of ``radius`` + 1 blocks that cover the 64 bits, and how many values each can have."""
+    borders = [64 * b // (radius + 1) for b in range(radius + 2)]
+    return [(((prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64), 1 << (b - a)) for a, b in zip(borders[:-1], borders[1:], strict=True)]
 
 
 def _shingle_counts(hashes: np.ndarray) -> Counter:
@@ -109,48 +131,62 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
-def build(items: list[tuple[object, str]]) -> Index:
+def build(items: list[tuple[object, str]], ways: tuple[str, ...] = (RUNS, WHOLE)) -> Index:
     """The index of items (id, text) with at least one word."""
     column = pa.array([t for _, t in items], pa.large_string())
     hashes, first = K.words(column)
     kept = [(i, hashes[a:b]) for (i, _), a, b in zip(items, first[:-1], first[1:], strict=True) if b > a]
+    classes = [c for way in ways for c in _classes([w for _, w in kept], way)]
+    return Index([i for i, _ in kept], [w for _, w in kept], [_shingle_counts(w) for _, w in kept], classes)
+
+
+def _classes(words: list[np.ndarray], way: str) -> Iterator[_Class]:
+    least, radius = (WHOLE_WORDS, WHOLE_RADIUS) if way == WHOLE else (1, RADIUS)
     by_class: dict[int, list[int]] = {}
-    for place, (_, ws) in enumerate(kept):
-        shortest = 1
-        while int(shortest * _GROWTH) + 1 <= len(ws):
-            shortest = int(shortest * _GROWTH) + 1
-        by_class.setdefault(shortest, []).append(place)
-    classes = []
+    for place, ws in enumerate(words):
+        shortest = least
+        while int(shortest * _GROWTH[way]) + 1 <= len(ws):
+            shortest = int(shortest * _GROWTH[way]) + 1
+        if len(ws) >= least:
+            by_class.setdefault(shortest, []).append(place)
     for shortest, places in sorted(by_class.items()):
-        window, step = _window_of(shortest)
+        window, step = _window_of(shortest, way)
         prints, item, offset = [], [], []
         for place in places:
-            starts = np.arange(len(kept[place][1]) - window + 1)
-            prints.append(_prints(kept[place][1], starts, window))
+            starts = np.arange(len(words[place]) - window + 1)
+            prints += _prints(words[place], [(starts, window)])
             item.append(np.full(len(starts), place))
             offset.append(starts)
         prints, item, offset = np.concatenate(prints), np.concatenate(item), np.concatenate(offset)
         heads, entries = [], []
-        for values in _blocks(prints):
+        for values, kinds in _blocks(prints, radius):
             entries.append(np.argsort(values, kind="stable"))
-            heads.append(np.searchsorted(values[entries[-1]], np.arange((1 << 16) + 1)))
-        classes.append(_Class(window, step, prints, item, offset, heads, entries))
-    return Index([i for i, _ in kept], [w for _, w in kept], [_shingle_counts(w) for _, w in kept], classes)
+            heads.append(np.searchsorted(values[entries[-1]], np.arange(kinds + 1)))
+        yield _Class(window, step, radius, prints, item, offset, heads, entries)
 
 
 def _candidates(index: Index, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Different (row, item, aligned start in the row's words) whose fingerprints lie within the radius."""
+    found, low = [], 0
+    while low < len(first) - 1:
+        high = max(low + 1, int(np.searchsorted(first, first[low] + _WORDS, side="right")) - 1)
+        own = _near(index, hashes[first[low] : first[high]], first[low : high + 1] - first[low])
+        found += [part + np.array([low, 0, 0]) for part in own]
+        low = high
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+
+
+def _near(index: Index, hashes: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
     sizes = np.diff(first)
-    found = []
+    wanted, rows = [], []
     for c in index.classes:
         counts = np.maximum(0, (sizes - c.window) // c.step + 1)
         row = np.repeat(np.arange(len(sizes)), counts)
-        if not len(row):
-            continue
         nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = first[row] + nth * c.step
-        prints = _prints(hashes, starts, c.window)
-        for b, values in enumerate(_blocks(prints)):
+        wanted.append((first[row] + nth * c.step, c.window))
+        rows.append(row)
+    for c, row, (starts, _), prints in zip(index.classes, rows, wanted, _prints(hashes, wanted), strict=True):
+        for b, (values, _) in enumerate(_blocks(prints, c.radius)):
             n = c.heads[b][values + 1] - c.heads[b][values]
             hit = np.flatnonzero(n)
             for low in range(0, len(hit), 1 << 18):
@@ -158,10 +194,9 @@ def _candidates(index: Index, hashes: np.ndarray, first: np.ndarray) -> np.ndarr
                 whose = np.repeat(some, n[some])
                 step = np.arange(len(whose)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
                 entry = c.entries[b][c.heads[b][values[whose]] + step]
-                near = np.bitwise_count(prints[whose] ^ c.prints[entry]) <= RADIUS
+                near = np.bitwise_count(prints[whose] ^ c.prints[entry]) <= c.radius
                 whose, entry = whose[near], entry[near]
-                found.append(np.stack([row[whose], c.item[entry], starts[whose] - first[row[whose]] - c.offset[entry]], axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+                yield np.stack([row[whose], c.item[entry], starts[whose] - first[row[whose]] - c.offset[entry]], axis=1)
 
 
 def _best(ws: np.ndarray, length: int, goal: Counter, low: int, high: int, threshold: float) -> tuple[float, int, int]:

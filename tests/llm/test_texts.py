@@ -1,13 +1,15 @@
+import collections
 import hashlib
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from panelmill.llm import decontaminate, order_minhash, packing, pii, queries
+from panelmill.llm import decontaminate, kernels, order_minhash, packing, pii, queries
 
 
 def test_packing_is_an_exact_round_trip(spark, sf):
@@ -196,9 +198,9 @@ def test_decontamination_windows_fit_every_item_of_a_class():
                 assert leak_of(text, item), (size, edits)
     for length in range(1, 400):
         shortest = 1
-        while int(shortest * decontaminate._GROWTH) + 1 <= length:
-            shortest = int(shortest * decontaminate._GROWTH) + 1
-        window, step = decontaminate._window_of(shortest)
+        while int(shortest * decontaminate._GROWTH["runs"]) + 1 <= length:
+            shortest = int(shortest * decontaminate._GROWTH["runs"]) + 1
+        window, step = decontaminate._window_of(shortest, "runs")
         assert window + step - 1 <= decontaminate._run_of(length)
 
 
@@ -261,3 +263,49 @@ def test_personal_data_takes_odd_rows(spark, rich):
     assert pii.personal_data(rich.limit(0)).count() == 0
     plan = pii.personal_data(rich)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def edited(rng, words, vocabulary):
+    """A passage at a similarity of 0.75 or a little more: words changed, cut off, added or moved until one more would be too many."""
+    goal = collections.Counter(zip(*(words[i:] for i in range(5))))
+
+    def near(passage):
+        own = collections.Counter(zip(*(passage[i:] for i in range(5))))
+        both = sum((goal & own).values())
+        return both / (sum(goal.values()) + sum(own.values()) - both)
+
+    now = list(words)
+    for _ in range(40):
+        new, place = list(now), rng.randrange(len(now))
+        kind = rng.randrange(4)
+        if kind == 0:
+            new[place] = rng.choice(vocabulary)
+        elif kind == 1:
+            new.insert(place, rng.choice(vocabulary))
+        elif kind == 2:
+            del new[place]
+        else:
+            new = new[1:] if rng.random() < 0.5 else new[:-1]
+        if near(new) < 0.75:
+            break
+        now = new
+    return now
+
+
+@pytest.mark.parametrize("size, kinds", [(24, 3000), (50, 3000), (110, 3000), (260, 3000), (60, 5)])
+def test_recall_of_each_way_to_candidates(size, kinds):
+    rng = random.Random(size + kinds)
+    vocabulary = [f"w{i}" for i in range(kinds)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(size + rng.randrange(size // 5)))) for i in range(20)]
+    texts = []
+    for _, text in items * 4:
+        passage = edited(rng, text.split(), vocabulary)
+        head = [rng.choice(vocabulary) for _ in range(rng.randrange(60))]
+        texts.append(" ".join([*head, *passage, *(rng.choice(vocabulary) for _ in range(rng.randrange(60)))]))
+    hashes, first = kernels.words(pa.array(texts, pa.large_string()))
+    recall = {}
+    for ways in (("runs",), ("whole",), ("runs", "whole")):
+        found = {(r, i) for r, i, _ in decontaminate._candidates(decontaminate.build(items, ways), hashes, first).tolist()}
+        recall[ways] = sum((r, r % 20) in found for r in range(len(texts))) / len(texts)
+    assert recall["runs", "whole"] >= 0.98
+    assert kinds < 100 or recall["runs",] >= 0.98 and recall["whole",] >= 0.9
