@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelmill.functions.numeric import separation_band
 from panelmill.functions.params import fitted, one_row
-from panelmill.operators import kmeans, neighbours
+from panelmill.operators import cells, kmeans, neighbours
 from panelmill.operators.groups import dominant_value, group_share
 from panelmill.operators.scaling import min_max_scale, standard_scale
+from panelmill.session import durable
 
 UNIFORM = "uniform point "
 BANDS = (0.35, 0.5)
@@ -157,6 +159,77 @@ def silhouette_sq(
     return rows.withColumn(out, score).select(*[c for c in df.columns if c != out], out)
 
 
+def silhouette(
+    df: DataFrame, columns: Sequence[str], label: str, out: str = "silhouette", cell_count: int = cells.CELLS
+) -> DataFrame:
+    """Silhouette of every row with Euclidean distances, and ``<out>_error``: how far it can be from the exact one.
+
+    Rows are summed up per cell of the space and cluster. For a row x and n rows
+    with mean m and mean squared distance v to it, the sum of their distances to
+    x lies between n |x - m| and n sqrt(|x - m|^2 + v). So the work is rows times
+    cells, each row's score comes with a bound, and the bound is 0 where
+    a cell holds one point. More cells make the bounds narrower. A cluster of
+    one row scores 0; with a single cluster there is no score. Rows without
+    label or with missing values have none and count nowhere.
+    """
+    spark = df.sparkSession
+    names = [f"__x{i}" for i in range(len(columns))]
+    kept = [c for c in df.columns if c not in (out, f"{out}_error")]
+    numbers = {n: F.col(c).cast("double") for n, c in zip(names, columns, strict=True)}
+    rows = durable(df.select(*kept).withColumns({"__label": F.col(label)} | numbers))
+    usable = F.col("__label").isNotNull()
+    for n in names:
+        usable = usable & F.col(n).isNotNull() & ~F.isnan(n)
+    known = rows.filter(usable)
+    labels = sorted(r[0] for r in known.select("__label").distinct().collect())
+    tree = cells.cut(known, names, cell_count)
+    found = cells.moments(known, names, "__label", labels, tree)
+    sizes = np.bincount(found.label, found.n, len(labels))
+    weigh = np.zeros((len(found.n), len(labels)))
+    weigh[np.arange(len(found.n)), found.label] = found.n
+    place = {v: i for i, v in enumerate(labels)}
+    schema = rows.select(*kept).schema.add(out, "double").add(f"{out}_error", "double")
+    told = [*kept, out, f"{out}_error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 21) // max(1, len(found.n)))
+        for batch in batches:
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                score, error = np.full(part.num_rows, np.nan), np.full(part.num_rows, np.nan)
+                own = np.array([place.get(v, -1) for v in part.column("__label").to_pylist()], np.int64)
+                x = cells.matrix(part, names)
+                some = np.flatnonzero((own >= 0) & ~np.isnan(x).any(axis=1))
+                if len(labels) > 1 and len(some):
+                    score[some], error[some] = _bounded_scores(x[some], own[some], found, weigh, sizes)
+                columns_of = [*[part.column(c) for c in kept], pa.array(score, from_pandas=True), pa.array(error, from_pandas=True)]
+                yield pa.RecordBatch.from_arrays(columns_of, names=told)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _bounded_scores(x: np.ndarray, own: np.ndarray, found: cells.Moments, weigh: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Silhouettes halfway between the bounds of the distance sums, and the largest gap to what these allow."""
+    squared = np.zeros((len(x), len(found.n)))
+    for a in range(x.shape[1]):
+        squared += (x[:, a, None] - found.mean[None, :, a]) ** 2
+    at = np.arange(len(x))
+
+    def means(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = sums[at, own] / np.maximum(sizes[own] - 1, 1)
+        others = sums / sizes
+        others[at, own] = np.inf
+        return a, others.min(axis=1)
+
+    def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        most = np.maximum(a, b)
+        return np.where((sizes[own] > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1.0), 0.0)
+
+    (a_low, b_low), (a_high, b_high) = means(np.sqrt(squared) @ weigh), means(np.sqrt(squared + found.spread) @ weigh)
+    middle = score((a_low + a_high) / 2, (b_low + b_high) / 2)
+    return middle, np.maximum(score(a_low, b_high) - middle, middle - score(a_high, b_low))
+
+
 def _score(a: Column, b: Column, n: Column) -> Column:
     """(b - a) / max(a, b); 0 for a cluster of one row."""
     ratio = F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))

@@ -715,6 +715,16 @@ def silhouette_sq(spark, sf):
     return scored.select(*KEY, "cluster", r("silhouette_sq", 6).alias("silhouette_sq"))
 
 
+@query
+def silhouette(spark, sf):
+    """Euclidean silhouettes of the embeddings by label; ``exact`` where the bound on the error is nil."""
+    vectors = views.table(spark, sf, "embeddings").where("embedding is not null and label is not null")
+    width = vectors.select(F.max(F.size("embedding")).alias("n")).first()["n"] or 0
+    axes = [F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(width)]
+    found = clusters.silhouette(vectors.select("vec_id", "label", *axes), [f"x{i}" for i in range(width)], "label", cell_count=1 << 12)
+    return found.select("vec_id", "label", r("silhouette", 6).alias("silhouette"), (F.col("silhouette_error") < 1e-7).alias("exact"))
+
+
 @query
 def cluster_distribution(spark, sf):
     found = clusters.cluster_distribution(_clustered(spark, sf), "cluster")

@@ -498,6 +498,11 @@ SQL: dict[str, str] = {
     "cluster_profile": f"WITH {PROFILE} SELECT * REPLACE (CAST(percent AS DOUBLE) AS percent) FROM full_profile",
     "cluster_rules": f"""WITH {PROFILE} SELECT cluster, {_RULE_WORDS} AS conditions, dominant_item AS kind,
       dominant_region AS place, dominant_segment AS market, dominant_source AS origin FROM full_profile""",
+    "silhouette": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+      m AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS s, count(*) AS n FROM e a, e b GROUP BY ALL),
+      ab AS (SELECT vec_id, label, max(CASE WHEN label = other THEN n END) AS n, max(CASE WHEN label = other THEN s / greatest(n - 1, 1) END) AS a,
+        min(CASE WHEN label <> other THEN s / n END) AS b FROM m GROUP BY vec_id, label)
+      SELECT vec_id, label, CASE WHEN b IS NULL THEN NULL WHEN n = 1 THEN 0 ELSE round((b - a) / greatest(a, b), 6) END AS silhouette, true AS exact FROM ab""",
     "cluster_quality": f"""WITH {_clustered()}, {_silhouette("cl", SPACED)},
       q AS (SELECT cluster, count(*) AS count, avg(silhouette) AS m FROM sil GROUP BY cluster)
       SELECT cluster, count, round(m, 6) AS mean_silhouette, {_quality("m")} AS quality, m < 0.35 AS weak, m < 0 AS poor,

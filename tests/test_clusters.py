@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelmill.operators import clusters, kmeans, neighbours
+from panelmill.operators import cells, clusters, kmeans, neighbours
 
 POINTS = [(0, 0.0, 0.0, 0), (1, 1.0, 0.0, 0), (2, 0.0, 2.0, 0), (3, 5.0, 5.0, 1), (4, 6.0, 5.0, 1), (5, 9.0, 1.0, 2)]
 
@@ -43,8 +43,8 @@ def test_nearest_distances(points):
     assert other["0"] == 1.0 and other["5"] == pytest.approx(5.0)
     self_too = neighbours.nearest_distance(rows, points, ["x", "y"], ["id"]).agg(F.max("distance")).first()[0]
     assert self_too == 0.0
-    many = [(f"p{i}", [i * 0.01, 0.0]) for i in range(neighbours.BLOCK + 500)]
-    assert neighbours.nearest_distance(many, points, ["x", "y"], ["id"]).count() == neighbours.BLOCK + 500
+    many = [(f"p{i}", [i * 0.01, 0.0]) for i in range(neighbours.PROBES + 500)]
+    assert neighbours.nearest_distance(many, points, ["x", "y"], ["id"]).count() == neighbours.PROBES + 500
 
 
 def test_hopkins_tells_clusters_from_noise(spark):
@@ -132,3 +132,53 @@ def test_kmeans_of_few_rows(spark):
 def test_a_centre_without_rows_takes_the_farthest_row():
     found = kmeans._Sums(np.array([3, 0]), 4.0, np.array([[3.0], [0.0]]), [4.0, 9.0])
     assert kmeans._moved(np.array([[0.0], [50.0]]), found).tolist() == [[1.0], [9.0]]
+
+
+def test_nearest_by_cells_equals_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(m, 0.05, (400, 3)) for m in (0.2, 0.8)] + [np.full((50, 3), 0.5)])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id int, a double, b double, c double").repartition(3)
+    probes = [(str(i), x[i].tolist()) for i in (0, 7, 500, 820)] + [(f"u{i}", rng.random(3).tolist()) for i in range(40)]
+    counted = []
+    met = neighbours._met
+    monkeypatch.setattr(neighbours, "_met", lambda *a: counted.append(a[6].sum()) or met(*a))
+    for self_too in (True, False):
+        found = {r.probe: r.distance for r in neighbours.nearest_distance(probes, df, list("abc"), ["id"], not self_too, 64).collect()}
+        for name, point in probes:
+            gaps = ((x - np.array(point)) ** 2).sum(axis=1)
+            if not self_too and not name.startswith("u"):
+                gaps[int(name)] = np.inf
+            assert found[name] == pytest.approx(math.sqrt(gaps.min()), abs=1e-12)
+    assert sum(counted) < 0.5 * 2 * len(probes) * 64
+    assert neighbours.nearest_distance(probes[:1], df.limit(0), list("abc"), ["id"]).first().distance == math.inf
+
+
+def test_trees_cut_every_point():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 4, (300, 2)).astype(float)
+    tree = cells.plant(x, 1000)
+    assert tree.cells == len(np.unique(x, axis=0))
+    assert len({(c, *p) for c, p in zip(tree.locate(x).tolist(), map(tuple, x))}) == tree.cells
+    assert cells.plant(x, 7).cells <= 7 and set(cells.plant(x, 7).locate(x)) == set(range(cells.plant(x, 7).cells))
+    assert cells.plant(np.zeros((0, 2)), 8).locate(x).max() == 0
+
+
+@pytest.mark.parametrize("cell_count", [1, 8, 64, 5000])
+def test_euclidean_silhouettes_lie_within_their_bound(spark, cell_count):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(m, 0.1, (60, 2)) for m in (0.2, 0.5, 0.9)] + [[[3.0, 3.0]]])
+    label = [*np.repeat([0, 1, 2], 60).tolist(), 9]
+    rows = [(i, lab, float(a), float(b)) for i, (lab, (a, b)) in enumerate(zip(label, x))]
+    df = spark.createDataFrame([*rows, (500, None, 0.0, 0.0), (501, 1, None, 0.0)], "id int, c int, x double, y double").repartition(3)
+    found = {r.id: (r.silhouette, r.silhouette_error) for r in clusters.silhouette(df, ["x", "y"], "c", cell_count=cell_count).collect()}
+    assert found.pop(500) == found.pop(501) == (None, None)
+    gaps, label = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), np.array(label)
+    for i in range(len(x)):
+        means = {k: gaps[i][label == k].sum() / max(1, (label == k).sum() - (k == label[i])) for k in set(label.tolist())}
+        a, b = means.pop(label[i]), min(means.values())
+        exact = 0.0 if label[i] == 9 else (b - a) / max(a, b)
+        assert abs(found[i][0] - exact) <= found[i][1] + 1e-9
+    worst = max(e for _, e in found.values())
+    assert worst < {1: 2.1, 8: 0.8, 64: 0.3, 5000: 1e-9}[cell_count]
+    one = clusters.silhouette(df.filter("c = 1"), ["x", "y"], "c")
+    assert one.filter("silhouette is not null").count() == 0
