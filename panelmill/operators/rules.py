@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,6 +10,7 @@ from panelmill.functions import items as I
 from panelmill.functions.labels import HIGH, LOW
 from panelmill.functions.params import fitted
 from panelmill.operators.itemsets import frequent_itemsets, transactions
+from panelmill.session import durable
 
 RULE_FEATURES = [
     "assoc_high_confidence",
@@ -73,13 +73,15 @@ def train_only_rules(
     return target_rules(association_rules(sets, min_confidence), target, min_lift)
 
 
-def _antecedent_keys(items: Column, width: int, longest: int) -> Column:
-    """All subsets of a transaction up to a size, the empty one included, as sorted arrays."""
-    keys = [F.array().cast("array<string>")]
-    for size in range(1, longest + 1):
-        for choice in combinations(range(width), size):
-            keys.append(F.array_sort(F.array(*[items[i] for i in choice])))
-    return F.array(*keys)
+def _under_rarest(antecedents: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(antecedent, item): each antecedent under the one of its items that fewest transactions have.
+
+    An antecedent with an item that none has is left out; the empty one stands under an empty text.
+    """
+    items = antecedents.select("antecedent", F.explode_outer("antecedent").alias("item")).join(frequency, "item", "left")
+    place = F.struct(F.when(F.col("item").isNull(), 1).otherwise(F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("item", F.lit("")).alias("item"))
+    rarest = items.groupBy("antecedent").agg(F.min(place).alias("rarest"))
+    return rarest.where("rarest.n > 0").select("antecedent", F.col("rarest.item").alias("item"))
 
 
 def match_rules(
@@ -88,18 +90,22 @@ def match_rules(
     """Each distinct combination of the categories with every rule whose antecedent it satisfies.
 
     Matching depends on the categories alone, so it runs once per distinct
-    combination instead of once per row. A combination is expanded to its
-    subsets up to the length of the longest antecedent, which a one-row
-    aggregate of the rules tells; they meet the antecedents in an equi-join. An
-    antecedent item without ``=`` equals no subset and never matches, the empty
-    antecedent equals the empty subset.
+    combination instead of once per row. The rules are an inverted index: each
+    stands under the rarest of its items. A combination meets the rules of its own
+    items there, and those stay whose other items it has as well. The work grows
+    with the items of a combination, not with their subsets. An antecedent item
+    without ``=`` is no combination's and never matches; the empty antecedent
+    matches all.
     """
-    combos = transactions(df, columns).select("items").distinct()
-    longest = fitted(rules.agg(F.max(F.size("antecedent")).alias("n")))["n"] or 0
-    keys = _antecedent_keys(F.col("items"), len(columns), min(longest, len(columns)))
-    keyed = combos.select("items", F.explode(keys).alias("antecedent"))
+    combos = durable(transactions(df, columns).select("items").distinct())
     sides = rules.withColumn("antecedent", F.array_sort("antecedent"))
-    return keyed.join(sides, "antecedent")
+    has_empty = fitted(rules.agg(F.min(F.size("antecedent")).alias("n")))["n"] == 0
+    own = F.concat(F.array(F.lit("")), F.col("items")) if has_empty else F.col("items")
+    met = combos.select("items", F.explode(own).alias("item"))
+    frequency = met.groupBy("item").agg(F.count("*").alias("n"))
+    index = _under_rarest(sides.select("antecedent").distinct(), frequency)
+    found = met.join(index, "item").where(F.size(F.array_except("antecedent", "items")) == 0)
+    return found.select("antecedent", "items").join(sides, "antecedent")
 
 
 def rule_features(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelmill.functions.items import joined
 from panelmill.functions.labels import level, level_flag
+from panelmill.functions import params
 from panelmill.functions.numeric import finite_or_null, rounded
 from panelmill.operators import (
     clusters,
@@ -862,10 +863,14 @@ def _forest(variant: str, label: str = "level", labels: Sequence[str] = tuple(LE
 
 
 def _classified(scored: DataFrame) -> DataFrame:
-    """Rows per level, and how many of them got a known class."""
-    return scored.groupBy("level").agg(
-        F.count("*").alias("rows"), F.count_if(F.col("prediction").isin(LEVELS)).alias("classified")
-    )
+    """Rows per level; whether each prediction is the class of the largest probability, and whether more are right than the largest class has."""
+    probability = vector_to_array("probability")
+    best = F.array_position(F.slice(probability, 1, len(LEVELS)), F.array_max(F.slice(probability, 1, len(LEVELS))))
+    told = F.element_at(F.array(*[F.lit(x) for x in LEVELS]), best.cast("int"))
+    judged = durable(scored.select("level", (F.col("prediction") == told).alias("likeliest"), (F.col("prediction") == F.col("level")).cast("int").alias("right")))
+    per_level = judged.groupBy("level").agg(F.count("*").alias("rows"), F.bool_and("likeliest").alias("likeliest"), F.sum("right").alias("right"))
+    every = params.one_row(per_level.agg(F.sum("right").alias("right"), F.max("rows").alias("largest")))
+    return per_level.select("level", "rows", "likeliest", (every["right"] > every["largest"]).alias("useful"))
 
 
 @query
@@ -892,6 +897,7 @@ def forest_regressor(spark, sf):
         F.max("n").alias("n"),
         F.bool_and(F.col("rmse").isNotNull() & (F.col("rmse") >= F.col("mae")) & (F.col("r2") <= 1)).alias("plausible"),
         F.bool_and(F.col("top").isNull() | (F.col("r2") == F.col("top"))).alias("compared"),
+        F.bool_and(F.col("r2") > 0).alias("useful"),
     )
 
 
@@ -927,24 +933,26 @@ def score_top_k(spark, sf):
 
 @query
 def model_roc(spark, sf):
-    """A model of many classes and its one-vs-rest areas: support per class, and whether the areas are areas."""
-    train, test = _features(spark, sf, features.ENGINEERED, ["segment"])
-    labels = _segments(train)
-    model = _forest(features.ENGINEERED, "segment", labels).fit(train)
-    scored = durable(models.score(test, model, ["segment"], labels))
-    areas = curves.ovr_auc(curves.ovr_scores(scored, "segment", "probability", labels, labels))
-    return areas.select("class", "support", F.col("auc").between(0, 1).alias("is_area"))
+    """A model of three lot sizes and its one-vs-rest areas: support per class, and whether each class is told apart."""
+    train, test = _features(spark, sf, features.ENGINEERED, ["lot"])
+    labels = sorted(row.lot for row in train.select("lot").distinct().collect())
+    model = _forest(features.ENGINEERED, "lot", labels).fit(train)
+    scored = durable(models.score(test, model, ["lot"], labels))
+    areas = curves.ovr_auc(curves.ovr_scores(scored, "lot", "probability", labels, labels))
+    return areas.select("class", "support", F.col("auc").between(0.75, 1).alias("told_apart"))
 
 
 @query
 def feature_importance(spark, sf):
-    """Features in the model, and whether their shares sum to one."""
+    """Features in the model, whether their shares sum to one, and which one leads: the price decides the level."""
     variant = features.ADVANCED
     train, _ = _features(spark, sf, variant)
     model = _forest(variant).fit(train)
     found = durable(models.feature_importance(model, SPEC.categories_of(variant), SPEC.numbers_of(variant), spark))
-    total = found.agg(F.sum("importance").alias("s")).first()["s"]
-    return found.select("feature", F.col("importance").between(0, 1).alias("is_share"), F.lit(abs(total - 1) < 1e-6).alias("whole"))
+    total = found.agg(F.sum("importance").alias("s"), F.max("importance").alias("top")).first()
+    return found.select(
+        "feature", F.col("importance").between(0, 1).alias("is_share"), F.lit(abs(total["s"] - 1) < 1e-6).alias("whole"), (F.col("importance") == total["top"]).alias("leads")
+    )
 
 
 def _validated(dealt: DataFrame, variant: str) -> DataFrame:
@@ -1056,12 +1064,12 @@ def metric_table(spark, sf):
 
 @query
 def report_sections(spark, sf):
-    """Two sections of a report written as JSON and read back."""
+    """Two sections of a report committed together as JSON and read back through the manifest."""
     path = f"{_folder(spark)}/report"
     rows = views.observations(spark, sf)
-    reports_files.write_report({"periods": summary.period_counts(rows, "yr"), "shares": groups.group_share(rows, ["segment"])}, path)
-    periods = spark.read.schema("yr int, count long").json(f"{path}/periods")
-    shares = spark.read.schema("segment string, count long, percent double").json(f"{path}/shares")
+    reports_files.commit_report({"periods": summary.period_counts(rows, "yr"), "shares": groups.group_share(rows, ["segment"])}, path)
+    periods = reports_files.read_section(spark, path, "periods", "yr int, count long")
+    shares = reports_files.read_section(spark, path, "shares", "segment string, count long, percent double")
     return groups.stack(
         [
             periods.select(F.lit("periods").alias("section"), F.col("yr").cast("string").alias("name"), "count"),

@@ -558,15 +558,16 @@ SQL: dict[str, str] = {
     "kmeans_fit": f"""WITH {OBS} SELECT CAST(8 AS BIGINT) AS k, count(*) AS rows, true AS nearest FROM obs""",
     "kmeans_sweep": f"""WITH {OBS}, n AS (SELECT count(*) AS n FROM obs)
       SELECT CAST(k AS INTEGER) AS k, k = 8 AS selected, n > 0 AS falls, n > 0 AS in_range FROM range(2, 11) t(k), n""",
-    "forest_classifier": f"WITH {LABELLED} SELECT level, count(*) AS rows, count(*) AS classified FROM lab WHERE yr > 2000 GROUP BY level",
-    "network_classifier": f"WITH {LABELLED} SELECT level, count(*) AS rows, count(*) AS classified FROM lab WHERE yr > 2000 GROUP BY level",
-    "forest_regressor": f"""WITH {OBS} SELECT variant, count(*) AS n, true AS plausible, true AS compared
+    "forest_classifier": f"WITH {LABELLED} SELECT level, count(*) AS rows, true AS likeliest, true AS useful FROM lab WHERE yr > 2000 GROUP BY level",
+    "network_classifier": f"WITH {LABELLED} SELECT level, count(*) AS rows, true AS likeliest, true AS useful FROM lab WHERE yr > 2000 GROUP BY level",
+    "forest_regressor": f"""WITH {OBS} SELECT variant, count(*) AS n, true AS plausible, true AS compared, true AS useful
       FROM obs, (SELECT unnest(['baseline', 'engineered', 'advanced']) AS variant) WHERE yr > 2000 GROUP BY variant""",
     "score_top_k": f"""WITH {OBS}, s AS (SELECT count(DISTINCT segment) AS classes FROM obs WHERE yr <= 2000)
       SELECT count(*) AS rows, CAST(count(*) * least(5, any_value(classes)) AS BIGINT) AS ranks, true AS falls, true AS within
       FROM obs, s WHERE yr > 2000""",
-    "model_roc": f"WITH {OBS} SELECT segment AS class, count(*) AS support, true AS is_area FROM obs WHERE yr > 2000 GROUP BY segment",
-    "feature_importance": f"""SELECT unnest({FEATURES}) AS feature, true AS is_share, true AS whole""",
+    "model_roc": f"WITH {OBS} SELECT lot AS class, count(*) AS support, true AS told_apart FROM obs WHERE yr > 2000 GROUP BY lot",
+    "feature_importance": f"""WITH {OBS}, n AS (SELECT count(*) > 0 AS some FROM obs WHERE yr <= 2000)
+      SELECT feature, some AS is_share, some AS whole, feature = 'p_retailprice' AS leads FROM n, (SELECT unnest({FEATURES}) AS feature)""",
     "cross_validate": f"""WITH {LABELLED}, f AS (SELECT CAST((row_number() OVER (PARTITION BY level ORDER BY {SAMPLED}) - 1) % 5
         AS INTEGER) AS fold FROM lab)
       SELECT fold, count(*) AS held_out, CAST(5 AS BIGINT) AS metrics, true AS in_range, true AS better_than_chance, variant

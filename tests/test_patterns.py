@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import pytest
@@ -125,3 +126,19 @@ def test_rules_round_trip(spark, small, tmp_path):
     assert sorted(map(key, again.collect())) == sorted(map(key, found.collect()))
     none = read_rules(spark, str(tmp_path / "absent"))
     assert none.count() == 0 and none.columns == again.columns
+
+
+def test_rules_of_six_items_over_thirty_columns(spark):
+    rng = random.Random(3)
+    columns = [f"c{i}" for i in range(30)]
+    rows = [tuple(rng.choice("ab") if i % 3 else rng.choice("abcdefgh") for i in range(30)) for _ in range(200)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    antecedents = [[]] + [[f"x{i}"] for i in range(2)]
+    for _ in range(300):
+        row, picked = rng.choice(rows), rng.sample(range(30), rng.choice([1, 2, 4, 6]))
+        antecedents.append([f"c{i}={row[i] if rng.random() < 0.9 else 'z'}" for i in picked])
+    found = rules.match_rules(df, spark.createDataFrame([(a, i) for i, a in enumerate(antecedents)], "antecedent array<string>, number int"), columns)
+    got = sorted((r.number, tuple(sorted(r["items"]))) for r in found.collect())
+    sets = {tuple(sorted(f"{c}={v}" for c, v in zip(columns, row))) for row in rows}
+    assert got == sorted((i, s) for i, a in enumerate(antecedents) for s in sets if set(a) <= set(s))
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from panelmill.operators import curves
@@ -40,6 +41,22 @@ def test_exports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "report/first")).count() == 2
 
 
+def test_a_failed_section_leaves_the_old_report(spark, tmp_path):
+    path, kind = str(tmp_path / "report"), "name string, n int"
+    frame = lambda n: spark.createDataFrame([("a", n)], kind)
+    with pytest.raises(LookupError):
+        files.read_section(spark, path, "first", kind)
+    first = files.commit_report({"first": frame(1), "second": frame(1)}, path)
+    bad = frame(2).withColumn("n", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        files.commit_report({"first": frame(2), "second": bad}, path)
+    assert [files.read_section(spark, path, s, kind).first().n for s in ("first", "second")] == [1, 1]
+    assert files.commit_report({"first": frame(3)}, path) != first
+    assert files.read_section(spark, path, "first", kind).first().n == 3
+    with pytest.raises(LookupError):
+        files.read_section(spark, path, "second", kind)
+
+
 def test_reports_have_all_sections(spark, tmp_path):
     rows = [(i, "ab"[i % 2], "xyz"[i % 3], 2012 + i % 4, float(i % 7), float(i % 5)) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, r string, k string, yr int, v double, w double")
