@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelmill.llm.stores import Stores
 
-BLANKS = " \t\n\x0b\x0c\r"
 _BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 #: Texts on which costs and rejections are estimated.
@@ -36,10 +35,6 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
-
-
 def _count(items: str, test: Callable[[Column], Column]) -> Column:
     return F.size(F.filter(items, test))
 
@@ -60,11 +55,11 @@ def n_words() -> Column:
 
 
 def word_chars() -> Column:
-    return F.length("__text") - _without(F.col("__text"), BLANKS)
+    return F.length(F.array_join("__words", ""))
 
 
 def n_symbols() -> Column:
-    return _without(F.col("__text"), SYMBOLS)
+    return F.length(F.regexp_replace("__text", f"[^{SYMBOLS}]+", ""))
 
 
 def n_dup_lines() -> Column:
