@@ -7,9 +7,12 @@ small table with one row per range carries the totals of the earlier ranges.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from math import ceil, floor
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -19,6 +22,8 @@ from panelmill.session import durable
 RANGE = "__range"
 SAMPLED_ROWS = 1_000_000
 RANGE_ROWS = 2_000_000
+#: Bits of a value that one scan decides.
+DIGIT = 13
 
 
 def range_count(df: DataFrame, rows: int = 0) -> int:
@@ -126,131 +131,111 @@ def running_totals(
     )
 
 
+def _image(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers in the order of the doubles; both zeros are one."""
+    bits = (x + 0.0).view(np.uint64)
+    top = np.uint64(1 << 63)
+    return np.where(bits & top, ~bits, bits | top)
+
+
+def _value(image: int) -> float:
+    bits = image ^ (1 << 63) if image >> 63 else ~image & (1 << 64) - 1
+    return float(np.array(bits, np.uint64).view(np.float64))
+
+
+class _Sought(NamedTuple):
+    """One wanted rank of a column: the leading digits of its value so far, and its rank among the values that share them."""
+
+    column: int
+    rank: int
+    prefix: int
+
+
+def _digit_counts(values: DataFrame, sought: Sequence[tuple[int, int]], shift: int, width: int) -> list[np.ndarray]:
+    """For each (column, prefix) how many values have each next digit; a row per digit and task is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(sought), 1 << width), np.int64)
+        for batch in batches:
+            images = {}
+            for t, (column, prefix) in enumerate(sought):
+                if column not in images:
+                    images[column] = _image(batch.column(column).drop_null().to_numpy(zero_copy_only=False))
+                own = images[column]
+                if shift + width < 64:
+                    own = own[own >> np.uint64(shift + width) == np.uint64(prefix)]
+                digit = (own >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+                counts[t] += np.bincount(digit.astype(np.int64), minlength=1 << width)
+        t, digit = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(digit, pa.int32()), pa.array(counts[t, digit])], names=["t", "digit", "n"])
+
+    out = [np.zeros(1 << width, np.int64) for _ in sought]
+    for r in values.mapInArrow(run, "t int, digit int, n long").groupBy("t", "digit").agg(F.sum("n").alias("n")).collect():
+        out[r.t][r.digit] = r.n
+    return out
+
+
+def _candidates(values: DataFrame, sought: Sequence[tuple[int, int]], shift: int) -> list[np.ndarray]:
+    """The sorted images of the values of each (column, prefix); the caller knows that they are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, (column, prefix) in enumerate(sought):
+                own = _image(batch.column(column).drop_null().to_numpy(zero_copy_only=False))
+                own = own[own >> np.uint64(shift) == np.uint64(prefix)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t), pa.int32()), pa.array(own.view(np.int64))], names=["t", "image"])
+
+    found = values.mapInArrow(run, "t int, image long").toArrow()
+    t, image = found.column("t").to_numpy(), found.column("image").to_numpy().view(np.uint64)
+    return [np.sort(image[t == i]) for i in range(len(sought))]
+
+
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    q: float = 0.5,
-    ordered_rows: int = 4_000_000,
-    sampled_rows: int = SAMPLED_ROWS,
+    df: DataFrame, columns: Sequence[str], q: float = 0.5, ordered_rows: int = 1 << 14
 ) -> dict[str, float | None]:
     """Exact, interpolated quantile of each column, None for an empty one.
 
-    A fit step like ``approxQuantile``. While a column has more than
-    ``ordered_rows`` candidates, quantiles of a sample of its own candidates
-    bracket the wanted ranks and one pass counts the values below and in the
-    bracket. If the ranks lie beside the bracket, the search goes on there; if
-    they straddle its end, with a wider one. So the candidates shrink in every
-    round, whatever the share of missing values. The last candidates are
-    ordered by ``running_totals``, in ranges over all columns together.
+    A fit step like ``approxQuantile``, by radix selection: doubles become
+    64-bit numbers of the same order, and each scan counts the next ``DIGIT``
+    bits of all columns at once among the values that share the leading bits of
+    the wanted rank. There is no sample and no sort, at most five scans, and
+    the same work for sparse, equal or skewed values. When no more than ``ordered_rows``
+    values of a column share the leading bits, these come to the driver instead.
     """
     names = [f"c{i}" for i in range(len(columns))]
-    values = df.select(
-        [null_if_nan(F.col(f"`{c}`").cast("double")).alias(n) for c, n in zip(columns, names)]
-    )
-    counts = values.agg(*[F.count(n).alias(n) for n in names]).first()
-    zones = {n: _Zone(n, q, counts[n]) for n in names if counts[n]}
-    while wide := [z for z in zones.values() if z.inside > ordered_rows and not z.settled]:
-        _narrow(values, wide, sampled_rows)
-
-    if not zones:
+    values = durable(df.select([null_if_nan(F.col(f"`{c}`").cast("double")).alias(n) for c, n in zip(columns, names, strict=True)]))
+    sought: list[_Sought] = []
+    parts: dict[int, float] = {}
+    shift = 64
+    while shift:
+        width = min(DIGIT, shift)
+        shift -= width
+        asked = [(i, 0) for i in range(len(columns))] if not parts else sorted({(s.column, s.prefix) for s in sought})
+        counts = dict(zip(asked, _digit_counts(values, asked, shift, width), strict=True))
+        if not parts:
+            for (i, _), n in counts.items():
+                position = (int(n.sum()) - 1) * q
+                parts[i] = position - floor(position)
+                sought += [_Sought(i, floor(position), 0), _Sought(i, ceil(position), 0)] if n.sum() else []
+        inside, grown = 0, []
+        for s in sought:
+            upto = np.cumsum(counts[s.column, s.prefix])
+            digit = int(np.searchsorted(upto, s.rank, side="right"))
+            before = int(upto[digit - 1]) if digit else 0
+            grown.append(_Sought(s.column, s.rank - before, s.prefix << width | digit))
+            inside = max(inside, int(upto[digit]) - before)
+        sought = grown
+        if inside <= ordered_rows:
+            break
+    if not sought:
         return dict.fromkeys(columns)
-    kept = [
-        F.when(z.holds(), F.struct(F.lit(n).alias("name"), F.col(n).alias("value")))
-        for n, z in zones.items()
-    ]
-    inside = values.select(F.inline(F.array_compact(F.array(*kept))))
-    distinct = durable(inside.groupBy("name", "value").agg(F.count("*").alias("n")))
-    ranked = running_totals(distinct, "value", {"seen": "n"}, ["name"])
-
-    def value_at(name: str, rank: int):
-        hit = (F.col("name") == name) & (F.col("seen") > rank)
-        return F.min(F.when(hit, F.col("value")))
-
-    ends = ranked.agg(
-        *[value_at(n, z.first - z.below).alias(f"{n}_lo") for n, z in zones.items()],
-        *[value_at(n, z.second - z.below).alias(f"{n}_hi") for n, z in zones.items()],
-    ).first()
+    if shift:
+        asked = sorted({(s.column, s.prefix) for s in sought})
+        held = dict(zip(asked, _candidates(values, asked, shift), strict=True))
+        ends = [_value(int(held[s.column, s.prefix][s.rank])) for s in sought]
+    else:
+        ends = [_value(s.prefix) for s in sought]
     found = dict.fromkeys(columns)
-    for c, n in zip(columns, names):
-        if n in zones:
-            low, high = ends[f"{n}_lo"], ends[f"{n}_hi"]
-            found[c] = low + (high - low) * zones[n].part
+    for s, low, high in zip(sought[::2], ends[::2], ends[1::2], strict=True):
+        found[columns[s.column]] = low if low == high else low + (high - low) * parts[s.column]
     return found
-
-
-class _Zone:
-    """Interval of a column that holds the wanted ranks, with the exact count below and in it.
-
-    ``above`` and ``under`` exclude the ends: values are over ``above`` and under
-    ``under``, and between ``low`` and ``high``.
-    """
-
-    def __init__(self, name: str, q: float, rows: int):
-        position = (rows - 1) * q
-        self.name, self.first, self.second = name, floor(position), ceil(position)
-        self.part = position - self.first
-        self.low = self.high = self.above = self.under = None
-        self.below, self.inside = 0, rows
-        self.settled = False
-        self.width = 3.0
-
-    def holds(self):
-        value = F.col(self.name)
-        held = value.isNotNull()
-        for bound, test in (
-            (self.low, value.__ge__),
-            (self.high, value.__le__),
-            (self.above, value.__gt__),
-            (self.under, value.__lt__),
-        ):
-            if bound is not None:
-                held = held & test(F.lit(bound))
-        return held
-
-    def accept(self, low: float, high: float, below: int, inside: int) -> None:
-        """Go on in the bracket, or on the side of it that holds the ranks.
-
-        ``below`` counts the candidates under the bracket, ``inside`` those in it.
-        """
-        first, second, before = self.first - self.below, self.second - self.below, self.inside
-        if below <= first and second < below + inside:
-            self.low, self.high, self.above, self.under = low, high, None, None
-            self.below, self.inside = self.below + below, inside
-            self.settled = low == high
-        elif second < below:
-            self.high, self.under, self.inside = None, low, below
-        elif first >= below + inside:
-            self.low, self.above = None, high
-            self.below, self.inside = self.below + below + inside, before - below - inside
-        if self.inside == before:
-            self.width *= 2
-            # A bracket over all candidates that does not shrink holds equal values.
-            self.settled = self.settled or (low == high) or self.width > 1e6
-
-
-def _narrow(values: DataFrame, zones: Sequence[_Zone], sampled_rows: int) -> None:
-    """One sample per column, of its own candidates, and one pass that counts against its brackets."""
-    drawn = [
-        F.when(z.holds() & (F.rand(17 + i) < min(1.0, sampled_rows / z.inside)), F.col(z.name)).alias(z.name)
-        for i, z in enumerate(zones)
-    ]
-    sample = durable(values.select(*drawn).dropna("all").repartition(range_count(values)))
-    sizes = sample.agg(*[F.count(z.name).alias(z.name) for z in zones]).first()
-    brackets = {}
-    for z in zones:
-        margin = z.width / max(1, sizes[z.name]) ** 0.5
-        middle = (z.first - z.below + 0.5) / z.inside
-        brackets[z.name] = [max(middle - margin, 0.0), min(middle + margin, 1.0)]
-    ends = sample.agg(*[F.percentile_approx(n, ends, 10_000).alias(n) for n, ends in brackets.items()]).first()
-    tested = [z for z in zones if ends[z.name]]
-    for z in zones:
-        if z not in tested:  # nothing was drawn from few candidates: order them all
-            z.settled = True
-    if not tested:
-        return
-    counts = values.agg(
-        *[F.count_if(z.holds() & (F.col(z.name) < ends[z.name][0])).alias(f"{z.name}_below") for z in tested],
-        *[F.count_if(z.holds() & F.col(z.name).between(*ends[z.name])).alias(f"{z.name}_in") for z in tested],
-    ).first()
-    for z in tested:
-        z.accept(*ends[z.name], counts[f"{z.name}_below"], counts[f"{z.name}_in"])

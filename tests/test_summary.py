@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,34 +86,43 @@ def test_running_totals_across_ranges(spark):
 def test_exact_median_of_many_values(spark):
     df = spark.range(20001).select(((F.col("id") * 7919) % 20011).cast("double").alias("v"))
     values = sorted(r.v for r in df.collect())
-    for limits in ({}, {"ordered_rows": 500, "sampled_rows": 2000}, {"ordered_rows": 5, "sampled_rows": 50}):
+    for limits in ({}, {"ordered_rows": 500}, {"ordered_rows": 5}, {"ordered_rows": 0}):
         assert ranks.exact_quantiles(df, ["v"], **limits)["v"] == values[10000]
         assert ranks.exact_quantiles(df, ["v"], 0.9, **limits)["v"] == values[18000]
 
 
 def test_exact_median_of_few_distinct_values(spark):
     df = spark.range(5000).select((F.col("id") % 3).cast("double").alias("v"), F.lit(None).cast("double").alias("e"))
-    assert ranks.exact_quantiles(df, ["v", "e"], ordered_rows=10, sampled_rows=100) == {"v": 1.0, "e": None}
+    assert ranks.exact_quantiles(df, ["v", "e"], ordered_rows=10) == {"v": 1.0, "e": None}
 
 
 def test_exact_median_of_a_sparse_column_beside_a_dense_one(spark):
     dense, sparse = F.col("id").cast("double"), F.when(F.col("id") % 100 == 0, (F.col("id") * 7 % 4001).cast("double"))
     df = spark.range(40000).select(dense.alias("d"), sparse.alias("s"))
-    shrunk = []
-    narrow = ranks._narrow
-
-    def watched(values, zones, rows):
-        narrow(values, zones, rows)
-        shrunk.extend((z.name, z.inside) for z in zones)
-
-    ranks._narrow = watched
-    try:
-        found = ranks.exact_quantiles(df, ["d", "s"], ordered_rows=50, sampled_rows=2000)
-    finally:
-        ranks._narrow = narrow
+    found = ranks.exact_quantiles(df, ["d", "s"], ordered_rows=50)
     values = sorted(i * 7 % 4001 for i in range(0, 40000, 100))
     assert found == {"d": 19999.5, "s": (values[199] + values[200]) / 2}
-    assert min(n for name, n in shrunk if name == "c1") <= 100
+
+
+def test_exact_quantiles_of_odd_numbers(spark):
+    rng = np.random.default_rng(1)
+    columns = {
+        "signed": rng.normal(0, 1e-300, 3001),
+        "wide": np.exp(rng.normal(0, 200, 3001)) * rng.choice([-1, 1], 3001),
+        "zeros": rng.choice([-0.0, 0.0], 3001),
+        "ends": rng.choice([-np.inf, np.inf, 5e-324, 1.0], 3001),
+        "equal": np.full(3001, 0.1),
+        "sparse": np.where(rng.random(3001) < 0.01, rng.random(3001), np.nan),
+    }
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values())], ", ".join(f"{c} double" for c in columns)).repartition(3)
+    for q in (0.0, 0.25, 0.5, 1.0):
+        for limit in (0, 100):
+            found = ranks.exact_quantiles(df, list(columns), q, ordered_rows=limit)
+            for c, x in columns.items():
+                x = np.sort(x[~np.isnan(x)])
+                place = (len(x) - 1) * q
+                low, high = x[math.floor(place)], x[math.ceil(place)]
+                assert found[c] == (low if low == high else low + (high - low) * (place - math.floor(place))), (c, q, limit)
 
 
 def test_numeric_ties_go_to_the_smaller_number(spark):
