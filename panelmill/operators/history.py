@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from panelmill.functions.labels import HIGH, LOW, trend_class
 from panelmill.functions.numeric import percent_change
 from panelmill.operators.groups import with_keys
-from panelmill.operators.ranks import RANGE, with_range
+from panelmill.operators.ranks import RANGE, ordinal, with_range
 
 FLAGS = ["prev_high", "prev_low", "prev2_persistent", "prev3_persistent"]
 
@@ -62,11 +62,11 @@ def lag_levels(
     tie column; lags are taken inside a block, and its first rows get theirs
     from the last ``n`` labels of the earlier blocks. Rows without a key or a
     period have no previous row. The tie columns must make the order total;
-    blocks are as small as the first one is selective when it is numeric.
+    blocks are as small as the first one is selective, be it numbers, text, dates
+    or times.
     """
     whole = with_keys(df, [*keys, period])
-    numeric = isinstance(df.schema[tie[0]].dataType, (T.NumericType, T.TimestampType))
-    ranged = with_range(whole, tie[0]) if numeric else whole.withColumn(RANGE, F.lit(0))
+    ranged = with_range(whole.withColumn("__place", ordinal(whole, tie[0])), "__place").drop("__place")
     block = [*keys, period, RANGE]
     inside = Window.partitionBy(*block).orderBy(*tie)
     local = ranged.withColumns(

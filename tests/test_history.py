@@ -1,9 +1,10 @@
+import datetime
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelmill.operators import history, sequences
+from panelmill.operators import history, ranks, sequences
 
 COLUMNS = "k string, yr int, level string, id long"
 
@@ -95,3 +96,20 @@ def test_sequences_follow_available_periods(spark):
     three = sequences.sequence_patterns(df, ["k"], "yr", "v", 0.5, 3).first()
     assert (three.step1, three.step2, three.step3, three.total) == ("High", "Low", "Low", 1)
     assert sequences.sequence_count(df, ["k"], "yr").first()[0] == 1
+
+
+def test_lags_of_one_key_by_text_dates_and_times(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        at = datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=7 * i)
+        rows.append(("k", 1, f"https://host/{i:05d}" if i else None, at, datetime.date(2020, 1, 1) + datetime.timedelta(days=i), "ab"[rng.random() < 0.4]))
+    df = spark.createDataFrame(rows, "g string, y int, text string, at timestamp, day date, label string").repartition(5)
+    expected = [tuple(rows[i - k][5] if i >= k else None for k in (1, 2, 3)) for i in range(600)]
+    for tie in ("text", "at", "day"):
+        found = history.lag_levels(df, ["g"], "y", "label", [tie])
+        got = sorted(found.collect(), key=lambda r: (r[tie] is not None, r[tie] or 0))
+        assert [(r.lag1, r.lag2, r.lag3) for r in got] == expected, tie
+        place = ranks.with_range(df.withColumn("p", ranks.ordinal(df, tie)), "p")
+        sizes = [r["count"] for r in place.groupBy(ranks.RANGE).count().collect()]
+        assert len(sizes) > 2 and max(sizes) < 400, tie
