@@ -65,6 +65,46 @@ def test_fingerprints_follow_the_edited_text(spark, sf):
     assert np.mean([r.near_edited for r in found.values()]) > 0.4 > 0.2 > np.mean([r.near_next for r in found.values()])
 
 
+WHOLE = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & WHOLE
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & WHOLE
+    return x ^ x >> 31
+
+
+def plain_seeds(n, stream):
+    return [plain_mix(((stream << 32) + i * 0x9E3779B97F4A7C15) & WHOLE) | 1 for i in range(1, n + 1)]
+
+
+def plain_signatures(text):
+    """By loops over k-mers: number them by occurrence, deal them into bins, take the two smallest of each in text order."""
+    if not text:
+        return [0] * order_minhash.SIGNATURES
+    k = min(order_minhash.KMER, len(text))
+    factors, seen, numbered = plain_seeds(k, 5), collections.Counter(), []
+    for place in range(len(text) - k + 1):
+        gram = plain_mix(sum(ord(c) * f for c, f in zip(text[place : place + k], factors)) & WHOLE) >> 21
+        numbered.append((plain_mix((gram + seen[gram] * 0xD6E8FEB86659FD93) & WHOLE) >> 21, place))
+        seen[gram] += 1
+    numbered.sort()
+    out = []
+    for s in range(order_minhash.SIGNATURES):
+        first = sum(v < s << 37 for v, _ in numbered)
+        picked = sorted((numbered[(first + i) % len(numbered)] for i in range(order_minhash.TUPLE)), key=lambda x: x[1])
+        out.append(plain_mix(sum(v * f for (v, _), f in zip(picked, plain_seeds(order_minhash.TUPLE, 6))) & WHOLE) >> 48)
+    return out
+
+
+def test_signatures_equal_those_of_plain_loops():
+    rng = random.Random(12)
+    texts = ["", "a", "abcde", "abcdef", "aaaaaaaaaaaaaaaaaaaa", "é😀" * 9]
+    texts += ["".join(rng.choice("abc d") for _ in range(rng.randrange(400))) for _ in range(60)]
+    for text in texts:
+        assert order_minhash.signatures(text).tolist() == plain_signatures(text), text
+
+
 def test_order_counts_in_fingerprints():
     rng = random.Random(3)
     words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
