@@ -882,14 +882,16 @@ def forest_classifier(spark, sf):
 @query
 def forest_regressor(spark, sf):
     """Yield by three feature sets: rows, whether the metrics are finite, and which set has the best R2."""
-    parts = []
-    for variant in (features.BASELINE, features.ENGINEERED, features.ADVANCED):
+
+    def measured_on(variant: str) -> DataFrame:
         train, test = _features(spark, sf, variant, ["yield_value"])
         model = models.forest_regressor(SPEC.categories_of(variant), SPEC.numbers_of(variant), "yield_value")
         scored = durable(model.fit(train).transform(test).select("yield_value", "prediction"))
         measured = metrics.regression_metrics(scored, "yield_value", "prediction")
-        parts.append(measured.withColumn("variant", F.lit(variant)))
-    measured = durable(groups.stack(parts))
+        return measured.withColumn("variant", F.lit(variant))
+
+    variants = (features.BASELINE, features.ENGINEERED, features.ADVANCED)
+    measured = durable(groups.stack(side_by_side([functools.partial(measured_on, v) for v in variants], 3)))
     rows = metrics.metric_rows(measured, ["r2", "rmse", "mae"], ["variant"])
     best = metrics.best_per_metric(rows).filter("metric = 'r2'").select(F.col("best").alias("top"))
     joined = measured.join(best, measured["r2"] == best["top"], "left")
