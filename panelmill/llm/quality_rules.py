@@ -92,11 +92,13 @@ def prepared(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _sample(docs: DataFrame, text: str, rows: int, stores: Stores) -> DataFrame:
-    """About ``rows`` prepared texts, chosen by a hash of the text and its place; all if there are fewer."""
+    """About ``rows`` prepared texts, chosen by a hash of the text and its place; all if there are fewer.
+
+    The hash deals copies of a text like any others, so the sample stays close to that size.
+    """
     total = max(1, docs.count())
     share = F.pmod(F.xxhash64(text, F.monotonically_increasing_id()), F.lit(_SLOTS)) < int(_SLOTS * min(1.0, rows / total))
-    # The limit is far above what a fair hash lets pass: it bounds the stored sample.
-    chosen = docs.select(F.col(text).alias("__raw")).where(share).limit(2 * rows).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    chosen = docs.select(F.col(text).alias("__raw")).where(share).repartition(docs.sparkSession.sparkContext.defaultParallelism)
     return stores.keep(prepared(chosen, "__raw").drop("__raw"), "sample")
 
 
