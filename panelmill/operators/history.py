@@ -30,9 +30,14 @@ def history_overview(df: DataFrame, region: str, kind: str, period: str, value:
 
 
 def nested_series(series: DataFrame, keys: Sequence[str], period: str, value: str) -> DataFrame:
-    """One row per key with its (period, value) points in order; one point per period."""
+    """One row per key with its (period, value) points in order.
+
+    Several rows of a period are one point, their mean, so an array is no longer
+    than the number of periods.
+    """
+    once = series.groupBy(*keys, period).agg(F.avg(value).alias(value))
     points = F.array_sort(F.collect_list(F.struct(period, value)))
-    return series.groupBy(*keys).agg(points.alias("points"))
+    return once.groupBy(*keys).agg(points.alias("points"))
 
 
 def macro_by_period(df: DataFrame, period: str, columns: Sequence[str]) -> DataFrame:

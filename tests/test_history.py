@@ -113,3 +113,9 @@ def test_lags_of_one_key_by_text_dates_and_times(spark):
         place = ranks.with_range(df.withColumn("p", ranks.ordinal(df, tie)), "p")
         sizes = [r["count"] for r in place.groupBy(ranks.RANGE).count().collect()]
         assert len(sizes) > 2 and max(sizes) < 400, tie
+
+
+def test_a_period_is_one_point_of_a_nested_series(spark):
+    df = spark.createDataFrame([("a", 2, 1.0), ("a", 1, 5.0), ("a", 2, 3.0), ("b", 1, None)], "k string, y int, v double")
+    found = {r.k: [tuple(p) for p in r.points] for r in history.nested_series(df, ["k"], "y", "v").collect()}
+    assert found == {"a": [(1, 5.0), (2, 2.0)], "b": [(1, None)]}
