@@ -48,6 +48,8 @@ SPACE = ["area", "production", "o_totalprice", "p_retailprice", "l_discount", "l
 LEVELS = ["High", "Low"]
 #: Labelled rows that a model of these queries is fitted on, chosen by a hash of their key.
 FIT_ROWS = 6_000
+#: Rows that each leaf of the regression trees holds at least; it follows the fitting rows, which bounds the nodes.
+LEAF_ROWS = FIT_ROWS // 1000
 SPEC = features.FeatureSpec(
     keys=KEY,
     label="level",
@@ -885,7 +887,7 @@ def forest_regressor(spark, sf):
 
     def measured_on(variant: str) -> DataFrame:
         train, test = _features(spark, sf, variant, ["yield_value"])
-        model = models.forest_regressor(SPEC.categories_of(variant), SPEC.numbers_of(variant), "yield_value")
+        model = models.forest_regressor(SPEC.categories_of(variant), SPEC.numbers_of(variant), "yield_value", min_rows_per_leaf=LEAF_ROWS)
         scored = durable(model.fit(train).transform(test).select("yield_value", "prediction"))
         measured = metrics.regression_metrics(scored, "yield_value", "prediction")
         return measured.withColumn("variant", F.lit(variant))
