@@ -948,7 +948,7 @@ def model_roc(spark, sf):
 
 @query
 def feature_importance(spark, sf):
-    """Features in the model, whether their shares sum to one, and which one leads: the price decides the level."""
+    """Features in the model, whether their shares sum to one, and which one leads: the area, by which the yield is divided."""
     variant = features.ADVANCED
     train, _ = _features(spark, sf, variant)
     model = _forest(variant).fit(train)

@@ -567,7 +567,7 @@ SQL: dict[str, str] = {
       FROM obs, s WHERE yr > 2000""",
     "model_roc": f"WITH {OBS} SELECT lot AS class, count(*) AS support, true AS told_apart FROM obs WHERE yr > 2000 GROUP BY lot",
     "feature_importance": f"""WITH {OBS}, n AS (SELECT count(*) > 0 AS ok FROM obs WHERE yr <= 2000)
-      SELECT feature, ok AS is_share, ok AS whole, feature = 'p_retailprice' AS leads FROM n, (SELECT unnest({FEATURES}) AS feature)""",
+      SELECT feature, ok AS is_share, ok AS whole, feature = 'log_area' AS leads FROM n, (SELECT unnest({FEATURES}) AS feature)""",
     "cross_validate": f"""WITH {LABELLED}, f AS (SELECT CAST((row_number() OVER (PARTITION BY level ORDER BY {SAMPLED}) - 1) % 5
         AS INTEGER) AS fold FROM lab)
       SELECT fold, count(*) AS held_out, CAST(5 AS BIGINT) AS metrics, true AS in_range, true AS better_than_chance, variant
