@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelmill.llm import kernels as K
 from panelmill.llm.stores import Stores
 
-#: Training rows from which temperature and rejection thresholds are fitted.
-CALIBRATION_ROWS = 2000
+#: Temperatures of the scores; that of the lowest log loss over the training rows is taken.
+TEMPERATURES = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 _SLICE = 1 << 21
 _BORDER, _SPACE = 1, 32
 _SHIFT = np.uint64(16)
@@ -246,34 +246,42 @@ def fit(docs: DataFrame, text: str, lang: str, train: Column) -> Models:
     orders = kneser_ney(langs, model[order], keys[order], n[order])
     del table, coded, model, keys, n, order
     models = Models(langs, orders, 1.0, np.full(len(langs), np.inf))
-    total = rows.count()
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, CALIBRATION_ROWS / total))).limit(2 * CALIBRATION_ROWS)
-    held = spark.sparkContext.broadcast(models)
-    schema = pa.schema([("lang", pa.string()), ("e", pa.list_(pa.float64()))])
+    return _calibrated(rows, models)
 
-    def measure(batches):
+
+def _calibrated(rows: DataFrame, models: Models) -> Models:
+    """``models`` with temperature and rejection limits from all ``rows`` (lang, text) that have letters.
+
+    One row per language comes to the driver.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(models)
+    losses = [f"loss{i}" for i in range(len(TEMPERATURES))]
+    schema = pa.schema([("lang", pa.int32()), ("own", pa.float64()), *((name, pa.float64()) for name in losses)])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {name: i for i, name in enumerate(held.value.langs)}
         for batch in batches:
-            yield K.batch_of(schema, batch.column(0), list(_entropies(held.value, batch.column(1).to_pylist())))
-
-    seen = sample.mapInArrow(measure, "lang string, e array<double>").collect()
-    seen = [r for r in seen if r.lang in number]
-    truth = np.array([number[r.lang] for r in seen], int)
-    entropies = np.array([r.e for r in seen], float).reshape(len(seen), len(langs))
-    usable = ~np.isnan(entropies).any(axis=1) if len(seen) else np.zeros(0, bool)
-    truth, entropies = truth[usable], entropies[usable]
-    temperature, limits = 8.0, np.full(len(langs), np.inf)
-    if len(truth):
-        best = np.inf
-        for t in (0.5, 1, 2, 4, 8, 16, 32, 64):
-            logits = -t * (entropies - entropies.min(axis=1, keepdims=True))
-            loss = float(np.mean(np.log(np.exp(logits).sum(axis=1)) - logits[np.arange(len(truth)), truth]))
-            if loss < best:
-                best, temperature = loss, float(t)
-        for i in range(len(langs)):
-            own = entropies[truth == i, i]
-            if len(own) > 1:
-                limits[i] = own.mean() + 6 * own.std()
-    return models._replace(temperature=temperature, limits=limits)
+            truth = np.array([number.get(name, -1) for name in batch.column(0).to_pylist()], int)
+            entropies = _entropies(held.value, batch.column(1).to_pylist())
+            usable = (truth >= 0) & ~np.isnan(entropies[:, 0])
+            truth, entropies = truth[usable], entropies[usable]
+            own = entropies[np.arange(len(truth)), truth]
+            low = entropies.min(axis=1)
+            loss = [np.log(np.exp(-t * (entropies - low[:, None])).sum(axis=1)) + t * (own - low) for t in TEMPERATURES]
+            yield K.batch_of(schema, truth, own, *loss)
+
+    measured = rows.mapInArrow(measure, "lang int, own double, " + ", ".join(f"{name} double" for name in losses))
+    sums = [F.sum(name).alias(name) for name in losses]
+    found = measured.groupBy("lang").agg(F.count("*").alias("n"), F.avg("own").alias("mean"), F.stddev_pop("own").alias("std"), *sums).collect()
+    held.destroy()
+    if not found:
+        return models._replace(temperature=8.0)
+    total = [sum(r[name] for r in found) for name in losses]
+    limits = np.full(len(models.langs), np.inf)
+    for r in found:
+        if r.n > 1:
+            limits[r.lang] = r.mean + 6 * r.std
+    return models._replace(temperature=TEMPERATURES[int(np.argmin(total))], limits=limits)
 
 
 def identify(docs: DataFrame, models: Models, columns: list[str], text: str = "text") -> DataFrame:

@@ -70,6 +70,26 @@ def test_models_keep_every_gram_of_a_rare_language(spark, monkeypatch):
     assert found.first().lang_pred == "hr"
 
 
+def test_language_limits_come_from_all_training_rows(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "CALIBRATION_ROWS", 1, raising=False)  # the former sample
+    words = {"en": "the house stands near old river road and green hill", "de": "das haus steht nahe am alten fluss und der strasse"}
+    rows = [(" ".join(np.random.default_rng(i).permutation(text.split())[: 3 + i % 5]), lang) for lang, text in words.items() for i in range(30)]
+    rows += [("12 34", "en"), (None, "de"), ("", "fr")]
+    models = language_id.fit(spark.createDataFrame(rows, "text string, lang string").repartition(5), "text", "lang", F.lit(True))
+    assert models.langs == ["de", "en"]
+    seen = [(lang, text) for text, lang in rows[:60]]
+    entropies = language_id._entropies(models, [text for _, text in seen])
+    truth = np.array([models.langs.index(lang) for lang, _ in seen])
+    for i in range(2):
+        own = entropies[truth == i, i]
+        assert models.limits[i] == pytest.approx(own.mean() + 6 * own.std(), rel=1e-9)
+    loss = {}
+    for t in (0.5, 1, 2, 4, 8, 16, 32, 64):
+        logits = -t * (entropies - entropies.min(axis=1, keepdims=True))
+        loss[t] = np.mean(np.log(np.exp(logits).sum(axis=1)) - logits[np.arange(60), truth])
+    assert models.temperature == min(loss, key=loss.get)
+
+
 def test_kneser_ney_is_a_distribution():
     texts = ["abcab abd", "bcd bca", "abc"]
     keys, n = np.unique(language_id._grams(texts)[0], return_counts=True)
