@@ -239,6 +239,11 @@ def _places(classes: DataFrame, groups: DataFrame, stores: Stores) -> DataFrame:
     return stores.keep(at.select("fp", F.struct(F.lit(False).alias("alone"), "at").alias("group")), "places")
 
 
+def _joined(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges (a, b) that link what ``groups`` (node, component) and the edges ``found`` link: each group as a star."""
+    return groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+
+
 def _apart(pairs: DataFrame, place: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs of classes that are not in one group yet."""
     left = place.select(F.col("fp").alias(a), F.col("group").alias("ga"))
@@ -287,11 +292,11 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFra
     tries = stores.keep(tries.groupBy("fp", "pf").agg(F.count("*").alias("common")), "tries")
 
     tried = classes.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"))
-    edges, place = None, None
+    groups, place = None, None
 
     def compared(ahead: DataFrame, most: int) -> None:
         """Verify up to ``most`` of the (fp, pf, common) of each class that are apart and new; find the groups again."""
-        nonlocal edges, place, tried
+        nonlocal groups, place, tried
         if place is not None:
             known_pairs = tried.select(F.col("fa").alias("fp"), F.col("fb").alias("pf"))
             ahead = _apart(ahead, place, "fp", "pf").join(known_pairs, ["fp", "pf"], "left_anti")
@@ -301,8 +306,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFra
         # Classes that share one fingerprint are compared in the first round.
         found = _verified(best.unionByName(tried) if place is None else best, classes, texts, stores, size, percent)
         tried = best if place is None else tried.unionByName(best)
-        edges = found if edges is None else edges.unionByName(found)
-        place = _places(classes, components(edges, stores), stores)
+        groups = components(found if groups is None else _joined(groups, found), stores)
+        place = _places(classes, groups, stores)
 
     for most in _PIVOT_TRIES:
         compared(tries, most)
@@ -326,7 +331,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFra
     done = tried.select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb"))
     more = _verified(rest.join(done, ["fa", "fb"], "left_anti"), classes, texts, stores, size, percent)
 
-    final = components(edges.unionByName(more), stores)
+    final = components(_joined(groups, more), stores)
     ends = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "fp", "fp2", F.coalesce("component", "rep").alias("component_id"))
     linked = known.join(ends, ["n", "fp", "fp2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = meta.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
