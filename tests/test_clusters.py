@@ -1,6 +1,8 @@
 import math
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,52 @@ def test_euclidean_silhouettes_lie_within_their_bound(spark, cell_count):
     assert worst < {1: 2.1, 8: 0.8, 64: 0.3, 5000: 1e-9}[cell_count]
     one = clusters.silhouette(df.filter("c = 1"), ["x", "y"], "c")
     assert one.filter("silhouette is not null").count() == 0
+
+
+def test_scans_of_many_models_agree_with_separate_ones_and_cost_less():
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.random((6000, 8)), np.zeros((9, 8))])
+    models = [rng.random((k, 8)) for k in (2, 3, 8, 9) for _ in range(10)]
+    models[1][1] = models[1][0]  # every row is as far from both: the first has all
+    batch = pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["n", "x"])
+
+    def alone():
+        for m in models:
+            gaps = (m**2).sum(axis=1) - 2 * (x @ m.T)
+            label = gaps.argmin(axis=1)
+            own = np.zeros((len(x), len(m)))
+            own[np.arange(len(x)), label] = 1.0
+            least = gaps[np.arange(len(x)), label] + (x * x).sum(axis=1)
+            yield own.sum(axis=0), least.sum(), own.T @ x, least.max()
+
+    found = next(kmeans._scan(models)([batch])).to_pydict()
+    sums = np.array([found[f"s{i}"] for i in range(8)]).T
+    at = 0
+    for m, (n, cost, moved, far) in zip(models, alone()):
+        own = slice(at, at + len(m))
+        assert found["n"][own] == n.tolist() and sum(found["cost"][own]) == pytest.approx(cost)
+        assert sums[own] == pytest.approx(moved) and found["far"][at][0] == pytest.approx(far)
+        at += len(m)
+
+    def least(work):
+        times = []
+        for _ in range(5):
+            begin = time.thread_time()
+            list(work())
+            times.append(time.thread_time() - begin)
+        return min(times)
+
+    assert least(lambda: kmeans._scan(models)([batch])) < 0.75 * least(alone)
+
+
+@pytest.mark.parametrize("tasks", [0, 64])
+def test_sums_are_the_same_on_the_driver_and_on_spark(spark, monkeypatch, tasks):
+    x = np.random.default_rng(1).random((500, 2))
+    stored = kmeans.blocks(spark.createDataFrame(x.tolist(), "a double, b double").repartition(5), "ab")
+    monkeypatch.setattr(kmeans, "DRIVER_TASKS", tasks)
+    models = [x[:3], x[:2] + 9]
+    for m, found in zip(models, kmeans._totals(stored, models), strict=True):
+        gaps = ((x[:, None] - m) ** 2).sum(axis=2)
+        assert found.n.sum() == 500 and found.cost == pytest.approx(gaps.min(axis=1).sum())
+        assert found.far == pytest.approx([gaps.min(axis=1).max(), *x[gaps.min(axis=1).argmax()]])
+        assert found.sums.sum(axis=0) == pytest.approx(x.sum(axis=0))
