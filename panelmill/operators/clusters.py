@@ -184,9 +184,11 @@ def silhouette(
     labels = sorted(r[0] for r in known.select("__label").distinct().collect())
     tree = cells.cut(known, names, cell_count)
     found = cells.moments(known, names, "__label", labels, tree)
+    by_label = np.argsort(found.label, kind="stable")
+    # About the middle of all rows, where the products of the squared distances keep most digits.
+    middle = np.average(found.mean, axis=0, weights=found.n) if len(found.n) else np.zeros(len(names))
+    found = cells.Moments(found.label[by_label], found.n[by_label].astype(float), found.mean[by_label] - middle, found.spread[by_label])
     sizes = np.bincount(found.label, found.n, len(labels))
-    weigh = np.zeros((len(found.n), len(labels)))
-    weigh[np.arange(len(found.n)), found.label] = found.n
     place = {v: i for i, v in enumerate(labels)}
     schema = rows.select(*kept).schema.add(out, "double").add(f"{out}_error", "double")
     told = [*kept, out, f"{out}_error"]
@@ -201,21 +203,37 @@ def silhouette(
                 x = cells.matrix(part, names)
                 some = np.flatnonzero((own >= 0) & ~np.isnan(x).any(axis=1))
                 if len(labels) > 1 and len(some):
-                    score[some], error[some] = _bounded_scores(x[some], own[some], found, weigh, sizes)
+                    score[some], error[some] = _bounded_scores(x[some] - middle, own[some], found, sizes)
                 columns_of = [*[part.column(c) for c in kept], pa.array(score, from_pandas=True), pa.array(error, from_pandas=True)]
                 yield pa.RecordBatch.from_arrays(columns_of, names=told)
 
     return rows.mapInArrow(run, schema)
 
 
-def _bounded_scores(x: np.ndarray, own: np.ndarray, found: cells.Moments, weigh: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Silhouettes halfway between the bounds of the distance sums, and the largest gap to what these allow."""
-    squared = np.zeros((len(x), len(found.n)))
-    for a in range(x.shape[1]):
-        squared += (x[:, a, None] - found.mean[None, :, a]) ** 2
+def _squares(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Squared distances by one product; those that are small beside the norms are taken from the differences, as they would lose digits."""
+    norm, other = (x * x).sum(axis=1), (mean * mean).sum(axis=1)
+    squared = x @ (-2.0 * mean.T)
+    squared += other
+    squared += norm[:, None]
+    row, cell = np.nonzero(squared < 1e-5 * (norm[:, None] + other))
+    for low in range(0, len(row), 1 << 15):
+        part = slice(low, low + (1 << 15))
+        squared[row[part], cell[part]] = ((x[row[part]] - mean[cell[part]]) ** 2).sum(axis=1)
+    return squared
+
+
+def _bounded_scores(x: np.ndarray, own: np.ndarray, found: cells.Moments, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Silhouettes halfway between the bounds of the distance sums, and the largest gap to what these allow.
+
+    ``found`` is in the order of its labels.
+    """
+    squared = _squares(x, found.mean)
     at = np.arange(len(x))
+    borders = np.searchsorted(found.label, np.arange(len(sizes) + 1))
 
-    def means(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def means(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sums = np.stack([gaps[:, a:b] @ found.n[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)], axis=1)
         a = sums[at, own] / np.maximum(sizes[own] - 1, 1)
         others = sums / sizes
         others[at, own] = np.inf
@@ -225,7 +243,10 @@ def _bounded_scores(x: np.ndarray, own: np.ndarray, found: cells.Moments, weigh:
         most = np.maximum(a, b)
         return np.where((sizes[own] > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1.0), 0.0)
 
-    (a_low, b_low), (a_high, b_high) = means(np.sqrt(squared) @ weigh), means(np.sqrt(squared + found.spread) @ weigh)
+    a_low, b_low = a_high, b_high = means(np.sqrt(squared))
+    if found.spread.any():
+        squared += found.spread
+        a_high, b_high = means(np.sqrt(squared, out=squared))
     middle = score((a_low + a_high) / 2, (b_low + b_high) / 2)
     return middle, np.maximum(score(a_low, b_high) - middle, middle - score(a_high, b_low))
 
